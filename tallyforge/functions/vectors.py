@@ -22,26 +22,33 @@ def at(values: Column, index: Column | int) -> Column:
     return F.get(values, F.lit(index) if isinstance(index, int) else index)
 
 
+def element(values: Column, i: int) -> Column:
+    """Element ``i``, NaN where it is missing.
+
+    Being non-null it needs no null branches: long sums of nullable terms generate deeply
+    nested code that compiles slowly or not at all.
+    """
+    return F.coalesce(at(values, i), F.lit(float("nan")))
+
+
 def sum_over(values: Column, k: int, term: Callable[[Column], Column]) -> Column:
     """Sum of ``term(element)`` over an array of ``k`` elements, first to last."""
     if k <= UNROLL_LIMIT:
-        return reduce(lambda total, i: total + term(at(values, i)), range(1, k), term(at(values, 0)))
+        terms = [term(element(values, i)) for i in range(k)]
+        return reduce(lambda total, value: total + value, terms)
     return F.aggregate(values, F.lit(0.0), lambda total, x: total + term(x))
 
 
 def map_over(values: Column, k: int, term: Callable[[Column], Column]) -> Column:
     if k <= UNROLL_LIMIT:
-        return F.array(*[term(at(values, i)) for i in range(k)])
+        return F.array(*[term(element(values, i)) for i in range(k)])
     return F.transform(values, term)
 
 
 def dot(left: Column, right: Column, k: int) -> Column:
     if k <= UNROLL_LIMIT:
-        return reduce(
-            lambda total, i: total + at(left, i) * at(right, i),
-            range(1, k),
-            at(left, 0) * at(right, 0),
-        )
+        terms = [element(left, i) * element(right, i) for i in range(k)]
+        return reduce(lambda total, value: total + value, terms)
     products = F.zip_with(left, right, lambda a, b: a * b)
     return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
 
@@ -68,18 +75,27 @@ def with_softmax(
 ) -> DataFrame:
     """Add the max-shifted softmax of ``logits / temperature``.
 
-    The exponentials get their own projection so they are computed once per element.
+    Each exponential is a column of its own: the optimizer would inline an array that is
+    only indexed, and compute every element once per use.
     """
     if isinstance(temperature, (int, float)):
         if not 0 < temperature < float("inf"):
             raise ValueError("temperature must be finite and positive")
         temperature = F.lit(float(temperature))
-    largest, exps = "__largest", "__exps"
-    x = F.col(logits)
+    x, largest = F.col(logits), F.col("__largest")
+    shifted = df.withColumn("__largest", F.coalesce(F.array_max(x), F.lit(float("nan"))))
+    if k > UNROLL_LIMIT:
+        return (
+            shifted.withColumn("__e", F.transform(x, lambda v: F.exp((v - largest) / temperature)))
+            .withColumn("__sum", F.aggregate("__e", F.lit(0.0), lambda t, v: t + v))
+            .withColumn(out, F.transform("__e", lambda v: v / F.col("__sum")))
+            .drop("__largest", "__e", "__sum")
+        )
+    names = [f"__e{i}" for i in range(k)]
+    exps = {n: F.exp((element(x, i) - largest) / temperature) for i, n in enumerate(names)}
     return (
-        df.withColumn(largest, F.array_max(x))
-        .withColumn(exps, map_over(x, k, lambda v: F.exp((v - F.col(largest)) / temperature)))
-        .withColumn(exps + "_sum", sum_over(F.col(exps), k, lambda v: v))
-        .withColumn(out, map_over(F.col(exps), k, lambda v: v / F.col(exps + "_sum")))
-        .drop(largest, exps, exps + "_sum")
+        shifted.withColumns(exps)
+        .withColumn("__sum", reduce(lambda t, n: t + F.col(n), names[1:], F.col(names[0])))
+        .withColumn(out, F.array(*[F.col(n) / F.col("__sum") for n in names]))
+        .drop("__largest", "__sum", *names)
     )

@@ -4,12 +4,38 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import TEMPERATURE_BOUNDS
-from ..functions.vectors import at, map_over, sum_over
+from ..functions.vectors import UNROLL_LIMIT, at, element, map_over, sum_over
+
+
+def _weighted_sums(
+    frame: DataFrame, k: int, s: float, tag: str
+) -> tuple[DataFrame, Column, Column, Column]:
+    """Σw, Σwx and Σwx² with w = exp(s (x - max x)), the weights computed once per row."""
+    names = [f"{n}{tag}" for n in ("z", "a", "b")]
+    if k <= UNROLL_LIMIT:
+        weights = {
+            f"w{tag}_{c}": F.exp((element(F.col("x"), c) - F.col("top")) * F.lit(s)) for c in range(k)
+        }
+        frame = frame.withColumns(weights)
+        pairs = [(F.col(w), element(F.col("x"), c)) for c, w in enumerate(weights)]
+        z = reduce(add, [w for w, _ in pairs])
+        first = reduce(add, [w * x for w, x in pairs])
+        second = reduce(add, [w * x * x for w, x in pairs])
+    else:
+        w = f"w{tag}"
+        frame = frame.withColumn(w, map_over(F.col("x"), k, lambda v: F.exp((v - F.col("top")) * s)))
+        pairs = F.zip_with(w, "x", lambda v, x: F.struct(v.alias("w"), x.alias("x")))
+        z = sum_over(F.col(w), k, lambda v: v)
+        first = F.aggregate(pairs, F.lit(0.0), lambda t, q: t + q["w"] * q["x"])
+        second = F.aggregate(pairs, F.lit(0.0), lambda t, q: t + q["w"] * q["x"] * q["x"])
+    return frame.withColumns(dict(zip(names, (z, first, second)))), *map(F.col, names)
 
 
 def _moments(rows: DataFrame, k: int, scales: Sequence[float]) -> list[tuple[float, float, float]]:
@@ -20,39 +46,23 @@ def _moments(rows: DataFrame, k: int, scales: Sequence[float]) -> list[tuple[flo
     """
     frame = rows.select(
         F.col("logits").alias("x"),
-        at(F.col("logits"), F.col("label")).alias("own"),
-        F.array_max("logits").alias("top"),
+        F.coalesce(at(F.col("logits"), F.col("label")), F.lit(math.nan)).alias("own"),
+        F.coalesce(F.array_max("logits"), F.lit(math.nan)).alias("top"),
     )
     aggregates: list[Column] = []
     for i, s in enumerate(scales):
-        e = f"e{i}"
-        frame = frame.withColumn(
-            e, map_over(F.col("x"), k, lambda v, s=s: F.exp((v - F.col("top")) * F.lit(s)))
-        )
-    for i, s in enumerate(scales):
-        weight = [at(F.col(f"e{i}"), c) for c in range(k)] if k <= 24 else None
-        if weight is None:
-            pairs = F.zip_with(f"e{i}", "x", lambda w, x: F.struct(w.alias("w"), x.alias("x")))
-            total = sum_over(F.col(f"e{i}"), k, lambda w: w)
-            first = F.aggregate(pairs, F.lit(0.0), lambda a, q: a + q["w"] * q["x"])
-            second = F.aggregate(pairs, F.lit(0.0), lambda a, q: a + q["w"] * q["x"] * q["x"])
-        else:
-            x = [at(F.col("x"), c) for c in range(k)]
-            total = sum(weight[1:], weight[0])
-            first = sum((w * v for w, v in zip(weight[1:], x[1:])), weight[0] * x[0])
-            second = sum((w * v * v for w, v in zip(weight[1:], x[1:])), weight[0] * x[0] * x[0])
-        frame = frame.withColumns({f"z{i}": total, f"a{i}": first, f"b{i}": second})
-        z, a, b = F.col(f"z{i}"), F.col(f"a{i}") / F.col(f"z{i}"), F.col(f"b{i}") / F.col(f"z{i}")
+        frame, z, first, second = _weighted_sums(frame, k, s, str(i))
+        mean = first / z
         aggregates += [
             F.avg(F.log(z) + s * (F.col("top") - F.col("own"))).alias(f"loss{i}"),
-            F.avg(a - F.col("own")).alias(f"slope{i}"),
-            F.avg(b - a * a).alias(f"curve{i}"),
+            F.avg(mean - F.col("own")).alias(f"slope{i}"),
+            F.avg(second / z - mean * mean).alias(f"curve{i}"),
         ]
     row = frame.agg(*aggregates).first()
     return [(row[f"loss{i}"], row[f"slope{i}"], row[f"curve{i}"]) for i in range(len(scales))]
 
 
-def fit_temperature(rows: DataFrame, k: int, tolerance: float = 1e-10, rounds: int = 40) -> float:
+def fit_temperature(rows: DataFrame, k: int, tolerance: float = 1e-7, rounds: int = 40) -> float:
     """Temperature of least mean NLL within the bounds; 1 if nothing beats it.
 
     Safeguarded Newton in s = 1/T: each round is one scan with a map-side aggregate that
@@ -75,11 +85,11 @@ def fit_temperature(rows: DataFrame, k: int, tolerance: float = 1e-10, rounds: i
             low = s
         else:
             high = s
-        step = s - slope / curve if curve > 0 else math.nan
-        following = step if low < step < high else (low + high) / 2
-        if abs(following - s) <= tolerance * s:
+        step = s - slope / curve if curve > 0 else math.inf
+        if abs(step - s) <= tolerance * s:
+            s = step  # Newton squares a step this small: nothing is left to correct.
             break
-        s = following
+        s = step if low < step < high else (low + high) / 2
         loss, slope, curve = _moments(rows, k, [s])[0]
     return 1 / s if loss <= at_one[0] else 1.0
 
@@ -88,8 +98,8 @@ def temperature_grid(rows: DataFrame, k: int, temperatures: Sequence[float]) ->
     """Mean validation NLL at fixed temperatures, in one pass."""
     frame = rows.select(
         F.col("logits").alias("x"),
-        at(F.col("logits"), F.col("label")).alias("own"),
-        F.array_max("logits").alias("top"),
+        F.coalesce(at(F.col("logits"), F.col("label")), F.lit(math.nan)).alias("own"),
+        F.coalesce(F.array_max("logits"), F.lit(math.nan)).alias("top"),
     )
     losses = [
         F.avg(

@@ -35,7 +35,7 @@ def align_members(members: DataFrame, k: int) -> DataFrame:
         )
     keys = members.groupBy("split", "idx").agg(*common)
     sums = (
-        members.select("split", "idx", F.posexplode("probs").alias("c", "p"))
+        members.select("split", "idx", F.posexplode_outer("probs").alias("c", "p"))
         .groupBy("split", "idx", "c")
         .agg(F.sum("p").alias("p"))
         .groupBy("split", "idx")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..constants import ECE_BINS
 from ..functions.scalars import ratio_or_null, safe_div
-from ..functions.vectors import argmax, at, clip_probability, confidence_bin, sum_over
+from ..functions.vectors import argmax, at, clip_probability, confidence_bin, element, sum_over
 from .classes import class_ranks, high_risk_ids, lookup
 
 FRAME_COLUMNS = ("label", "pred", "conf", "bin", "nll", "brier")
@@ -24,15 +24,22 @@ FRAME_COLUMNS = ("label", "pred", "conf", "bin", "nll", "brier")
 def score_frame(
     predictions: DataFrame, k: int, keep: Sequence[str] = (), n_bins: int = ECE_BINS
 ) -> DataFrame:
-    """Narrow per-row frame; nothing downstream touches the arrays again."""
+    """Narrow per-row frame; nothing downstream touches the arrays again.
+
+    Keys are non-null (-1 for a row without label or probabilities, which the checks
+    reject). Otherwise a join on a key derived from them would infer a not-null filter and
+    push it, with all the arithmetic behind it, below these projections.
+    """
     p, y = F.col("probs"), F.col("label")
-    target = at(p, y)
+    missing, nothing = F.lit(-1), F.lit(float("nan"))
+    target = F.coalesce(at(p, y), nothing)
+    top = F.coalesce(F.array_max(p), nothing)
     return predictions.select(
         *keep,
-        y.cast("int").alias("label"),
-        argmax(p).alias("pred"),
-        F.array_max(p).alias("conf"),
-        confidence_bin(F.array_max(p), n_bins).alias("bin"),
+        F.coalesce(y.cast("int"), missing).alias("label"),
+        F.coalesce(argmax(p), missing).alias("pred"),
+        top.alias("conf"),
+        F.coalesce(confidence_bin(F.array_max(p), n_bins), missing).alias("bin"),
         (-F.log(clip_probability(target))).alias("nll"),
         (sum_over(p, k, lambda v: v * v) - 2 * target + 1).alias("brier"),
     )
@@ -224,7 +231,7 @@ def high_risk_counts(cell_rows: DataFrame, names: Sequence[str], by: Sequence[st
 def high_risk_score(names: Sequence[str]) -> Column:
     """Summed probability of the screening group."""
     p = F.col("probs")
-    return reduce(lambda total, i: total + at(p, i), high_risk_ids(names), F.lit(0.0))
+    return reduce(lambda total, i: total + element(p, i), high_risk_ids(names), F.lit(0.0))
 
 
 def _ranked(cell_rows: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -332,10 +339,11 @@ def cross_entropy(
     log_sum = F.col("largest") + F.log(
         sum_over(z, k, lambda v: F.exp(v - F.col("largest")))
     )
-    w = F.array(*[F.lit(float(v)) for v in (weights or [1.0] * k)])
-    log_p = [at(z, i) - F.col("log_sum") for i in range(k)]
+    weight = [float(v) for v in (weights or [1.0] * k)]
+    w = F.array(*[F.lit(v) for v in weight])
+    log_p = [element(z, i) - F.col("log_sum") for i in range(k)]
     spread = reduce(
-        lambda total, i: total + at(w, i) * log_p[i], range(1, k), at(w, 0) * log_p[0]
+        lambda total, i: total + weight[i] * log_p[i], range(1, k), weight[0] * log_p[0]
     )
     own = at(w, F.col("label")) * (at(z, F.col("label")) - F.col("log_sum"))
     loss = -((1.0 - smoothing) * own + (smoothing / k) * spread)

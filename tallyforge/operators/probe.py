@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -9,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import argmax, with_softmax
@@ -31,39 +32,52 @@ class Head:
         return len(self.bias)
 
 
+def _moments(rows: DataFrame, features: str) -> DataFrame:
+    """Add the features as doubles (``__x``), their mean and their regularised deviation."""
+    x, size = F.col("__x"), F.size("__x")
+    total = F.aggregate(x, F.lit(0.0), lambda t, v: t + v)
+    squares = F.aggregate(x, F.lit(0.0), lambda t, v: t + v * v)
+    variance = F.greatest(F.col("__sq") / size - F.col("__mean") * F.col("__mean"), F.lit(0.0))
+    return (
+        rows.withColumn("__x", F.col(features).cast("array<double>"))
+        .withColumns({"__mean": total / size, "__sq": squares})
+        .withColumn("__scale", F.sqrt(variance + LAYER_NORM_EPS))
+        .drop("__sq")
+    )
+
+
 def normalised(rows: DataFrame, features: str = "features", out: str = "x") -> DataFrame:
-    """Row-wise layer normalisation without an affine part."""
-    x = F.col("__x")
-    size = F.size(x)
-    total = F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
-    spread = F.aggregate(
-        x, F.lit(0.0), lambda a, v: a + (v - F.col("__mean")) * (v - F.col("__mean"))
+    """Row-wise layer normalisation without an affine part.
+
+    Mean and deviation reach the elements through a repeated struct: named inside the lambda
+    they would be inlined there and computed again for every element.
+    """
+    stats = F.array_repeat(
+        F.struct(F.col("__mean").alias("mean"), F.col("__scale").alias("scale")), F.size("__x")
     )
     return (
-        rows.withColumn("__x", F.col(features).cast("array<double>"))
-        .withColumn("__mean", total / size)
-        .withColumn("__scale", F.sqrt(spread / size + LAYER_NORM_EPS))
-        .withColumn(out, F.transform(x, lambda v: (v - F.col("__mean")) / F.col("__scale")))
+        _moments(rows, features)
+        .withColumn(out, F.zip_with("__x", stats, lambda v, m: (v - m["mean"]) / m["scale"]))
         .drop("__x", "__mean", "__scale")
     )
 
 
-def linear_logits(head: Head, x: Column) -> Column:
-    """K dot products with literal weights."""
+def score_linear(rows: DataFrame, head: Head, features: str = "features") -> DataFrame:
+    """Layer norm and linear head as expressions; adds ``logits``.
+
+    A class score over normalised features is (w·x - mean Σw) / scale + bias, so the
+    normalised array itself is never built.
+    """
     scores = []
     for weights, bias in zip(head.weights, head.bias):
         w = F.array(*[F.lit(float(v)) for v in weights])
-        products = F.zip_with(w, x, lambda a, b: a * b)
-        scores.append(F.aggregate(products, F.lit(0.0), lambda t, v: t + v) + F.lit(float(bias)))
-    return F.array(*scores)
-
-
-def score_linear(rows: DataFrame, head: Head, features: str = "features") -> DataFrame:
-    """Layer norm and linear head as expressions; adds ``logits``."""
+        products = F.zip_with(w, F.col("__x"), lambda a, b: a * b)
+        dot = F.aggregate(products, F.lit(0.0), lambda t, v: t + v)
+        scores.append((dot - F.col("__mean") * math.fsum(weights)) / F.col("__scale") + float(bias))
     return (
-        normalised(rows, features, "__n")
-        .withColumn("logits", linear_logits(head, F.col("__n")))
-        .drop("__n")
+        _moments(rows, features)
+        .withColumn("logits", F.array(*scores))
+        .drop("__x", "__mean", "__scale")
     )
 
 
@@ -129,10 +143,10 @@ def centroid_head(rows: DataFrame, k: int, features: str = "features") -> Head:
     The driver receives K x D numbers.
     """
     means = (
-        normalised(rows, features, "__n")
-        .select("label", F.posexplode("__n").alias("d", "v"))
+        _moments(rows, features)
+        .select("label", "__mean", "__scale", F.posexplode_outer("__x").alias("d", "v"))
         .groupBy("label", "d")
-        .agg(F.avg("v").alias("v"))
+        .agg(F.avg((F.col("v") - F.col("__mean")) / F.col("__scale")).alias("v"))
         .groupBy("label")
         .agg(F.array_sort(F.collect_list(F.struct("d", "v"))).alias("w"))
         .select("label", F.transform("w", lambda e: e["v"]).alias("w"))

@@ -58,9 +58,13 @@ def auroc(scored: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def class_scores(predictions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """One row per example and class for one-vs-rest ranking."""
+    """One row per example and class for one-vs-rest ranking.
+
+    The outer form: a plain explode of a column infers a not-empty filter, which would be
+    pushed below the softmax and compute it twice.
+    """
     return predictions.select(
-        *by, "label", F.posexplode("probs").alias("class_id", "score")
+        *by, "label", F.posexplode_outer("probs").alias("class_id", "score")
     ).select(*by, "class_id", "score", (F.col("label") == F.col("class_id")).alias("positive"))
 
 
