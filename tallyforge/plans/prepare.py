@@ -14,6 +14,7 @@ from ..functions.hashing import identity_hash
 from ..operators import checks, fingerprints, splits
 from ..operators.classes import check_names
 from ..session import stage
+from ..sources import documents
 from ..sources import examples as source
 from ..sources.predictions import SPLIT_SCHEMA, write_splits
 
@@ -149,14 +150,8 @@ def manifest(
     ).coalesce(1)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-
-
 def _reuse(spark: SparkSession, out: str, identity: str) -> Prepared | None:
-    if not _exists(spark, f"{out}/manifest/_SUCCESS"):
+    if not documents.exists(spark, f"{out}/manifest/_SUCCESS"):
         return None
     record = spark.read.json(f"{out}/manifest").first()
     if record["preparation_hash"] != identity:
