@@ -37,5 +37,5 @@ def write_document(spark: SparkSession, path: str, document: dict, replace: bool
 
 def read_document(spark: SparkSession, path: str) -> dict:
     """One JSON document of a run, as small as its metrics."""
-    row = spark.read.option("wholetext", "true").text(path).first()
+    row = spark.read.text(path, wholetext=True).first()
     return json.loads(row["value"])

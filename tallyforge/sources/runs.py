@@ -26,9 +26,8 @@ def scan_runs(
     reader = (
         spark.read.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", glob)
-        .option("wholetext", str(not lines).lower())
     )
-    text = reader.text(sources)
+    text = reader.text(sources, wholetext=not lines)
     if not text.inputFiles():
         raise ValueError("no summary documents were found in the supplied run paths")
     path = F.col("_metadata.file_path")
