@@ -6,17 +6,24 @@ one row per task. No operator collects the members of a group.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import fingerprint_encoded
+from ..session import broadcast_if, stage
+
+
+HOT_SIZE = 1_000_000
 
 
 def fingerprint_rows(examples: DataFrame, payload: str = "payload") -> DataFrame:
-    return examples.select("idx", "label", fingerprint_encoded(F.col(payload)).alias("fp"))
+    """(idx, label, fp). The fingerprint is non-null: a join on it would otherwise push a
+    not-null filter into the scan and hash every payload twice."""
+    fp = F.coalesce(fingerprint_encoded(F.col(payload)), F.lit(""))
+    return examples.select("idx", "label", fp.alias("fp"))
 
 
 def fingerprint_decoded(
@@ -55,14 +62,36 @@ def duplicate_audit(group_rows: DataFrame, deduplicate: bool = True) -> DataFram
     )
 
 
-def label_conflicts(fingerprints: DataFrame, show: int = 10) -> DataFrame:
+def join_groups(
+    rows: DataFrame, keyed: DataFrame, columns: Sequence[str], hot_size: int = HOT_SIZE
+) -> DataFrame:
+    """Inner join of rows with (fp, size, columns...), one row per fingerprint.
+
+    Groups of ``hot_size`` rows or more number at most rows / ``hot_size``; they reach their
+    rows by broadcast, so a group that holds a third of the table never meets in one task.
+    All other groups join by shuffle.
+    """
+    hot = keyed.filter(F.col("size") >= hot_size)
+    n_hot = hot.count()
+    if not n_hot:
+        return rows.join(keyed.select("fp", *columns), "fp")
+    cold = keyed.filter(F.col("size") < hot_size)
+    on_map_side = rows.join(broadcast_if(hot.select("fp", *columns), n_hot), "fp")
+    rest = rows.join(broadcast_if(hot.select("fp"), n_hot), "fp", "left_anti")
+    return on_map_side.unionByName(rest.join(cold.select("fp", *columns), "fp"))
+
+
+def label_conflicts(fingerprints: DataFrame, show: int = 10, hot_size: int = HOT_SIZE) -> DataFrame:
     """Groups carrying more than one label, with their labels and first row indices.
 
     The first indices come from a ranked window whose limit Spark applies on the map side;
-    labels are a set of at most as many values as classes.
+    labels are a set of at most as many values as classes. ``fingerprints`` is read more than
+    once and should be a stored table.
     """
-    conflicted = groups(fingerprints).filter("label <> max_label").select("fp")
-    rows = fingerprints.join(conflicted, "fp", "left_semi")
+    conflicted = stage(
+        groups(fingerprints).filter("label <> max_label").select("fp", "size"), "conflicts"
+    )
+    rows = join_groups(fingerprints, conflicted, [], hot_size)
     labels = rows.groupBy("fp").agg(F.array_sort(F.collect_set("label")).alias("labels"))
     position = F.row_number().over(Window.partitionBy("fp").orderBy("idx"))
     first = (

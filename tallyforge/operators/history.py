@@ -32,34 +32,49 @@ def with_position(
     )
 
 
+def _candidates(history: DataFrame, chunk: int) -> DataFrame:
+    """Rows that may rise above all earlier ones, and one carrier row per chunk of epochs.
+
+    One pass without a self-join: maxima inside (run, chunk) drop nearly all rows, and the
+    rest meet once per run, where a range frame takes the maximum over earlier chunks.
+    """
+    by_chunk = Window.partitionBy("run", "chunk")
+    in_order = by_chunk.orderBy("epoch")
+    across = Window.partitionBy("run").orderBy("chunk").rangeBetween(Window.unboundedPreceding, -1)
+    lowest = F.lit(float("-inf"))
+    rises = F.col("score") > F.coalesce("near", lowest)
+    return (
+        history.withColumn("chunk", F.floor((F.col("epoch") - 1) / chunk))
+        .select(
+            "run", "chunk", "epoch", "score",
+            F.max("score").over(in_order.rowsBetween(Window.unboundedPreceding, -1)).alias("near"),
+            F.row_number().over(in_order).alias("place"),
+            F.max("score").over(by_chunk).alias("top"),
+            F.max("epoch").over(by_chunk).alias("last"),
+        )
+        .filter((F.col("place") == 1) | rises)
+        .withColumn("earlier", F.max("top").over(across))
+        .select(
+            "run", F.col("epoch").cast("bigint").alias("epoch"), "score", "last",
+            F.coalesce(rises & (F.col("score") > F.coalesce("earlier", lowest)), F.lit(False)).alias(
+                "rising"
+            ),
+        )
+    )
+
+
 def rising_scores(history: DataFrame, chunk: int = 4096) -> DataFrame:
     """Epochs whose score exceeds every earlier score of the run.
 
     Only these can improve on the best one (a score that beats best + min_delta beats all
-    before it, since none of those exceeded that mark). Maxima are taken inside chunks of
-    epochs and then over chunks, so a long run is many groups.
+    before it, since none of those exceeded that mark).
     """
-    chunked = history.withColumn("chunk", F.floor((F.col("epoch") - 1) / chunk))
-    inside = Window.partitionBy("run", "chunk").orderBy("epoch").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    across = Window.partitionBy("run").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    tops = (
-        chunked.groupBy("run", "chunk")
-        .agg(F.max("score").alias("top"))
-        .select("run", "chunk", F.max("top").over(across).alias("earlier"))
-    )
-    floor = F.lit(float("-inf"))
-    return (
-        chunked.withColumn("near", F.max("score").over(inside))
-        .filter(F.col("score") > F.coalesce("near", floor))
-        .join(tops, ["run", "chunk"])
-        .filter(F.col("score") > F.coalesce("earlier", floor))
-        .select("run", "epoch", "score")
-    )
+    return _candidates(history, chunk).filter("rising").select("run", "epoch", "score")
 
 
-def early_stop(history: DataFrame, patience: int, min_delta: float = 0.0) -> DataFrame:
+def early_stop(
+    history: DataFrame, patience: int, min_delta: float = 0.0, chunk: int = 4096
+) -> DataFrame:
     """Per run: best epoch and score, and the epoch at which training stops.
 
     Best starts at -1 and moves only when a score exceeds best + min_delta; training stops
@@ -85,14 +100,12 @@ def early_stop(history: DataFrame, patience: int, min_delta: float = 0.0) -> Dat
             stopped.alias("stopped"),
         )
 
-    lengths = history.groupBy("run").agg(F.max("epoch").alias("epochs"))
-    climbs = rising_scores(history).groupBy("run").agg(
-        F.array_sort(
-            F.collect_list(F.struct(F.col("epoch").cast("bigint").alias("epoch"), "score"))
-        ).alias("climb")
-    )
-    folded = lengths.join(climbs, "run", "left").withColumn(
-        "s", F.aggregate(F.coalesce("climb", F.array().cast("array<struct<epoch:bigint,score:double>>")), state, advance)
+    entry = F.when(F.col("rising"), F.struct("epoch", "score"))
+    folded = (
+        _candidates(history, chunk)
+        .groupBy("run")
+        .agg(F.max("last").alias("epochs"), F.array_sort(F.collect_list(entry)).alias("climb"))
+        .withColumn("s", F.aggregate("climb", state, advance))
     )
     end = F.coalesce(
         F.col("s.stopped"),

@@ -113,7 +113,8 @@ def quota_rows(strata: DataFrame, fractions: Sequence[float]) -> DataFrame:
 
 
 def hash_order(seed: int, group: Column) -> Column:
-    return F.sha2(F.concat(F.lit(f"{seed}:"), group.cast("string")), 256)
+    """Seeded order of groups; non-null, so that joins infer no filter that hashes again."""
+    return F.coalesce(F.sha2(F.concat(F.lit(f"{seed}:"), group.cast("string")), 256), F.lit(""))
 
 
 def _cut_points(hashed: DataFrame, quota: DataFrame, n_strata: int) -> DataFrame:
@@ -239,24 +240,7 @@ def stratified_group_split(
     assigned = stage(
         assign_groups(group_rows, seed, fractions, one_size=False), "assigned"
     )
-    return spread_to_rows(fingerprints, assigned).select("idx", "label", "fp", "split")
-
-
-def spread_to_rows(rows: DataFrame, assigned: DataFrame, hot_size: int = 1_000_000) -> DataFrame:
-    """Give every row its group's split.
-
-    Groups of ``hot_size`` rows or more number at most rows / ``hot_size``; they reach their
-    rows by broadcast, so a group that holds a third of the table never meets in one task.
-    All other groups join by shuffle.
-    """
-    pairs = assigned.select("fp", "split")
-    hot = assigned.filter(F.col("size") >= hot_size).select("fp", "split")
-    n_hot = hot.count()
-    if not n_hot:
-        return rows.join(pairs, "fp")
-    marked = rows.join(broadcast_if(hot, n_hot), "fp", "left")
-    cold = marked.filter(F.col("split").isNull()).drop("split")
-    return marked.filter(F.col("split").isNotNull()).unionByName(cold.join(pairs, "fp"))
+    return fp_ops.join_groups(fingerprints, assigned, ["split"]).select("idx", "label", "fp", "split")
 
 
 def class_counts(splits: DataFrame, k: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import DEFAULT_CLASSES
 from ..functions.vectors import argmax, at, with_softmax
+from ..operators.fingerprints import fingerprint_rows
 from ..operators.history import with_position
 from ..session import new_path, stage
 
@@ -16,7 +17,7 @@ WIDE_CLASSES = ["low", "moderate", "high"]
 LANGS = ["de", "en", "es", "fr"]
 SHARDS = 8
 
-_paths: dict[tuple, str] = {}
+_paths: dict[tuple, str | DataFrame] = {}
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -44,7 +45,7 @@ def examples(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fingerprints(spark: SparkSession, sf: str) -> DataFrame:
-    return examples(spark, sf).select("idx", "label", F.sha2("payload", 256).alias("fp"))
+    return fingerprint_rows(examples(spark, sf))
 
 
 def leaky_splits(spark: SparkSession, sf: str) -> DataFrame:
@@ -135,7 +136,7 @@ def history(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "events").select(
         F.col("user_id").alias("run"), F.col("value").alias("score"), "ts", "event_id", "event_type"
     )
-    return with_position(rows, "run", ["ts", "event_id"], F.to_date("ts"), "epoch")
+    return with_position(rows, "run", ["ts", "event_id"], F.date_trunc("hour", "ts"), "epoch")
 
 
 def run_table(spark: SparkSession, sf: str) -> DataFrame:
