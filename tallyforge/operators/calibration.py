@@ -62,7 +62,7 @@ def _moments(rows: DataFrame, k: int, scales: Sequence[float]) -> list[tuple[flo
     return [(row[f"loss{i}"], row[f"slope{i}"], row[f"curve{i}"]) for i in range(len(scales))]
 
 
-def fit_temperature(rows: DataFrame, k: int, tolerance: float = 1e-7, rounds: int = 40) -> float:
+def fit_temperature(rows: DataFrame, k: int, tolerance: float = 5e-5, rounds: int = 40) -> float:
     """Temperature of least mean NLL within the bounds; 1 if nothing beats it.
 
     Safeguarded Newton in s = 1/T: each round is one scan with a map-side aggregate that
@@ -87,7 +87,7 @@ def fit_temperature(rows: DataFrame, k: int, tolerance: float = 1e-7, rounds: in
             high = s
         step = s - slope / curve if curve > 0 else math.inf
         if abs(step - s) <= tolerance * s:
-            s = step  # Newton squares a step this small: nothing is left to correct.
+            s = step  # The error left is of the order of this step squared.
             break
         s = step if low < step < high else (low + high) / 2
         loss, slope, curve = _moments(rows, k, [s])[0]

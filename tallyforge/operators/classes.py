@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..constants import HIGH_RISK, RISK_ORDER
 from ..functions.scalars import canonical_text
+from ..session import literal_table
 
 
 def class_ranks(names: Sequence[str]) -> list[int | None]:
@@ -33,9 +34,7 @@ def class_table(spark: SparkSession, names: Sequence[str]) -> DataFrame:
         (i, name, rank, i in high)
         for i, (name, rank) in enumerate(zip(names, class_ranks(names)))
     ]
-    return spark.createDataFrame(
-        rows, "class_id INT, name STRING, risk_rank INT, is_high BOOLEAN"
-    ).coalesce(1)
+    return literal_table(spark, rows, "class_id INT, name STRING, risk_rank INT, is_high BOOLEAN")
 
 
 def attach_class(

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import SPLITS
-from ..session import broadcast_if, stage
+from ..session import broadcast_if, literal_table, stage
 from . import fingerprints as fp_ops
 
 PREFIX_DIGITS = 4
@@ -109,7 +109,7 @@ def quota_rows(strata: DataFrame, fractions: Sequence[float]) -> DataFrame:
     rows = [
         (r["label"], r["size"], *allocate([(r["size"], r["n"])], fractions)[0][1:]) for r in counts
     ]
-    return strata.sparkSession.createDataFrame(rows, QUOTA_SCHEMA).coalesce(1)
+    return literal_table(strata.sparkSession, rows, QUOTA_SCHEMA)
 
 
 def hash_order(seed: int, group: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import checks, runs
-from ..session import stage
+from ..session import literal_table, stage
 from ..sources.runs import scan_runs
 
 HEADER = (
@@ -61,9 +61,9 @@ def compare_documents(
 def report_lines(comparison: DataFrame) -> DataFrame:
     """Markdown lines with their order: a header, then groups by key."""
     body = runs.comparison_lines(comparison)
-    head = comparison.sparkSession.createDataFrame(
-        [(0, HEADER), (1, RULE)], "part int, line string"
-    ).coalesce(1)
+    head = literal_table(
+        comparison.sparkSession, [(0, HEADER), (1, RULE)], "part int, line string"
+    )
     keys = [F.coalesce(F.col(k).cast("string"), F.lit("")).alias(k) for k in runs.GROUP_KEYS]
     empty = [F.lit("").alias(k) for k in runs.GROUP_KEYS]
     return head.select("part", *empty, "line").unionByName(

@@ -13,7 +13,7 @@ from ..constants import FORMAT_VERSION, SPLITS
 from ..functions.hashing import identity_hash
 from ..operators import checks, fingerprints, splits
 from ..operators.classes import check_names
-from ..session import stage
+from ..session import literal_table, stage
 from ..sources import documents
 from ..sources import examples as source
 from ..sources.predictions import SPLIT_SCHEMA, write_splits
@@ -34,7 +34,7 @@ def preparation_identity(spark: SparkSession, settings: dict) -> tuple[str, str]
     """Canonical settings and their hash; equal settings give equal hashes in any key order."""
     text = json.dumps({"format_version": FORMAT_VERSION, **settings})
     row = (
-        spark.createDataFrame([(text,)], "j string")
+        literal_table(spark, [(text,)], "j string")
         .select(F.to_json(F.parse_json("j")).alias("j"), identity_hash(F.col("j")).alias("h"))
         .first()
     )
@@ -144,10 +144,11 @@ def manifest(
         "subset_is_smoke_only": smoke,
     }
     text = json.dumps(document, sort_keys=True)
-    return spark.createDataFrame(
+    return literal_table(
+        spark,
         [(identity, document["split_hash"], text)],
         "preparation_hash string, split_hash string, document string",
-    ).coalesce(1)
+    )
 
 
 def _reuse(spark: SparkSession, out: str, identity: str) -> Prepared | None:

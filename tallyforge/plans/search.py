@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import with_softmax
 from ..operators import metrics, probe
-from ..session import stage
+from ..session import literal_table, stage
 
 RESULT_SCHEMA = "candidate int, l2 double, balanced boolean, max_iter int, score double"
 
@@ -51,4 +51,4 @@ def tune_probe(
             head = probe.train_probe(train, k, recipe[0], recipe[1], recipe[2])
             score = validation_score(validation, head)
         results.append((number, *recipe, float(score)))
-    return rows.sparkSession.createDataFrame(results, RESULT_SCHEMA).coalesce(1)
+    return literal_table(rows.sparkSession, results, RESULT_SCHEMA)

@@ -5,9 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def build_session(app: str = "tallyforge", cores: str = "*", **conf: str) -> SparkSession:
@@ -68,3 +70,15 @@ def broadcast_if(small: DataFrame, n_rows: int, limit: int = 1_000_000) -> DataF
     skewed partitions.
     """
     return F.broadcast(small) if n_rows <= limit else small
+
+
+def literal_table(spark: SparkSession, rows: Sequence[Sequence], schema: str) -> DataFrame:
+    """A short driver-side list as a table of literals: no Python worker reads it back."""
+    fields = T.StructType.fromDDL(schema).fields
+    if not rows:
+        return spark.createDataFrame([], schema)
+    records = [
+        F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, fields)])
+        for row in rows
+    ]
+    return spark.range(1, numPartitions=1).select(F.inline(F.array(*records)))

@@ -12,7 +12,7 @@ from ..operators.classes import attach_class, class_table
 from ..plans import ensemble as ensemble_plan
 from ..plans import evaluate as evaluate_plan
 from ..plans import search
-from ..session import new_path
+from ..session import literal_table, new_path
 from ..sources import predictions as prediction_io
 from ..streaming import metrics as streaming
 from . import sql, views
@@ -564,7 +564,7 @@ def fitted_sql(source: str) -> str:
 )
 def fit_temperature(spark, sf):
     found = calibration.fit_temperature(views.agreeing(spark, sf).select("label", "logits"), K)
-    return rounded(spark.createDataFrame([(found,)], "temperature double"))
+    return rounded(literal_table(spark, [(found,)], "temperature double"))
 
 
 # --- bootstrap -----------------------------------------------------------------------------
