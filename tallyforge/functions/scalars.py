@@ -23,7 +23,7 @@ def canonical_name(name: Column) -> Column:
 
 def canonical_text(name: str) -> str:
     """Driver-side twin of :func:`canonical_name` for class lists."""
-    return name.strip().lower().replace("-", "_").replace(" ", "_")
+    return name.strip().lower().translate(str.maketrans("- ", "__"))
 
 
 def pinned_revision(revision: Column) -> Column:

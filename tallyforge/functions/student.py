@@ -8,6 +8,8 @@ from functools import cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .vectors import literal_array
+
 TABLE_SIZE = 200
 NORMAL_975 = 1.959963984540054
 
@@ -59,7 +61,7 @@ def expansion(df: Column) -> Column:
 
 def t_quantile_975(df: Column) -> Column:
     """Null below one degree of freedom."""
-    table = F.array(*[F.lit(v) for v in small_table()])
+    table = literal_array(small_table())
     whole = df.cast("int")
     return (
         F.when(whole < 1, F.lit(None).cast("double"))

@@ -7,7 +7,7 @@ Longer arrays use the higher-order functions, since generated methods have a siz
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -18,6 +18,11 @@ from ..constants import PROBABILITY_FLOOR
 UNROLL_LIMIT = 24
 
 
+def literal_array(values: Sequence[float]) -> Column:
+    """Array of finite doubles, parsed in one call rather than built element by element."""
+    return F.expr("array(" + ", ".join(f"{float(v)!r}D" for v in values) + ")")
+
+
 def at(values: Column, index: Column | int) -> Column:
     return F.get(values, F.lit(index) if isinstance(index, int) else index)
 

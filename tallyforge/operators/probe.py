@@ -13,7 +13,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import argmax, with_softmax
+from ..functions.vectors import argmax, literal_array, with_softmax
 from .classes import lookup
 from .metrics import class_weights
 
@@ -70,8 +70,7 @@ def score_linear(rows: DataFrame, head: Head, features: str = "features") -> Dat
     """
     scores = []
     for weights, bias in zip(head.weights, head.bias):
-        w = F.array(*[F.lit(float(v)) for v in weights])
-        products = F.zip_with(w, F.col("__x"), lambda a, b: a * b)
+        products = F.zip_with(literal_array(weights), F.col("__x"), lambda a, b: a * b)
         dot = F.aggregate(products, F.lit(0.0), lambda t, v: t + v)
         scores.append((dot - F.col("__mean") * math.fsum(weights)) / F.col("__scale") + float(bias))
     return (

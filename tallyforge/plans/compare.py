@@ -12,6 +12,7 @@ from ..operators import checks, runs
 from ..session import literal_table, stage
 from ..sources.runs import scan_runs
 
+# Head of the Markdown comparison table.
 HEADER = (
     "| Model | Mode | Size | Seeds | Accuracy | Macro F1 | Balanced accuracy | ECE "
     "| Macro F1 mean 95% CI | Protocol | Recipe | Smoke |"

@@ -24,17 +24,21 @@ ORDINAL = (
 
 @dataclass
 class Evaluation:
-    """Metric tables by (split, variant); ``bootstrap`` is None if not asked for."""
+    """Metric tables by (split, variant); ``bootstrap`` is None if not asked for.
+
+    ``auroc`` has a row per class, and one of class -1 for the screening group.
+    """
 
     temperature: float
     metrics: DataFrame
     per_class: DataFrame
+    auroc: DataFrame
     confusion: DataFrame
     reliability: DataFrame
     bootstrap: DataFrame | None
 
 
-def metric_table(cell_rows: DataFrame, scored: DataFrame, names: Sequence[str], by=BY) -> DataFrame:
+def metric_table(cell_rows: DataFrame, ranked: DataFrame, names: Sequence[str], by=BY) -> DataFrame:
     """(by..., metric, value): scalars, ordinal, screening and ranking metrics."""
     k = len(names)
     scalar = metrics.scalars(metrics.tallies(cell_rows, by), k, by)
@@ -53,7 +57,6 @@ def metric_table(cell_rows: DataFrame, scored: DataFrame, names: Sequence[str],
                 ["support", "precision", "recall", "f1"],
             )
         )
-    ranked = ranking.auroc(ranking_scores(scored, names, by), [*by, "class_id"])
     macro = ranked.filter("class_id >= 0").groupBy(*by).agg(F.avg("auroc").alias("macro_auroc"))
     parts.append(tall(macro, ["macro_auroc"], by))
     parts.append(
@@ -149,9 +152,11 @@ def evaluate_scored(
             frame.filter((F.col("split") == bootstrap_split) & (F.col("variant") == "raw")),
             k, n_bootstrap, seed,
         )
+    ranked = stage(ranking.auroc(ranking_scores(scored, names, BY), [*BY, "class_id"]), "auroc")
     return Evaluation(
         temperature=temperature,
-        metrics=metric_table(cell_rows, scored, names),
+        metrics=metric_table(cell_rows, ranked, names),
+        auroc=ranked,
         per_class=metrics.per_class(tally, k, BY),
         confusion=metrics.confusion(cell_rows, k, BY),
         reliability=metrics.reliability_bins(tally, by=BY),

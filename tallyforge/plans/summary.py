@@ -48,6 +48,12 @@ def evaluation_document(result: Evaluation, names: Sequence[str], bootstrap_spli
         rows[names[r["class_id"]]] = {
             c: r[c] for c in ("precision", "recall", "f1", "support")
         }
+    for r in result.auroc.filter("class_id >= 0").orderBy("class_id").collect():
+        metrics = found[r["split"]][r["variant"]]
+        metrics["per_class"][names[r["class_id"]]]["auroc"] = r["auroc"]
+        ranked = metrics.setdefault("macro_auroc_classes", [])
+        if r["auroc"] is not None:
+            ranked.append(names[r["class_id"]])
     size = len(names)
     for r in result.confusion.collect():
         matrix = found[r["split"]][r["variant"]].setdefault(
