@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .classes import high_risk_ids
+from .metrics import high_risk_counts, high_risk_score
+
 
 def auroc(scored: DataFrame, by: Sequence[str]) -> DataFrame:
     """AUROC per group of (by..., score, positive); null unless both outcomes occur.
@@ -80,3 +83,22 @@ def macro_auroc(per_class: DataFrame, by: Sequence[str] = ()) -> DataFrame:
             "macro_auroc_classes"
         ),
     )
+
+
+def high_risk(
+    cell_rows: DataFrame, predictions: DataFrame, names: Sequence[str], by: Sequence[str] = ()
+) -> DataFrame:
+    """Screening metrics of the high-risk group with its AUROC on the summed probability.
+
+    Both parts are one row per group; they are stacked and folded, which needs no join key.
+    """
+    rates = ("support", "precision", "recall", "f1")
+    ids = high_risk_ids(names)
+    scored = predictions.select(
+        *by, high_risk_score(names).alias("score"), F.col("label").isin(ids).alias("positive")
+    )
+    counts = high_risk_counts(cell_rows, names, by)
+    if not ids:
+        return counts
+    parts = counts.unionByName(auroc(scored, by), allowMissingColumns=True)
+    return parts.groupBy(*by).agg(*[F.max(c).alias(c) for c in (*rates, "auroc")])

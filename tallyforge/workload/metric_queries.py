@@ -272,24 +272,16 @@ def _high_risk_sql(source: str, ids: str, score: str) -> str:
     )
 
 
-def _high_risk(predictions, cells, names):
-    ids = [i for i, n in enumerate(names) if n in ("high", "very_high")]
-    scored = predictions.select(
-        F.lit("all").alias("grp"), metrics.high_risk_score(names).alias("score"),
-        F.col("label").isin(ids).alias("positive"),
-    )
-    counts = metrics.high_risk_counts(cells.withColumn("grp", F.lit("all")), names, ["grp"])
-    return rounded(counts.join(ranking.auroc(scored, ["grp"]), "grp").drop("grp"))
-
-
 @query("high_risk", _high_risk_sql(sql.pred(), "(0, 4)", "probs[1] + probs[5]"))
 def high_risk(spark, sf):
-    return _high_risk(views.pred(spark, sf), _cells(spark, sf), CLASSES)
+    return rounded(ranking.high_risk(_cells(spark, sf), views.pred(spark, sf), CLASSES))
 
 
 @query("high_risk_lineitem", _high_risk_sql(sql.pred_wide(), "(2)", "probs[3]"))
 def high_risk_lineitem(spark, sf):
-    return _high_risk(views.pred_wide(spark, sf), _wide_cells(spark, sf), WIDE_CLASSES)
+    return rounded(
+        ranking.high_risk(_wide_cells(spark, sf), views.pred_wide(spark, sf), WIDE_CLASSES)
+    )
 
 
 ORDINAL_LIST = "n_risk_targets, n_ordered_pairs, risk_predictions_outside_order, " + r(
