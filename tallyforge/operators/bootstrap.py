@@ -32,30 +32,33 @@ STREAM_2 = 0x85EBCA6B
 MASK = 0xFFFFFFFF
 
 
-def mix32(x):
-    """Bijective 32-bit mixer over numpy ``uint64`` arrays (or Python ints)."""
-    x = x ^ (x >> 16)
-    x = (x * MIX_1) & MASK
-    x = x ^ (x >> 15)
-    x = (x * MIX_2) & MASK
-    return x ^ (x >> 16)
+def mix32(x: np.ndarray) -> np.ndarray:
+    """Bijective 32-bit mixer; ``uint32`` arithmetic wraps around by itself."""
+    x = x ^ (x >> np.uint32(16))
+    x *= np.uint32(MIX_1)
+    x ^= x >> np.uint32(15)
+    x *= np.uint32(MIX_2)
+    x ^= x >> np.uint32(16)
+    return x
+
+
+def _mix_one(value: int) -> int:
+    return int(mix32(np.array([value & MASK], dtype=np.uint32))[0])
 
 
 def stream_keys(seed: int, replicate: int, label: int, block: int) -> tuple[int, int]:
     """Two 32-bit keys of one (seed, replicate, class, block) stream."""
-    key = mix32((seed + STREAM_1) & MASK)
-    key = mix32((key + replicate) & MASK)
-    key = mix32((key + label) & MASK)
-    key = mix32((key + block) & MASK)
-    return key, mix32((key + STREAM_2) & MASK)
+    key = _mix_one(seed + STREAM_1)
+    for part in (replicate, label, block):
+        key = _mix_one(key + part)
+    return key, _mix_one(key + STREAM_2)
 
 
 def draws(seed: int, replicate: int, label: int, block: int, n: int, size: int) -> np.ndarray:
     """``n`` positions in [0, size): counter-based, so a retried task repeats them."""
-    first, second = stream_keys(seed, replicate, label, block)
-    mixed = mix32((np.arange(n, dtype=np.uint64) + np.uint64(first)) & np.uint64(MASK))
-    mixed = mix32((mixed ^ np.uint64(second)))
-    return ((mixed * np.uint64(size)) >> np.uint64(32)).astype(np.int64)
+    first, second = (np.uint32(key) for key in stream_keys(seed, replicate, label, block))
+    mixed = mix32(mix32(np.arange(n, dtype=np.uint32) + first) ^ second)
+    return ((mixed.astype(np.uint64) * np.uint64(size)) >> np.uint64(32)).astype(np.int64)
 
 
 def block_shares(seed: int, replicate: int, label: int, sizes: np.ndarray) -> np.ndarray:
@@ -108,19 +111,23 @@ def replicate_tallies(
     def resample(rows: pd.DataFrame) -> pd.DataFrame:
         label, block = int(rows["label"].iloc[0]), int(rows["block"].iloc[0])
         rows = rows.sort_values("idx")
-        pred, bins = rows["pred"].to_numpy(), rows["bin"].to_numpy()
-        conf, nll, brier = (rows[c].to_numpy() for c in ("conf", "nll", "brier"))
-        hits = pred == label
         n_rows = len(rows)
+        pred, bins = rows["pred"].to_numpy(np.int64), rows["bin"].to_numpy(np.int64)
+        flat = pred * n_bins + bins
+        order = np.argsort(flat, kind="stable")
+        flat = flat[order]
+        starts = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
+        cell_pred, cell_bin = np.divmod(flat[starts], n_bins)
+        values = rows[["conf", "nll", "brier"]].to_numpy(np.float64)[order]
         parts = []
         for b in range(n_bootstrap):
             n = int(block_shares(seed, b, label, sizes[label])[block])
-            weight = np.bincount(draws(seed, b, label, block, n, n_rows), minlength=n_rows)
-            by_class = np.bincount(pred, weight, k)
-            by_bin = [
-                np.bincount(bins, weight * v, n_bins) for v in (1, hits, conf, nll, brier)
-            ]
-            parts.append((b, by_class, by_bin, n, int((weight * hits).sum())))
+            weight = np.bincount(draws(seed, b, label, block, n, n_rows), minlength=n_rows)[order]
+            count = np.add.reduceat(weight, starts)
+            sums = np.add.reduceat(values * weight[:, None], starts, axis=0)
+            hits = np.where(cell_pred == label, count, 0)
+            by_bin = [np.bincount(cell_bin, v, n_bins) for v in (count, hits, *sums.T)]
+            parts.append((b, np.bincount(cell_pred, count, k), by_bin, n, int(hits.sum())))
         return _tally_rows(parts, label, k, n_bins)
 
     parts = keyed.select("idx", "label", "block", "pred", "bin", "conf", "nll", "brier")
