@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import ECE_BINS, SCALARS
+from ..session import with_package
 from . import metrics
 
 BLOCK_ROWS = 200_000
@@ -132,7 +133,7 @@ def replicate_tallies(
 
     parts = keyed.select("idx", "label", "block", "pred", "bin", "conf", "nll", "brier")
     return metrics.merge_tallies(
-        parts.groupBy("label", "block").applyInPandas(resample, TALLY_SCHEMA), ["b"]
+        with_package(parts).groupBy("label", "block").applyInPandas(resample, TALLY_SCHEMA), ["b"]
     )
 
 

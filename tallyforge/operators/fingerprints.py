@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import fingerprint_encoded
-from ..session import broadcast_if, stage
+from ..session import broadcast_if, stage, with_package
 
 
 HOT_SIZE = 1_000_000
@@ -37,7 +37,7 @@ def fingerprint_decoded(
             digests = [hashlib.sha256(decode(bytes(v))).hexdigest() for v in batch[payload]]
             yield pd.DataFrame({"idx": batch["idx"], "label": batch["label"], "fp": digests})
 
-    return examples.select("idx", "label", payload).mapInPandas(
+    return with_package(examples).select("idx", "label", payload).mapInPandas(
         run, "idx bigint, label int, fp string"
     )
 

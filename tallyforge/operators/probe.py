@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import argmax, literal_array, with_softmax
+from ..session import with_package
 from .classes import lookup
 from .metrics import class_weights
 
@@ -118,7 +119,7 @@ def score_batches(
                     }
                 )
 
-    return rows.select("idx", "label", features).mapInPandas(
+    return with_package(rows).select("idx", "label", features).mapInPandas(
         run, "idx bigint, label int, logits array<double>"
     )
 

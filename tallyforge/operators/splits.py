@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import SPLITS
-from ..session import broadcast_if, literal_table, stage
+from ..session import broadcast_if, literal_table, stage, with_package
 from . import fingerprints as fp_ops
 
 PREFIX_DIGITS = 4
@@ -100,7 +100,7 @@ def quotas(strata: DataFrame, fractions: Sequence[float]) -> DataFrame:
             columns=["label", "size", "q_train", "q_validation", "q_test"],
         )
 
-    return strata.groupBy("label").applyInPandas(per_class, QUOTA_SCHEMA)
+    return with_package(strata).groupBy("label").applyInPandas(per_class, QUOTA_SCHEMA)
 
 
 def quota_rows(strata: DataFrame, fractions: Sequence[float]) -> DataFrame:

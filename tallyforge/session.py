@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -66,6 +68,31 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_package(df: DataFrame) -> DataFrame:
+    """``df``, once this package is on the path of the Python workers that will read it.
+
+    Workers import it by name. A package that came as a zip file was shipped already.
+    """
+    package = os.path.dirname(os.path.abspath(__file__))
+    context = df.sparkSession.sparkContext
+    if os.path.isdir(package):
+        archive = _package_archive(context.applicationId, package)
+        if archive not in _shipped:
+            context.addPyFile(archive)
+            _shipped.add(archive)
+    return df
+
+
+_shipped: set[str] = set()
+
+
+@cache
+def _package_archive(application: str, package: str) -> str:
+    target = os.path.join(tempfile.mkdtemp(prefix="tallyforge-"), "tallyforge")
+    parent, name = os.path.split(package)
+    return shutil.make_archive(target, "zip", root_dir=parent, base_dir=name)
+
+
 def broadcast_if(small: DataFrame, n_rows: int, limit: int = 1_000_000) -> DataFrame:
     """Broadcast hint when a known row count is within ``limit``.
 
