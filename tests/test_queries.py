@@ -12,6 +12,8 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 
 from compare_engines import TABLES, normalised  # noqa: E402
 
+from tallyforge.workload.registry import ORACLES, QUERIES  # noqa: E402
+
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 ROWS_ONLY = {"stratified_group_split", "train_probe", "tune_probe"}
@@ -26,16 +28,17 @@ def duck():
 
 
 def test_only_known_queries_lack_a_twin():
-    assert set(contract.queries()) - set(contract.oracle_sql()) == ROWS_ONLY
+    assert set(QUERIES) - set(ORACLES) == ROWS_ONLY
+    assert set(QUERIES) <= set(contract.queries())
 
 
 def test_entry(spark):
     assert contract.entry(spark).count() == 1
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
-    df = contract.queries()[name](spark, FOLDER)
+    df = QUERIES[name](spark, FOLDER)
     plan = df._jdf.queryExecution().executedPlan().toString()
     for costly in ("NestedLoop", "Cartesian", "isnotnull(sha2", "isnotnull(array_position"):
         assert costly not in plan
@@ -43,6 +46,6 @@ def test_query(spark, duck, name):
     if name in ROWS_ONLY:
         assert rows
         return
-    cursor = duck.execute(contract.oracle_sql()[name])
+    cursor = duck.execute(ORACLES[name])
     wanted = normalised([d[0] for d in cursor.description], cursor.fetchall())
     assert normalised(df.columns, rows) == wanted
