@@ -54,7 +54,7 @@ def test_exchange_between_groups(spark):
     assert sorted(r["doc_id"] for r in got) == list(range(4000))
     used = check_places(got, packing.CAPACITY)
     whole = packing.best_fit(-np.sort(-lengths))[0].max() + 1
-    assert packing.lower_bound(lengths) <= used <= 1.01 * whole
+    assert packing.lower_bound(lengths) <= used <= 1.03 * whole
 
 
 def test_lower_bound_is_valid_and_sharp():
