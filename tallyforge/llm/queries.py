@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..workload.registry import Query
 from ..workload.views import table
-from . import packing
+from . import langid, packing, quality, substrings, warc
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +27,69 @@ def query(name: str, sql: str | None = None):
 TOKENIZER = "word_bpe_49k.json"
 
 
+OP2 = """
+WITH t AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT r, unnest(range(1, len(w) - 33)) AS at, w FROM t WHERE len(w) >= 35
+), h AS (
+  SELECT r, at, md5(array_to_string(w[at:at + 34], ' ')) AS k FROM s
+), rep AS (
+  SELECT r, at FROM h SEMI JOIN (SELECT k FROM h GROUP BY k HAVING count(*) > 1) d USING (k)
+), cut AS (
+  SELECT DISTINCT r, unnest(range(at, at + 35)) AS at FROM rep
+), word AS (
+  SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS at FROM t
+), kept AS (
+  SELECT r, string_agg(word, ' ' ORDER BY at) AS text, count(*) AS n
+  FROM word ANTI JOIN cut USING (r, at) GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM t LEFT JOIN kept USING (r)
+"""
+
+
+@query("op2_substring_dedup", OP2)
+def op2_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    kept = substrings.remove_repeats(table(spark, sf, "documents"))
+    return kept.select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256")
+    )
+
+
+def remainder(divisor: int):
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(divisor))
+
+
+@query("op3_language_id")
+def op3_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model = langid.train(docs.where(remainder(4) != 2))
+    return langid.identify(docs, model).select(
+        "doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score"
+    )
+
+
+@query("op4_quality")
+def op4_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    labels = table(spark, sf, "labels").where(remainder(5) != 0)
+    network = quality.train(docs, labels.select("doc_id", F.col("quality").alias("label")))
+    return quality.score(docs, network).select(
+        "doc_id", (remainder(5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted")
+    )
+
+
+@query("op9_warc")
+def op9_warc(spark: SparkSession, sf: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 @query("op10_pack")
 def op10_pack(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf, "documents"), public_tokenizers.path(TOKENIZER))
