@@ -33,18 +33,18 @@ WITH t AS (
          regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w
   FROM documents
 ), s AS (
-  SELECT r, unnest(range(1, len(w) - 33)) AS at, w FROM t WHERE len(w) >= 35
+  SELECT r, unnest(range(1, len(w) - 33)) AS p, w FROM t WHERE len(w) >= 35
 ), h AS (
-  SELECT r, at, md5(array_to_string(w[at:at + 34], ' ')) AS k FROM s
+  SELECT r, p, md5(array_to_string(list_slice(w, p, p + 34), ' ')) AS k FROM s
 ), rep AS (
-  SELECT r, at FROM h SEMI JOIN (SELECT k FROM h GROUP BY k HAVING count(*) > 1) d USING (k)
+  SELECT r, p FROM h SEMI JOIN (SELECT k FROM h GROUP BY k HAVING count(*) > 1) d USING (k)
 ), cut AS (
-  SELECT DISTINCT r, unnest(range(at, at + 35)) AS at FROM rep
+  SELECT DISTINCT r, unnest(range(p, p + 35)) AS p FROM rep
 ), word AS (
-  SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS at FROM t
+  SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM t
 ), kept AS (
-  SELECT r, string_agg(word, ' ' ORDER BY at) AS text, count(*) AS n
-  FROM word ANTI JOIN cut USING (r, at) GROUP BY r
+  SELECT r, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n
+  FROM word ANTI JOIN cut USING (r, p) GROUP BY r
 )
 SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed,
        sha256(coalesce(kept.text, '')) AS kept_sha256
