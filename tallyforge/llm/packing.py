@@ -18,6 +18,7 @@ import math
 import os
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -94,11 +95,16 @@ class WordTokenizer:
         return self.flat[index], np.concatenate([[0], after])[words.first]
 
 
+@cache
+def word_tokenizer(path: str) -> WordTokenizer:
+    """One per worker process, so that known words outlast a task."""
+    return WordTokenizer(path)
+
+
 def _pieces(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, deal = None, 0
+        tokenizer, deal = word_tokenizer(path), 0
         for batch in batches:
-            tokenizer = tokenizer or WordTokenizer(path)
             for a, b in W.slices(batch.column("text")):
                 keys = batch.column("doc_id").slice(a, b - a).to_pylist()
                 ids, at = tokenizer.texts(batch.column("text").slice(a, b - a))
