@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..workload.registry import Query
 from ..workload.views import table
-from . import langid, packing, quality, substrings, warc
+from . import chat, decontaminate, langid, lines, minhash, neighbours, packing, quality, substrings, warc
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +27,59 @@ def query(name: str, sql: str | None = None):
 TOKENIZER = "word_bpe_49k.json"
 
 
+OP1 = """
+WITH b AS (
+  SELECT row_number() OVER () AS it, item_id,
+         list_filter(string_split_regex(lower(text), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS w
+  FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL
+), bs AS (
+  SELECT it, item_id, len(s) AS m, s FROM (
+    SELECT it, item_id, list_transform(range(1, greatest(len(w) - 4, 1) + 1),
+           i -> array_to_string(list_slice(w, i, i + 4), ' ')) AS s
+    FROM b WHERE len(w) > 0)
+), d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         list_filter(string_split_regex(lower(text), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS w
+  FROM documents WHERE text IS NOT NULL
+), ds AS (
+  SELECT r, doc_id, list_transform(range(1, greatest(len(w) - 4, 1) + 1),
+         i -> array_to_string(list_slice(w, i, i + 4), ' ')) AS s
+  FROM d WHERE len(w) > 0
+), bp AS (
+  SELECT it, m, unnest(s) AS h, unnest(range(len(s))) AS off FROM bs
+), dp AS (
+  SELECT r, len(s) AS n, unnest(s) AS h, unnest(range(len(s))) AS pos FROM ds
+), hits AS (
+  SELECT r, it, m, pos, greatest(0, least(pos - off, n - m)) AS st FROM dp JOIN bp USING (h)
+), near AS (
+  SELECT r, it FROM hits GROUP BY r, it, m HAVING count(DISTINCT pos) * 100 >= m * 75
+), starts AS (
+  SELECT DISTINCT r, it, m, st FROM hits SEMI JOIN near USING (r, it)
+), win AS (
+  SELECT r, it, m, st, list_slice(s, st + 1, st + m) AS x FROM starts JOIN ds USING (r)
+), have AS (
+  SELECT r, it, m, st, len(x) AS n, h, count(*) AS c
+  FROM (SELECT *, unnest(x) AS h FROM win) GROUP BY ALL
+), want AS (
+  SELECT it, h, count(*) AS k FROM bp GROUP BY it, h
+), sim AS (
+  SELECT r, it, st, any_value(m) + any_value(n) - sum(least(c, k)) AS total, sum(least(c, k)) AS common
+  FROM have JOIN want USING (it, h) GROUP BY r, it, st
+), best AS (
+  SELECT *, row_number() OVER (PARTITION BY r, item_id ORDER BY common / total DESC, st) AS o
+  FROM sim JOIN bs USING (it) WHERE common * 100 >= total * 75
+)
+SELECT doc_id, item_id, st::BIGINT AS start, len(list_slice(ds.s, st + 1, st + m))::BIGINT AS n_shingles,
+       common::BIGINT AS common, total::BIGINT AS total
+FROM best JOIN ds USING (r) WHERE o = 1
+"""
+
+
+@query("op1_decontaminate", OP1)
+def op1_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.leaked_documents(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 OP2 = """
 WITH t AS (
   SELECT row_number() OVER () AS r, doc_id,
@@ -83,6 +136,115 @@ def op4_quality(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("op5_nearest")
+def op5_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.search(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op6_near_duplicates")
+def op6_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    found = minhash.near_duplicates(table(spark, sf, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+OP7 = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, source, string_split(text, chr(10)) AS ls FROM documents
+), l AS (
+  SELECT r, doc_id, source, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS p FROM d
+), k AS (
+  SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS k FROM l
+), s AS (
+  SELECT k, min(coalesce(doc_id, -1)) AS first FROM k WHERE k <> ''
+  GROUP BY k HAVING count(DISTINCT coalesce(source, chr(0))) >= {lines.MIN_SITES}
+), g AS (
+  SELECT r, p, line, s.k IS NOT NULL AND first <> coalesce(doc_id, -1) AS gone FROM k LEFT JOIN s USING (k)
+), t AS (
+  SELECT r, sum(gone::INT) AS n_removed, string_agg(line, chr(10) ORDER BY p) FILTER (NOT gone) AS text
+  FROM g GROUP BY r
+)
+SELECT doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       sha256(coalesce(t.text, '')) AS kept_sha256
+FROM d LEFT JOIN t USING (r)
+"""
+
+
+@query("op7_line_dedup", OP7)
+def op7_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    kept = lines.remove_boilerplate(table(spark, sf, "documents"))
+    return kept.select(
+        "doc_id",
+        F.col("_tf_lines").alias("n_lines"),
+        F.col("_tf_removed").alias("n_removed"),
+        F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"),
+    )
+
+
+SCHEMAS = {
+    "search": {
+        "type": "object",
+        "additionalProperties": False,
+        "required": ["limit", "query"],
+        "properties": {
+            "limit": {"type": "integer", "minimum": 1, "maximum": 50},
+            "query": {"type": "string", "minLength": 1, "maxLength": 300},
+        },
+    }
+}
+
+
+OP8 = """
+WITH call AS (
+  SELECT conv_id, turn, 't' || turn AS call_id, text, 1 + length(text) % 60 AS lim,
+         CASE role WHEN 'user' THEN 'search' ELSE 'setup' END AS tool
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY role, text) AS o
+        FROM conversations WHERE role IN ('user', 'system') AND conv_id IS NOT NULL AND turn IS NOT NULL) WHERE o = 1
+), result AS (
+  SELECT conv_id, turn AS result_turn, 't' || (turn - 1) AS call_id, text AS result
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY text) AS o
+        FROM conversations WHERE role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL) WHERE o = 1
+), j AS (
+  SELECT * FROM call FULL JOIN result USING (conv_id, call_id)
+), l AS (
+  SELECT *, CASE WHEN turn IS NULL THEN NULL WHEN turn = 0 THEN 0
+      WHEN NOT EXISTS (SELECT 1 FROM call c WHERE c.conv_id = j.conv_id AND c.turn = 0) THEN NULL
+      ELSE 1 END AS level
+  FROM j
+), v AS (
+  SELECT *, CASE WHEN turn IS NULL THEN 'call' WHEN tool <> 'search' THEN 'tool'
+      WHEN lim > 50 THEN '$.limit: range'
+      WHEN length(text) < 1 OR length(text) > 300 THEN '$.query: length'
+      WHEN level IS NULL THEN 'order' END AS reason
+  FROM l
+)
+SELECT conv_id, call_id, turn, tool, level::BIGINT AS level, result_turn, reason IS NULL AS valid, reason,
+  '{"arguments":' || CASE WHEN turn IS NULL THEN 'null' ELSE '{"limit":' || lim || ',"query":' || to_json(text) || '}' END
+  || ',"call":' || to_json(call_id) || ',"result":' || coalesce(to_json(result)::VARCHAR, 'null')
+  || ',"tool":' || coalesce(to_json(tool)::VARCHAR, 'null') || ',"valid":' || (reason IS NULL)::VARCHAR || '}' AS line
+FROM v
+"""
+
+
+@query("op8_tool_calls", OP8)
+def op8_tool_calls(spark: SparkSession, sf: str) -> DataFrame:
+    """User and system turns are calls that need the conversation's opening turn; an assistant's
+    turn is the result of the call before it."""
+    turns = table(spark, sf, "conversations")
+    call_id = lambda turn: F.concat(F.lit("t"), turn.cast("string"))
+    calls = turns.where(F.col("role").isin("user", "system")).select(
+        "conv_id",
+        "turn",
+        call_id(F.col("turn")).alias("call_id"),
+        F.when(F.col("role") == "user", "search").otherwise("setup").alias("tool"),
+        F.to_json(F.struct((1 + F.length("text") % 60).alias("limit"), F.col("text").alias("query"))).alias("arguments"),
+        F.when(F.col("turn") == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("t0"))).alias("needs"),
+    )
+    results = turns.where(F.col("role") == "assistant").select(
+        "conv_id", "turn", call_id(F.col("turn") - 1).alias("call_id"), "text"
+    )
+    return chat.format_calls(calls, results, SCHEMAS).withColumn("level", F.col("level").cast("bigint"))
+
+
 @query("op9_warc")
 def op9_warc(spark: SparkSession, sf: str) -> DataFrame:
     return warc.round_trip(table(spark, sf, "pages")).select(
