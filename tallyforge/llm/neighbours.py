@@ -121,8 +121,8 @@ def _assign(book: Codebook):
         for b in batches:
             if b.num_rows:
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("cls"), b.column("vec"), pa.array(book.cells(matrix(b.column("vec"))).astype(np.int32))],
-                    ["cls", "vec", "cell"],
+                    [*b.columns, pa.array(book.cells(matrix(b.column("vec"))).astype(np.int32))],
+                    [*b.schema.names, "cell"],
                 )
 
     return run
@@ -237,6 +237,7 @@ def _rank(k: int):
         out = []
         if len(rows) and len(asks):
             x, cls, cell = np.vstack(rows["vec"]), rows["cls"].to_numpy(), rows["cell"].to_numpy()
+            least = rows["least"].to_numpy()
             local = {c: i for i, c in enumerate(np.unique(cell).tolist())}
             at = np.array([local[c] for c in cell.tolist()])
             for begin in range(0, len(asks), 256):
@@ -246,13 +247,20 @@ def _rank(k: int):
                     walked[i, [local[c] for c in cells if c in local]] = True
                 q = np.vstack(part["vec"])
                 scores = np.where(walked[:, at], q @ x.T, -np.inf)
-                top = _top(scores, k)
-                value = np.take_along_axis(scores, top, 1)
-                who, column = np.nonzero(value > -np.inf)
-                chosen = top[who, column]
+                bar = np.partition(scores, -k, 1)[:, -k] if scores.shape[1] > k else np.full(len(q), -np.inf)
+                bar = bar - 1e-9 * (1 + np.where(np.isfinite(bar), np.abs(bar), 0))  # ties are settled below
+                who, chosen = np.nonzero((scores >= bar[:, None]) & (scores > -np.inf))
                 exact = (q[who] * x[chosen]).sum(1)
-                out.append(pd.DataFrame({"q": part["q"].to_numpy()[who], "cls": cls[chosen], "score": exact}))
-        return pd.concat(out) if out else pd.DataFrame({"q": [], "cls": [], "score": []})
+                order = np.lexsort((least[chosen], -exact, who))
+                who, chosen, exact = who[order], chosen[order], exact[order]
+                first = np.searchsorted(who, np.arange(len(q)))
+                best = np.arange(len(who)) - first[who] < k
+                out.append(
+                    pd.DataFrame(
+                        {"q": part["q"].to_numpy()[who], "cls": cls[chosen], "least": least[chosen], "score": exact}
+                    )[best]
+                )
+        return pd.concat(out) if out else pd.DataFrame({"q": [], "cls": [], "least": [], "score": []})
 
     return run
 
@@ -270,7 +278,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     members = stage(members.select(F.col("vec_id").alias("query_id"), F.col("cls").alias("q")), "queries")
     fit = known.orderBy(F.xxhash64("cls")).limit(FIT_ROWS).select("vec").toPandas()
     book = Codebook(np.vstack(fit["vec"]), n)
-    index = stage(with_package(known.select("cls", "vec")).mapInArrow(_assign(book), "cls bigint, vec array<double>, cell int"), "index")
+    index = stage(with_package(known.select("cls", F.get("ids", F.lit(0)).alias("least"), "vec")).mapInArrow(
+            _assign(book), "cls bigint, least bigint, vec array<double>, cell int"
+        ), "index")
     counts = np.zeros(book.k**2, np.int64)
     for r in index.groupBy("cell").count().toLocalIterator():
         counts[r["cell"]] = r["count"]
@@ -280,7 +290,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     if len(sample):
         length = max(length, walk_length(book, counts, sample, index, k))
     blocks = Blocks(counts)
-    placed = with_package(index).mapInArrow(_place(blocks), "cls bigint, vec array<double>, cell int, block bigint")
+    placed = with_package(index).mapInArrow(_place(blocks), "cls bigint, least bigint, vec array<double>, cell int, block bigint")
     probes = with_package(asked.select(F.col("q").alias("cls"), "vec")).mapInArrow(
         _probe(book, counts, blocks, length), "q bigint, block bigint, cells array<int>"
     )
@@ -297,9 +307,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
         with_package(dealt)
         .groupBy("block", "chunk")
         .cogroup(asks.groupBy("block", "chunk"))
-        .applyInPandas(_rank(k + 1), "q bigint, cls bigint, score double")
+        .applyInPandas(_rank(k + 1), "q bigint, cls bigint, least bigint, score double")
     )
-    best = Window.partitionBy("q").orderBy(F.desc("score"), "cls")
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "least")
     found = found.withColumn("at", F.row_number().over(best)).where(F.col("at") <= k + 1).drop("at")
     found = stage(found, "nearest-classes")
     entry = F.struct((-F.col("score")).alias("far"), F.col("id"))

@@ -30,20 +30,20 @@ TOKENIZER = "word_bpe_49k.json"
 OP1 = """
 WITH b AS (
   SELECT row_number() OVER () AS it, item_id,
-         list_filter(string_split_regex(lower(text), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS w
+         list_filter(string_split_regex(lower(text), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
   FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL
 ), bs AS (
   SELECT it, item_id, len(s) AS m, s FROM (
     SELECT it, item_id, list_transform(range(1, greatest(len(w) - 4, 1) + 1),
-           i -> array_to_string(list_slice(w, i, i + 4), ' ')) AS s
+           lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) AS s
     FROM b WHERE len(w) > 0)
 ), d AS (
   SELECT row_number() OVER () AS r, doc_id,
-         list_filter(string_split_regex(lower(text), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS w
+         list_filter(string_split_regex(lower(text), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
   FROM documents WHERE text IS NOT NULL
 ), ds AS (
   SELECT r, doc_id, list_transform(range(1, greatest(len(w) - 4, 1) + 1),
-         i -> array_to_string(list_slice(w, i, i + 4), ' ')) AS s
+         lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) AS s
   FROM d WHERE len(w) > 0
 ), bp AS (
   SELECT it, m, unnest(s) AS h, unnest(range(len(s))) AS off FROM bs
