@@ -102,8 +102,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> Data
     """Leaked items: document key, item_id, start (in words), n_shingles, common, total; the best
     window of each pair, the first of equals."""
     items = with_shingles(
-        benchmark.where("item_id is not null").select(F.col("item_id").cast("bigint").alias("item_id"), "text")
-    ).where("_tf_n > 0")
+        benchmark.where(F.col("item_id").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(
+            F.col("item_id").cast("bigint").alias("item_id"), "text"
+        )
+    )
     items = items.select("item_id", "_tf_shingles", F.col("_tf_n").alias("_tf_m")).dropDuplicates(["item_id", "_tf_shingles"])
     # items may repeat an id with other texts, so they are told apart by their own number
     items = stage(items.withColumn("_tf_item", F.xxhash64("item_id", "_tf_shingles")), "items")
@@ -111,7 +113,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> Data
     places = stage(places, "item-shingles")
     small = places.count() * ROW_BYTES <= BROADCAST_BYTES
     texts = with_key(docs.select("doc_id", "text")).drop("doc_id")
-    found = with_shingles(texts).select(*KEY, "_tf_n", F.posexplode("_tf_shingles").alias("_tf_pos", "_tf_h"))
+    # the outer form: from the plain one the optimizer infers a filter that cuts the text per shingle
+    found = with_shingles(texts).select(*KEY, "_tf_n", F.posexplode_outer("_tf_shingles").alias("_tf_pos", "_tf_h"))
     hits = found.join(F.broadcast(places) if small else places, "_tf_h")
     start = F.greatest(F.lit(0), F.least(F.col("_tf_pos") - F.col("_tf_off"), F.col("_tf_n") - F.col("_tf_m")))
     near = (
