@@ -8,8 +8,9 @@ words gains more than the penalty by leaving the best single language, that lang
 optimal path.
 
 Defined results: a null text, and one without letters, is ``und`` with score 0 and no spans. Ties
-go to the language that sorts first. Rows with null text or language train nothing. Training
-without any usable row raises ValueError.
+go to the language that sorts first. Letters of a script that no language uses count against the
+score. Rows with null text or language train nothing. A model without any training row labels
+every text ``und``.
 """
 
 from __future__ import annotations
@@ -132,8 +133,6 @@ def train(docs: DataFrame, penalty: float = PENALTY) -> Model:
         with_package(rows).mapInArrow(_count, COUNTS).groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     ).toPandas()
     langs = sorted(counts["lang"].unique())
-    if not langs:
-        raise ValueError("no row with text and language to learn from")
     n = np.zeros((BUCKETS + len(SCRIPT_NAMES), len(langs)))
     n[counts["bucket"], [langs.index(v) for v in counts["lang"]]] = counts["n"]
     grams, scripts = n[:BUCKETS], n[BUCKETS:]
@@ -176,10 +175,11 @@ def label(model: Model, texts: list[str | None]) -> list[tuple[str, float, list[
     """Language, share of the letters in it, and spans (from, to, language) of each text."""
     out: list[tuple[str, float, list[dict]]] = [(UNKNOWN, 0.0, [])] * len(texts)
     found = letters([t or "" for t in texts])
-    if not len(found.word_start):
+    if not len(found.word_start) or not model.langs:
         return out
     scores = word_scores(model, found)
     size = np.diff(np.append(found.word_start, len(found.bucket)))
+    known = model.allowed[found.script[found.word_start]].any(1)
     first = np.searchsorted(found.word_text, np.arange(len(texts) + 1))
     for i in range(len(texts)):
         a, b = first[i], first[i + 1]
@@ -188,13 +188,14 @@ def label(model: Model, texts: list[str | None]) -> list[tuple[str, float, list[
         path = best_path(scores[a:b], model.penalty)
         share = np.bincount(path, weights=size[a:b], minlength=len(model.langs))
         top = int(share.argmax())
+        sure = share[top] - size[a:b][(path == top) & ~known[a:b]].sum()
         turn = np.flatnonzero(np.diff(path)) + 1
         starts, stops = np.append(0, turn), np.append(turn, b - a)
         spans = [
             {"start": int(found.word_at[a + s]), "stop": int(found.word_end[a + e - 1]), "lang": model.langs[path[s]]}
             for s, e in zip(starts, stops)
         ]
-        out[i] = (model.langs[top], float(share[top] / share.sum()), spans)
+        out[i] = (model.langs[top], float(sure / share.sum()), spans)
     return out
 
 
@@ -226,3 +227,25 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     every row of ``docs``."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     return with_package(rows).mapInArrow(_label(model), LABELS)
+
+
+def _accept(model: Model, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in W.slices(batch.column("text")):
+                part = batch.slice(a, b - a)
+                texts = part.column("text").to_pylist()
+                if model.langs:
+                    fine = [lang != UNKNOWN and score >= least for lang, score, _ in label(model, texts)]
+                else:
+                    has = np.bincount(letters([t or "" for t in texts]).word_text, minlength=len(texts))
+                    fine = (has > 0).tolist()
+                yield part.filter(pa.array(fine, pa.bool_()))
+
+    return run
+
+
+def accepted(docs: DataFrame, model: Model, least_share: float) -> DataFrame:
+    """Rows of ``docs``, all columns as they are, whose text has letters and is in one language by
+    ``least_share`` at least. A model without languages only asks for letters."""
+    return with_package(docs).mapInArrow(_accept(model, least_share), docs.schema)

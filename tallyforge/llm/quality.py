@@ -9,8 +9,8 @@ numpy on a bounded sample of labelled rows, and a temperature fitted on a part h
 its outputs probabilities.
 
 Defined results: a null text counts as empty and is scored from its zero vector. Rows with a null
-text, label or id train nothing. A document id with several labels trains with each. Fitting
-without any usable label raises ValueError; with one class only, all scores lean to it.
+text, label or id train nothing. A document id with several labels trains with each. Without any
+usable label every score is 0.5; with one class only, all scores lean to it.
 """
 
 from __future__ import annotations
@@ -247,7 +247,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
     found = with_package(rows.select("label", "text")).mapInArrow(_features(vectors), "label int, x array<double>")
     found = found.limit(4 * sample).toPandas()
     if not len(found):
-        raise ValueError("no labelled text to learn from")
+        zero = np.zeros
+        return Network(vectors, zero(FEATURES), zero(FEATURES), zero((FEATURES, HIDDEN)), zero(HIDDEN), zero(HIDDEN), 0.0)
     order = np.lexsort(np.vstack(found["x"]).T)
     return fit_network(vectors, np.vstack(found["x"])[order], found["label"].to_numpy(float)[order])
 

@@ -63,5 +63,14 @@ def test_frame(spark, docs_of, model):
 
 
 def test_nothing_to_learn(docs_of):
-    with pytest.raises(ValueError):
-        langid.train(docs_of([]))
+    model = langid.train(docs_of([]))
+    rows = [(1, "abc"), (2, None), (3, "12")]
+    assert [r["lang_pred"] for r in langid.identify(docs_of(rows), model).collect()] == ["und"] * 3
+    assert [r["doc_id"] for r in langid.accepted(docs_of(rows), model, 0.3).collect()] == [1]
+
+
+def test_accepted(spark, model):
+    rows = [(1, "ka ta pa", "x", 1.5), (2, None, "x", None), (3, "!!", "x", 1.0), (4, "日本語日本語", None, 1.0), (None, "ol um er", "y", 2.0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang_pred string, score double")
+    kept = langid.accepted(docs, model, 0.3)
+    assert kept.schema == docs.schema and [tuple(r) for r in kept.collect()] == [rows[0], rows[4]]

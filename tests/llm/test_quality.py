@@ -2,7 +2,6 @@ import random
 
 import numpy as np
 import pyarrow as pa
-import pytest
 
 from tallyforge.llm import quality
 
@@ -47,8 +46,8 @@ def test_learns_and_calibrates(spark, docs_of):
 
 
 def test_empty(spark, docs_of):
-    with pytest.raises(ValueError):
-        quality.train(docs_of([]), spark.createDataFrame([], LABELS))
+    none = quality.train(docs_of([]), spark.createDataFrame([], LABELS))
+    assert [r["score"] for r in quality.score(docs_of([(1, "a b")]), none).collect()] == [0.5]
     net = quality.fit_network(np.zeros((quality.ROWS, quality.DIM), np.float32), np.zeros((3, quality.FEATURES)), np.ones(3))
     assert quality.score(docs_of([]), net).count() == 0
     odd = spark.createDataFrame([(1, "a", 0.5, 2)], "doc_id bigint, text string, score double, label int")
