@@ -16,12 +16,13 @@ def rows_of(spark, labels, logits):
     )
 
 
-def test_overconfidence_is_reduced(spark):
-    rows = rows_of(spark, [0] * 8 + [1] * 2, [[6, 0]] * 10)
-    found = calibration.fit_temperature(rows, 2)
-    assert found == pytest.approx(6 / math.log(4))
-    loss = lambda t: metrics.mean_nll(with_softmax(rows, 2, t)).first()["nll"]
-    assert loss(found) < loss(1.0)
+def test_temperature_of_one_margin_by_hand(spark):
+    # 12 of 15 rows right at margin 5: the softmax must give 4/5, so 5 / t = ln 4
+    rows = rows_of(spark, [2] * 12 + [0] * 3, [[0, -400, 5]] * 15)
+    found = calibration.fit_temperature(rows, 3)
+    assert found == pytest.approx(5 / math.log(4), rel=1e-6)
+    loss = lambda t: metrics.mean_nll(with_softmax(rows, 3, t)).first()["nll"]
+    assert loss(found) < min(loss(1.0), loss(found * 1.1), loss(found / 1.1))
 
 
 def test_temperature_is_the_minimum(spark):
@@ -60,15 +61,17 @@ def test_long_arrays(spark):
     assert short[0][1] == pytest.approx(slope)
 
 
-def test_bootstrap_is_reproducible_and_collapses(spark):
-    labels = [0, 0, 0, 1, 1, 1]
-    rows = predictions(spark, labels, one_hot(labels, 2))
-    a = {r["metric"]: r for r in bootstrap.bootstrap_ci(rows, 2, 30, 7).collect()}
-    b = {r["metric"]: r for r in bootstrap.bootstrap_ci(rows.repartition(4), 2, 30, 7).collect()}
-    assert a == b
-    assert a["macro_f1"]["lower"] == a["macro_f1"]["estimate"] == a["macro_f1"]["upper"] == 1
+def test_bootstrap_repeats_itself_and_has_no_width_without_errors(spark):
+    labels = [i % 3 for i in range(40)]
+    rows = predictions(spark, labels, one_hot(labels, 3))
+    found = [
+        sorted(tuple(r) for r in bootstrap.bootstrap_ci(rows.repartition(n), 3, 25, 13).collect())
+        for n in (1, 6)
+    ]
+    assert found[0] == found[1]
+    assert all(estimate == lower == upper for _, estimate, lower, upper in found[0])
     with pytest.raises(ValueError):
-        bootstrap.bootstrap_ci(rows, 2, 0, 7)
+        bootstrap.bootstrap_ci(rows, 3, -1, 13)
 
 
 def noisy(spark, n, k, seed):
@@ -82,18 +85,27 @@ def noisy(spark, n, k, seed):
     return labels, probs, predictions(spark, labels, probs)
 
 
-def test_blocks_keep_class_counts_and_agree_with_one_block(spark):
+def test_blocks_and_partitions_change_nothing(spark):
+    labels, _, rows = noisy(spark, 1200, 3, 1)
+    frame = metrics.score_frame(rows, 3, keep=["idx"])
+    found = []
+    for block_rows, parts in ((1, 1), (64, 3), (300, 5), (10**9, 2)):
+        tally = bootstrap.replicate_tallies(frame.repartition(parts), 3, 12, 5, block_rows, leaf_rows=40)
+        found.append({(r["b"], r["kind"], r["key"]): tuple(r)[3:] for r in tally.collect()})
+    for other in found[1:]:
+        assert set(other) == set(found[0])
+        for key, values in other.items():
+            assert values == pytest.approx(found[0][key], abs=1e-9)
+    supports = {(b, key): v[0] for (b, kind, key), v in found[0].items() if kind == "class" and v[0]}
+    assert supports == {(b, c): labels.count(c) for b in range(12) for c in range(3)}
+
+
+def test_many_leaves_spread_like_one(spark):
     labels, _, rows = noisy(spark, 1200, 3, 1)
     frame = metrics.score_frame(rows, 3, keep=["idx"])
-    whole = bootstrap.replicate_tallies(frame, 3, 200, 5)
-    split = bootstrap.replicate_tallies(frame, 3, 200, 5, block_rows=100)
-    for tally in (whole, split):
-        supports = tally.filter("kind = 'class' and support > 0").select("key", "support").distinct()
-        assert {(r["key"], r["support"]) for r in supports.collect()} == {
-            (c, labels.count(c)) for c in range(3)
-        }
     spread = []
-    for tally in (whole, split):
+    for leaf_rows in (10**6, 50):
+        tally = bootstrap.replicate_tallies(frame, 3, 200, 5, leaf_rows=leaf_rows)
         values = [r["accuracy"] for r in metrics.scalars(tally, 3, ["b"]).collect()]
         spread.append((np.mean(values), np.std(values)))
     truth = metrics.scalars(metrics.tallies(metrics.cells(frame)), 3).first()["accuracy"]
@@ -102,6 +114,13 @@ def test_blocks_keep_class_counts_and_agree_with_one_block(spark):
         assert std == pytest.approx(spread[0][1], rel=0.25)
 
 
+def test_shares_follow_sizes():
+    shares = [bootstrap.left_share(1, b, 2, 0, 0, 1000, 30, 100) for b in range(400)]
+    assert np.mean(shares) == pytest.approx(300, abs=3) and 10 < np.std(shares) < 19
+    assert bootstrap.left_share(1, 0, 2, 0, 0, 9, 0, 5) == 0 and bootstrap.left_share(1, 0, 2, 0, 0, 9, 5, 5) == 9
+    assert [bootstrap.tree_depth(n, 10) for n in (0, 1, 10, 11, 20, 21, 40, 41)] == [0, 0, 0, 1, 1, 2, 2, 3]
+
+
 def test_bootstrap_spread_matches_plain_resampling(spark):
     labels, probs, rows = noisy(spark, 400, 2, 3)
     found = {r["metric"]: r for r in bootstrap.bootstrap_ci(rows, 2, 400, 11).collect()}
