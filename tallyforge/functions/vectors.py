@@ -36,26 +36,39 @@ def element(values: Column, i: int) -> Column:
     return F.coalesce(at(values, i), F.lit(float("nan")))
 
 
+def exact_size(values: Column, k: int) -> Column:
+    """0.0 for an array of ``k`` elements, NaN for any other and for null.
+
+    Added to a result, it makes both forms of a loop treat wrong lengths alike.
+    """
+    return F.when(F.size(values) == k, F.lit(0.0)).otherwise(F.lit(float("nan")))
+
+
 def sum_over(values: Column, k: int, term: Callable[[Column], Column]) -> Column:
-    """Sum of ``term(element)`` over an array of ``k`` elements, first to last."""
+    """Sum of ``term(element)`` over an array of ``k`` elements; NaN for other lengths."""
     if k <= UNROLL_LIMIT:
         terms = [term(element(values, i)) for i in range(k)]
-        return reduce(lambda total, value: total + value, terms)
-    return F.aggregate(values, F.lit(0.0), lambda total, x: total + term(x))
+        return reduce(lambda total, value: total + value, terms) + exact_size(values, k)
+    total = F.aggregate(values, F.lit(0.0), lambda total, x: total + term(x))
+    return F.coalesce(total, F.lit(0.0)) + exact_size(values, k)
 
 
 def map_over(values: Column, k: int, term: Callable[[Column], Column]) -> Column:
+    """``term`` of each element; all NaN where the array has not ``k`` elements."""
     if k <= UNROLL_LIMIT:
-        return F.array(*[term(element(values, i)) for i in range(k)])
-    return F.transform(values, term)
+        return F.array(*[term(element(values, i)) + exact_size(values, k) for i in range(k)])
+    wrong = F.array_repeat(F.lit(float("nan")), k)
+    return F.when(F.size(values) == k, F.transform(values, term)).otherwise(wrong)
 
 
 def dot(left: Column, right: Column, k: int) -> Column:
+    fits = exact_size(left, k) + exact_size(right, k)
     if k <= UNROLL_LIMIT:
         terms = [element(left, i) * element(right, i) for i in range(k)]
-        return reduce(lambda total, value: total + value, terms)
+        return reduce(lambda total, value: total + value, terms) + fits
     products = F.zip_with(left, right, lambda a, b: a * b)
-    return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
+    total = F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
+    return F.coalesce(total, F.lit(0.0)) + fits
 
 
 def argmax(values: Column) -> Column:
@@ -78,7 +91,7 @@ def log_clip(p: Column) -> Column:
 def with_softmax(
     df: DataFrame, k: int, temperature: float | Column = 1.0, logits: str = "logits", out: str = "probs"
 ) -> DataFrame:
-    """Add the max-shifted softmax of ``logits / temperature``.
+    """Add the max-shifted softmax of ``logits / temperature``; NaN for a wrong length.
 
     Each exponential is a column of its own: the optimizer would inline an array that is
     only indexed, and compute every element once per use.
@@ -88,7 +101,8 @@ def with_softmax(
             raise ValueError("temperature must be finite and positive")
         temperature = F.lit(float(temperature))
     x, largest = F.col(logits), F.col("__largest")
-    shifted = df.withColumn("__largest", F.coalesce(F.array_max(x), F.lit(float("nan"))))
+    largest_of = F.coalesce(F.array_max(x), F.lit(float("nan"))) + exact_size(x, k)
+    shifted = df.withColumn("__largest", largest_of)
     if k > UNROLL_LIMIT:
         return (
             shifted.withColumn("__e", F.transform(x, lambda v: F.exp((v - largest) / temperature)))

@@ -1,10 +1,15 @@
 """Stratified percentile bootstrap without shuffling resampled rows.
 
-Every class keeps its row count in every resample. Rows of a class are cut into blocks by a
-hash of their index; a resample gives each block a multinomial share of the class's draws,
-and the block then draws its share with replacement. That has the distribution of n draws
-over the whole class, yet only one narrow frame is shuffled once, a hot class is many blocks,
-and what leaves a block is tallies: per replicate some counts by predicted class and bin.
+Every class keeps its row count in every resample. A class is a binary tree over a hash of the
+row index, with leaves of about ``LEAF_ROWS`` rows. A resample sends the class's n draws down the
+tree: a node's left child gets a binomial share by its size, and a leaf draws its share with
+replacement. That has the distribution of n draws over the whole class.
+
+Each number comes from a counter-based generator keyed by (seed, replicate, class, tree node), so
+the result is the same however rows are partitioned and grouped into blocks, and a retried task
+repeats it. A small class is one leaf of the same tree. One narrow frame is shuffled once, into
+blocks of whole leaves; a block knows its way from the root from the sizes along it, and what
+leaves it is tallies: per replicate some counts by predicted class and bin.
 """
 
 from __future__ import annotations
@@ -18,8 +23,8 @@ from ..constants import ECE_BINS, SCALARS
 from ..session import with_package
 from . import metrics
 
-BLOCK_ROWS = 200_000
-MAX_BLOCKS = 200_000
+LEAF_ROWS = 4096
+BLOCK_ROWS = 200_000  # how much a task takes; results do not depend on it
 TALLY_SCHEMA = (
     "b int, kind string, key int, support bigint, predicted bigint, hit bigint, "
     "conf double, nll double, brier double"
@@ -47,55 +52,74 @@ def _mix_one(value: int) -> int:
     return int(mix32(np.array([value & MASK], dtype=np.uint32))[0])
 
 
-def stream_keys(seed: int, replicate: int, label: int, block: int) -> tuple[int, int]:
-    """Two 32-bit keys of one (seed, replicate, class, block) stream."""
+def stream_keys(seed: int, replicate: int, label: int, leaf: int) -> tuple[int, int]:
+    """Two 32-bit keys of one (seed, replicate, class, leaf) stream."""
     key = _mix_one(seed + STREAM_1)
-    for part in (replicate, label, block):
+    for part in (replicate, label, leaf):
         key = _mix_one(key + part)
     return key, _mix_one(key + STREAM_2)
 
 
-def draws(seed: int, replicate: int, label: int, block: int, n: int, size: int) -> np.ndarray:
+def draws(seed: int, replicate: int, label: int, leaf: int, n: int, size: int) -> np.ndarray:
     """``n`` positions in [0, size): counter-based, so a retried task repeats them."""
-    first, second = (np.uint32(key) for key in stream_keys(seed, replicate, label, block))
+    first, second = (np.uint32(key) for key in stream_keys(seed, replicate, label, leaf))
     mixed = mix32(mix32(np.arange(n, dtype=np.uint32) + first) ^ second)
     return ((mixed.astype(np.uint64) * np.uint64(size)) >> np.uint64(32)).astype(np.int64)
 
 
-def block_shares(seed: int, replicate: int, label: int, sizes: np.ndarray) -> np.ndarray:
-    """Draws per block of a class, summing to its row count."""
-    total = int(sizes.sum())
-    if len(sizes) == 1:
-        return np.array([total])
-    generator = np.random.default_rng([seed, replicate, label])
-    return generator.multinomial(total, sizes / total)
-
-
-def _block_sizes(keyed: DataFrame) -> dict[int, np.ndarray]:
-    """Rows per (class, block); MAX_BLOCKS bounds how many reach the driver."""
-    rows = keyed.groupBy("label", "block").count().collect()
-    sizes: dict[int, dict[int, int]] = {}
-    for r in rows:
-        sizes.setdefault(r["label"], {})[r["block"]] = r["count"]
-    return {
-        label: np.array([found.get(i, 0) for i in range(max(found) + 1)], dtype=np.int64)
-        for label, found in sizes.items()
-    }
+def left_share(seed: int, replicate: int, label: int, level: int, node: int, n: int, left: int, size: int) -> int:
+    """Draws of ``n`` at a node of ``size`` rows that go to its left child of ``left`` rows."""
+    if n == 0 or left in (0, size):
+        return n if left else 0
+    key = [(seed & MASK) << 32 | replicate, (label & 0xFFFF) << 48 | level << 40 | node]
+    return int(np.random.Generator(np.random.Philox(key=np.array(key, np.uint64))).binomial(n, left / size))
+
+
+def tree_depth(n: int, leaf_rows: int) -> int:
+    """Levels below the root of a class of ``n`` rows; it depends on the class size alone."""
+    return max(0, -(-n // leaf_rows) - 1).bit_length()
+
 
+def shifted(value: F.Column, bits: F.Column) -> F.Column:
+    """Unsigned right shift by a column (0 to 63)."""
+    return F.call_function("shiftrightunsigned", value, bits.cast("int"))
 
-def with_blocks(frame: DataFrame, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, dict]:
-    """Add ``block`` and return the block sizes. Needs the columns idx and label."""
+
+def with_leaves(
+    frame: DataFrame, leaf_rows: int, block_rows: int
+) -> tuple[DataFrame, DataFrame, dict[int, tuple[int, int, int]]]:
+    """``frame`` with ``leaf`` and ``block``, the sizes along each block's path, and per class
+    (rows, depth of leaves, depth of blocks). Only one row per class reaches the driver."""
     counts = {r["label"]: r["count"] for r in frame.groupBy("label").count().collect()}
-    rows = max(block_rows, sum(counts.values()) // MAX_BLOCKS)
-    n_blocks = {label: -(-n // rows) for label, n in counts.items()}
-    if max(n_blocks.values(), default=1) == 1:
-        return frame.withColumn("block", F.lit(0)), {y: np.array([n]) for y, n in counts.items()}
-    per_label = F.create_map(*[F.lit(v) for pair in n_blocks.items() for v in pair])
-    keyed = frame.withColumn(
-        "block",
-        F.pmod(F.xxhash64("idx"), F.element_at(per_label, F.col("label"))).cast("int"),
+    shape = {
+        y: (n, tree_depth(n, leaf_rows), min(tree_depth(n, leaf_rows), tree_depth(n, block_rows)))
+        for y, n in counts.items()
+    }
+
+    def per_class(i: int) -> F.Column:
+        pairs = [F.lit(v) for y, facts in shape.items() for v in (y, facts[i])]
+        return F.element_at(F.create_map(*pairs), F.col("label")) if pairs else F.lit(0)
+
+    depth, top = per_class(1), per_class(2)
+    # The first bits of the hash; a shift by 64 would be one by 0, so one bit goes first.
+    leaf = shifted(F.shiftrightunsigned(F.xxhash64("idx"), 1), 63 - depth)
+    keyed = frame.withColumn("leaf", leaf)
+    keyed = keyed.withColumn("block", shifted(F.col("leaf"), depth - top))
+    blocks = keyed.groupBy("label", "block").agg(F.count("*").alias("size")).withColumn("top", top)
+    levels = blocks.withColumn("level", F.explode_outer(F.sequence(F.lit(0), F.col("top"))))
+    levels = levels.withColumn("node", shifted(F.col("block"), F.col("top") - F.col("level")))
+    goes_left = shifted(F.col("block"), F.col("top") - F.col("level") - 1).bitwiseAND(F.lit(1)) == 0
+    nodes = levels.filter("level < top").groupBy("label", "level", "node").agg(
+        F.sum("size").alias("size"), F.sum(F.when(goes_left, F.col("size")).otherwise(0)).alias("left")
+    )
+    step = F.struct("level", "node", "size", "left")
+    paths = (
+        levels.select("label", "block", "level", "node")
+        .join(nodes, ["label", "level", "node"], "left")
+        .groupBy("label", "block")
+        .agg(F.sort_array(F.collect_list(F.when(F.col("size").isNotNull(), step))).alias("path"))
     )
-    return keyed, _block_sizes(keyed)
+    return keyed, paths, shape
 
 
 def replicate_tallies(
@@ -105,14 +129,18 @@ def replicate_tallies(
     seed: int,
     block_rows: int = BLOCK_ROWS,
     n_bins: int = ECE_BINS,
+    leaf_rows: int = LEAF_ROWS,
 ) -> DataFrame:
     """Tallies of every replicate from a score frame with ``idx``."""
-    keyed, sizes = with_blocks(frame, block_rows)
+    keyed, paths, shape = with_leaves(frame, leaf_rows, block_rows)
 
-    def resample(rows: pd.DataFrame) -> pd.DataFrame:
+    def resample(rows: pd.DataFrame, way: pd.DataFrame) -> pd.DataFrame:
         label, block = int(rows["label"].iloc[0]), int(rows["block"].iloc[0])
-        rows = rows.sort_values("idx")
-        n_rows = len(rows)
+        total, depth, top = shape[label]
+        rows = rows.sort_values(["leaf", "idx"])
+        leaves, begin, sizes = np.unique(rows["leaf"].to_numpy(np.int64), return_index=True, return_counts=True)
+        inner = _inner_nodes(leaves, sizes, top, depth)
+        path = [(s["level"], s["node"], s["size"], s["left"]) for s in way["path"].iloc[0]]
         pred, bins = rows["pred"].to_numpy(np.int64), rows["bin"].to_numpy(np.int64)
         flat = pred * n_bins + bins
         order = np.argsort(flat, kind="stable")
@@ -122,8 +150,20 @@ def replicate_tallies(
         values = rows[["conf", "nll", "brier"]].to_numpy(np.float64)[order]
         parts = []
         for b in range(n_bootstrap):
-            n = int(block_shares(seed, b, label, sizes[label])[block])
-            weight = np.bincount(draws(seed, b, label, block, n, n_rows), minlength=n_rows)[order]
+            n = total
+            for level, node, size, left in path:
+                to_left = left_share(seed, b, label, level, node, n, left, size)
+                n = n - to_left if block >> (top - level - 1) & 1 else to_left
+            own = {(top, block): n}
+            for level, node, size, left in inner:
+                here = own.pop((level, node))
+                to_left = left_share(seed, b, label, level, node, here, left, size)
+                own[level + 1, 2 * node], own[level + 1, 2 * node + 1] = to_left, here - to_left
+            weight = np.zeros(len(rows), np.int64)
+            for leaf, at, size in zip(leaves.tolist(), begin.tolist(), sizes.tolist()):
+                picks = draws(seed, b, label, leaf, own[depth, leaf], size)
+                weight[at : at + size] = np.bincount(picks, minlength=size)
+            weight = weight[order]
             count = np.add.reduceat(weight, starts)
             sums = np.add.reduceat(values * weight[:, None], starts, axis=0)
             hits = np.where(cell_pred == label, count, 0)
@@ -131,10 +171,21 @@ def replicate_tallies(
             parts.append((b, np.bincount(cell_pred, count, k), by_bin, n, int(hits.sum())))
         return _tally_rows(parts, label, k, n_bins)
 
-    parts = keyed.select("idx", "label", "block", "pred", "bin", "conf", "nll", "brier")
-    return metrics.merge_tallies(
-        with_package(parts).groupBy("label", "block").applyInPandas(resample, TALLY_SCHEMA), ["b"]
-    )
+    parts = keyed.select("idx", "label", "leaf", "block", "pred", "bin", "conf", "nll", "brier")
+    ways = paths.select(F.col("label").alias("way_label"), F.col("block").alias("way_block"), "path")
+    grouped = with_package(parts).groupBy("label", "block").cogroup(ways.groupBy("way_label", "way_block"))
+    return metrics.merge_tallies(grouped.applyInPandas(resample, TALLY_SCHEMA), ["b"])
+
+
+def _inner_nodes(leaves: np.ndarray, sizes: np.ndarray, top: int, depth: int) -> list[tuple[int, int, int, int]]:
+    """(level, node, rows, rows of the left child) of a block's nodes above the leaves, top down."""
+    out = []
+    for level in range(top, depth):
+        node, left = leaves >> (depth - level), (leaves >> (depth - level - 1)) & 1 == 0
+        for i in np.unique(node).tolist():
+            mine = node == i
+            out.append((level, i, int(sizes[mine].sum()), int(sizes[mine & left].sum())))
+    return out
 
 
 def _tally_rows(parts: list, label: int, k: int, n_bins: int) -> pd.DataFrame:
@@ -177,20 +228,26 @@ def bootstrap_ci(
     n_bootstrap: int = 1000,
     seed: int = 42,
     block_rows: int = BLOCK_ROWS,
+    leaf_rows: int = LEAF_ROWS,
 ) -> DataFrame:
     """95 % intervals of the seven scalars, conditional on the observed class mixture."""
     frame = metrics.score_frame(predictions, k, keep=["idx"])
-    return frame_ci(frame, k, n_bootstrap, seed, block_rows)
+    return frame_ci(frame, k, n_bootstrap, seed, block_rows, leaf_rows)
 
 
 def frame_ci(
-    frame: DataFrame, k: int, n_bootstrap: int, seed: int, block_rows: int = BLOCK_ROWS
+    frame: DataFrame,
+    k: int,
+    n_bootstrap: int,
+    seed: int,
+    block_rows: int = BLOCK_ROWS,
+    leaf_rows: int = LEAF_ROWS,
 ) -> DataFrame:
     """The same from a score frame, best a staged one: it is read three times."""
     if n_bootstrap < 1:
         raise ValueError("n_bootstrap must be at least one")
     resampled = metrics.scalars(
-        replicate_tallies(frame, k, n_bootstrap, seed, block_rows), k, ["b"]
+        replicate_tallies(frame, k, n_bootstrap, seed, block_rows, leaf_rows=leaf_rows), k, ["b"]
     )
     estimates = metrics.scalars(metrics.tallies(metrics.cells(frame)), k)
     return intervals(resampled, estimates)

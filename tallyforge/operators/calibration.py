@@ -46,7 +46,7 @@ def _moments(rows: DataFrame, k: int, scales: Sequence[float]) -> list[tuple[flo
     """
     frame = rows.select(
         F.col("logits").alias("x"),
-        F.coalesce(at(F.col("logits"), F.col("label")), F.lit(math.nan)).alias("own"),
+        F.coalesce(F.when(F.col("label") < k, at(F.col("logits"), F.col("label"))), F.lit(math.nan)).alias("own"),
         F.coalesce(F.array_max("logits"), F.lit(math.nan)).alias("top"),
     )
     aggregates: list[Column] = []
@@ -58,7 +58,12 @@ def _moments(rows: DataFrame, k: int, scales: Sequence[float]) -> list[tuple[flo
             F.avg(mean - F.col("own")).alias(f"slope{i}"),
             F.avg(second / z - mean * mean).alias(f"curve{i}"),
         ]
-    row = frame.agg(*aggregates).first()
+    # A wrong label, length or value makes its row's terms NaN.
+    bad = F.isnan("own") | F.isnan("top") | (F.abs("top") == math.inf) | (F.abs("own") == math.inf)
+    bad = bad | (F.size("x") != k) | F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == math.inf))
+    row = frame.agg(*aggregates, F.count_if(F.coalesce(bad, F.lit(True))).alias("bad")).first()
+    if row["bad"]:
+        raise ValueError(f"calibration rows with bad labels or logits: {row['bad']}")
     return [(row[f"loss{i}"], row[f"slope{i}"], row[f"curve{i}"]) for i in range(len(scales))]
 
 
@@ -66,7 +71,8 @@ def fit_temperature(rows: DataFrame, k: int, tolerance: float = 5e-5, rounds: in
     """Temperature of least mean NLL within the bounds; 1 if nothing beats it.
 
     Safeguarded Newton in s = 1/T: each round is one scan with a map-side aggregate that
-    returns three numbers. Convexity keeps the bracket valid; a step that leaves it becomes
+    returns four numbers. Rows with a label outside the classes, or logits that are not ``k``
+    finite numbers, raise ValueError. Convexity keeps the bracket valid; a step that leaves it becomes
     a bisection. ``rows`` holds validation (label, logits) only.
     """
     low, high = 1 / TEMPERATURE_BOUNDS[1], 1 / TEMPERATURE_BOUNDS[0]

@@ -104,31 +104,50 @@ def check_artifact(rows: DataFrame, k: int, by: Sequence[str] = ()) -> DataFrame
 
 
 def check_offsets(
-    offsets: DataFrame, position: str, offset: str, total: str | int, bucket: int = 100_000
+    offsets: DataFrame, position: str, offset: str, total: Column | str | int, bucket: int = 100_000
 ) -> DataFrame:
-    """Offsets start at 0, strictly increase and end at ``total``.
+    """Offsets start at 0, strictly increase and end at ``total``; positions leave no gap.
 
-    ``position`` counts 0, 1, 2, ... Neighbours are compared inside runs of ``bucket``
-    positions; the first row of a run also travels to the run before it, so no window sees
-    the whole table.
+    ``position`` should count 0, 1, 2, ... Neighbours are compared inside runs of ``bucket``
+    positions; then the last row present of each run meets the first of the next run present,
+    over one row per run, so no window sees the whole table. ``gap`` counts absent positions.
     """
-    pos = F.col(position)
-    own = F.floor(pos / bucket)
-    edge = F.when((pos % bucket == 0) & (pos > 0), F.array(own, own - 1)).otherwise(F.array(own))
-    limit = F.col(total) if isinstance(total, str) else F.lit(total)
+    if isinstance(total, int):
+        total = F.lit(total)
     rows = offsets.select(
-        pos.alias("pos"), F.col(offset).alias("offset"), limit.alias("total"),
-        F.explode(edge).alias("run"), own.alias("own"),
+        F.col(position).alias("pos"),
+        F.col(offset).alias("offset"),
+        (F.col(total) if isinstance(total, str) else total).alias("total"),
+    ).withColumn("run", F.floor(F.col("pos") / bucket))
+    inside = Window.partitionBy("run").orderBy("pos")
+    runs = (
+        rows.withColumn("step", F.lead("offset").over(inside) - F.col("offset"))
+        .withColumn("hop", F.lead("pos").over(inside) - F.col("pos"))
+        .groupBy("run")
+        .agg(
+            F.min("pos").alias("low"),
+            F.max("pos").alias("high"),
+            F.min_by("offset", "pos").alias("first"),
+            F.max_by("offset", "pos").alias("last"),
+            F.max("total").alias("total"),
+            F.count_if(F.col("step") <= 0).alias("falls"),
+            F.coalesce(F.sum(F.when(F.col("hop") > 1, F.col("hop") - 1)), F.lit(0)).alias("absent"),
+        )
     )
-    step = F.lead("offset").over(Window.partitionBy("run").orderBy("pos")) - F.col("offset")
-    counts = rows.withColumn("step", step).filter(F.col("run") == F.col("own")).agg(
-        F.when(F.min("pos").isNull() | (F.min_by("offset", "pos") != 0), 1).otherwise(0).alias(
-            "start"
-        ),
-        F.count_if(F.col("step") <= 0).alias("not_increasing"),
-        F.when(F.max_by("offset", "pos") != F.max("total"), 1).otherwise(0).alias("end"),
+    across = Window.orderBy("run")
+    fall = F.lead("first").over(across) <= F.col("last")
+    absent = F.lead("low").over(across) - F.col("high") - 1
+    counts = (
+        runs.withColumns({"fall": fall.cast("int"), "between": absent})
+        .agg(
+            F.when(F.min("low").isNull() | (F.min_by("first", "run") != 0), 1).otherwise(0).alias("start"),
+            (F.sum("falls") + F.coalesce(F.sum("fall"), F.lit(0))).alias("not_increasing"),
+            F.when(F.max_by("last", "run") != F.max("total"), 1).otherwise(0).alias("end"),
+            (F.sum("absent") + F.coalesce(F.sum("between"), F.lit(0)) + F.min("low")).alias("gap"),
+        )
+        .select(*[F.coalesce(c, F.lit(0)).alias(c) for c in ("start", "not_increasing", "end", "gap")])
     )
-    return report(counts, ["start", "not_increasing", "end"])
+    return report(counts, ["start", "not_increasing", "end", "gap"])
 
 
 def check_inventory(required: DataFrame, present: DataFrame) -> DataFrame:

@@ -43,8 +43,10 @@ def _candidates(history: DataFrame, chunk: int) -> DataFrame:
     across = Window.partitionBy("run").orderBy("chunk").rangeBetween(Window.unboundedPreceding, -1)
     lowest = F.lit(float("-inf"))
     rises = F.col("score") > F.coalesce("near", lowest)
+    score = F.when(~F.isnan("score"), F.col("score"))
     return (
-        history.withColumn("chunk", F.floor((F.col("epoch") - 1) / chunk))
+        history.withColumn("score", score)
+        .withColumn("chunk", F.floor((F.col("epoch") - 1) / chunk))
         .select(
             "run", "chunk", "epoch", "score",
             F.max("score").over(in_order.rowsBetween(Window.unboundedPreceding, -1)).alias("near"),
@@ -123,9 +125,15 @@ def early_stop(
 
 
 def best_epoch(history: DataFrame) -> DataFrame:
-    """Earliest epoch of the highest score (the rule without a minimum step or patience)."""
+    """Earliest epoch of the highest score (the rule without a minimum step or patience).
+
+    A NaN score counts as none.
+    """
+    history = history.withColumn("score", F.when(~F.isnan("score"), F.col("score")))
     return history.groupBy("run").agg(
-        F.min_by("epoch", F.struct(-F.col("score"), F.col("epoch"))).alias("best_epoch"),
+        F.min_by("epoch", F.when(F.col("score").isNotNull(), F.struct(-F.col("score"), F.col("epoch")))).alias(
+            "best_epoch"
+        ),
         F.max("score").alias("best_score"),
     )
 
@@ -145,7 +153,8 @@ def learning_curves(history: DataFrame, series: Sequence[str]) -> DataFrame:
 def run_status(runs: DataFrame, history: DataFrame) -> DataFrame:
     """Progress of each run; a run without history has completed no epoch."""
     progress = history.groupBy("run").agg(
-        F.max("epoch").alias("completed_epochs"), F.max("val_macro_f1").alias("best_val_macro_f1")
+        F.max("epoch").alias("completed_epochs"),
+        F.max(F.when(~F.isnan("val_macro_f1"), F.col("val_macro_f1"))).alias("best_val_macro_f1"),
     )
     return runs.join(progress, "run", "left").select(
         "run",

@@ -218,6 +218,7 @@ def run_matrix(recipes: DataFrame, seeds: Sequence[int], done: DataFrame) -> Dat
 
 
 def select_recipe(results: DataFrame, score: str = "score", order: str = "candidate") -> DataFrame:
-    """Candidate with the largest score; the first one wins a tie."""
+    """Candidate with the largest finite score; the first one wins a tie."""
+    results = results.filter(F.col(score).isNotNull() & (F.abs(score) < float("inf")))
     best = F.max(F.struct(F.col(score), (-F.col(order)).alias("o"), F.struct("*").alias("r")))
     return results.agg(best.alias("best")).select("best.r.*")

@@ -26,7 +26,7 @@ QUOTA_SCHEMA = "label int, size bigint, q_train bigint, q_validation bigint, q_t
 
 def split_fractions_for(val_fraction: float, test_fraction: float) -> tuple[float, float, float]:
     if not (0 < val_fraction < 1 and 0 < test_fraction < 1 and val_fraction + test_fraction < 1):
-        raise ValueError("val_fraction and test_fraction must be positive and sum to less than one")
+        raise ValueError("both fractions must lie above 0 and sum to less than 1")
     return 1 - val_fraction - test_fraction, val_fraction, test_fraction
 
 
@@ -199,11 +199,11 @@ def check_groups(group_rows: DataFrame) -> None:
     if not rows:
         raise ValueError("labels must be non-empty")
     if sum(r["conflicts"] for r in rows):
-        raise ValueError("duplicate groups have conflicting labels; see label_conflicts")
+        raise ValueError("conflicting labels of one content; label_conflicts lists them")
     for r in rows:
         if r["n"] < 3:
             raise ValueError(
-                f"class {r['label']} has only {r['n']} unique groups; at least three are required"
+                f"a split needs at least three different contents a class; class {r['label']} has {r['n']}"
             )
 
 

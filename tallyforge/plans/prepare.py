@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..constants import FORMAT_VERSION, SPLITS
 from ..functions.hashing import identity_hash
+from ..functions.scalars import pinned_revision
 from ..operators import checks, fingerprints, splits
 from ..operators.classes import check_names
 from ..session import literal_table, stage
@@ -19,10 +21,15 @@ from ..sources import examples as source
 from ..sources.predictions import SPLIT_SCHEMA, write_splits
 
 
+AUDITS = ("encoded", "decoded", "none")
+MANIFEST = "preparation_hash string, split_hash string, document string, folder string"
+
+
 @dataclass
 class Prepared:
     """Handles to the tables of one preparation."""
 
+    folder: str
     manifest: DataFrame
     shards: DataFrame
     fingerprints: DataFrame
@@ -73,13 +80,38 @@ def prepare(
     max_shards: int | None = None,
     source_id: str = "",
     revision: str = "",
+    audit: str = "encoded",
+    decode: Callable[[bytes], bytes] | None = None,
 ) -> Prepared:
     """Prepare a sharded example table and record it under ``out``.
 
+    ``audit`` says what makes two examples copies: their stored bytes (``encoded``), what the
+    caller's ``decode`` makes of these (``decoded``, so re-encoded copies cannot cross splits),
+    or nothing (``none``, which needs ``deduplicate=False``).
+
     An existing record of the same identity is reused once its split table matches its hash.
+    The identity of a source without a pinned revision includes its shards, so a source that
+    has grown is prepared anew. Tables go to a folder of their own and the manifest, written
+    last, names it: a job that dies midway leaves the earlier record as it was.
     """
     check_names(names)
+    if audit not in AUDITS:
+        raise ValueError(f"audit must be one of {', '.join(AUDITS)}")
+    if audit == "none" and deduplicate:
+        raise ValueError("deduplicate needs an audit")
+    if (audit == "decoded") != (decode is not None):
+        raise ValueError("a decoder belongs to the decoded audit, and only to it")
+    paths = path if max_shards is None else source.shard_paths(spark, path, max_shards)
+    scanned = source.scan_examples(spark, paths)
+    shards = stage(source.shard_inventory(scanned), "shards")
+    n_shards = shards.count()
+    if not n_shards:
+        raise ValueError(f"no examples in {path}")
+    fixed = bool(revision) and literal_table(spark, [(revision,)], "r string").select(
+        pinned_revision(F.col("r")).alias("p")
+    ).first()["p"]
     settings = {
+        "audit": audit, "inventory": None if fixed else source.inventory_hash(shards),
         "source": source_id or path, "revision": revision, "seed": seed,
         "val_fraction": val_fraction, "test_fraction": test_fraction,
         "deduplicate": deduplicate, "max_shards": max_shards, "class_names": list(names),
@@ -88,26 +120,33 @@ def prepare(
     reused = _reuse(spark, out, identity)
     if reused is not None:
         return reused
-    paths = source.shard_paths(spark, path, max_shards)
-    scanned = source.scan_examples(spark, paths)
-    shards = stage(source.shard_inventory(scanned), "shards")
-    indexed = source.global_index(scanned, shards, len(paths))
+    indexed = source.global_index(scanned, shards, n_shards)
+    if audit == "decoded":
+        labelled = fingerprints.fingerprint_decoded(indexed, decode)
+    elif audit == "encoded":
+        labelled = fingerprints.fingerprint_rows(indexed)
+    else:
+        labelled = indexed.select("idx", "label", F.sha2(F.col("idx").cast("string"), 256).alias("fp"))
     rows, groups, assigned = prepare_splits(
-        fingerprints.fingerprint_rows(indexed), names, seed, val_fraction, test_fraction, deduplicate
-    )
-    checks.enforce(
-        splits.split_overlap(assigned).agg(
-            F.lit("split_overlap").alias("rule"), F.count("*").alias("violations")
-        ),
-        "fingerprints leaked across splits",
+        labelled, names, seed, val_fraction, test_fraction, deduplicate
     )
+    overlap = splits.split_overlap(assigned).count()
+    if overlap:
+        raise ValueError(f"fingerprints leaked across splits: {overlap}")
+    folder = f"tables-{uuid.uuid4().hex}"
+    facts = {
+        "audit_method": audit, "cross_split_group_overlap": overlap,
+        "duplicate_audit_performed": audit != "none",
+        "num_rows": shards.agg(F.sum("num_rows")).first()[0], "resolved_revision": revision or None,
+        "source_num_shards": n_shards, "split_method": "stratified" if deduplicate else "stratified_group",
+    }
     record = manifest(
         spark, canonical, identity, groups, assigned, names, deduplicate,
-        splits.split_fractions_for(val_fraction, test_fraction), max_shards is not None,
-    )
-    write_splits(assigned, f"{out}/splits")
-    shards.write.mode("overwrite").parquet(f"{out}/shards")
-    rows.write.mode("overwrite").parquet(f"{out}/fingerprints")
+        splits.split_fractions_for(val_fraction, test_fraction), max_shards is not None, facts,
+    ).withColumn("folder", F.lit(folder))
+    write_splits(assigned, f"{out}/{folder}/splits")
+    shards.write.parquet(f"{out}/{folder}/shards")
+    rows.write.parquet(f"{out}/{folder}/fingerprints")
     record.write.mode("overwrite").json(f"{out}/manifest")
     return _open(spark, out, groups)
 
@@ -122,6 +161,7 @@ def manifest(
     deduplicate: bool,
     fractions: Sequence[float],
     smoke: bool,
+    facts: dict | None = None,
 ) -> DataFrame:
     """One-row document with fields in name order. Its parts are one aggregate row each, or
     one row per split and class; the document is assembled from those few numbers."""
@@ -132,6 +172,7 @@ def manifest(
     sizes = {s: sum(counts[s, i] for i in range(len(names))) for s in SPLITS}
     total = max(1, sum(sizes.values()))
     document = {
+        **(facts or {}),
         "actual_fractions": {s: sizes[s] / total for s in SPLITS},
         "audit": audit.asDict(),
         "class_names": list(names),
@@ -154,8 +195,8 @@ def manifest(
 def _reuse(spark: SparkSession, out: str, identity: str) -> Prepared | None:
     if not documents.exists(spark, f"{out}/manifest/_SUCCESS"):
         return None
-    record = spark.read.json(f"{out}/manifest").first()
-    if record["preparation_hash"] != identity:
+    record = spark.read.schema(MANIFEST).json(f"{out}/manifest").first()
+    if record is None or record["preparation_hash"] != identity:
         return None
     found = _open(spark, out, None)
     if splits.split_hash(found.splits).first()["split_hash"] != record["split_hash"]:
@@ -164,13 +205,14 @@ def _reuse(spark: SparkSession, out: str, identity: str) -> Prepared | None:
 
 
 def _open(spark: SparkSession, out: str, groups: DataFrame | None) -> Prepared:
-    rows = spark.read.parquet(f"{out}/fingerprints")
+    record = spark.read.schema(MANIFEST).json(f"{out}/manifest")
+    folder = f"{out}/{record.first()['folder']}"
+    rows = spark.read.parquet(f"{folder}/fingerprints")
     return Prepared(
-        manifest=spark.read.schema(
-            "preparation_hash string, split_hash string, document string"
-        ).json(f"{out}/manifest"),
-        shards=spark.read.parquet(f"{out}/shards"),
+        folder=folder,
+        manifest=record,
+        shards=spark.read.parquet(f"{folder}/shards"),
         fingerprints=rows,
         groups=groups if groups is not None else fingerprints.groups(rows),
-        splits=spark.read.schema(SPLIT_SCHEMA).parquet(f"{out}/splits"),
+        splits=spark.read.schema(SPLIT_SCHEMA).parquet(f"{folder}/splits"),
     )

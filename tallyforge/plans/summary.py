@@ -95,11 +95,11 @@ def evaluate_run(
     path = f"{run_dir.rstrip('/')}/summary.json"
     summary = documents.read_document(spark, path)
     if summary.get("status") != "complete":
-        raise ValueError("evaluation requires a completed training run")
+        raise ValueError("only a run with status complete can be evaluated")
     if data_revision is not None:
         wanted = expected_protocol(spark, data_revision, summary["split_hash"], names)
         if summary["protocol_hash"] != wanted:
-            raise ValueError("evaluation data protocol differs from training")
+            raise ValueError("protocol of the data is not the one the run was trained on")
     result = evaluate(predictions, names, n_bootstrap, seed, bootstrap_split=split)
     summary.setdefault("evaluation", {})[split] = evaluation_document(result, names, split)[split]
     documents.write_document(spark, path, summary)

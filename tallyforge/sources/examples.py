@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,7 +16,8 @@ EXAMPLE_SCHEMA = "image STRUCT<bytes: BINARY, path: STRING>, label BIGINT"
 
 def shard_paths(spark: SparkSession, path: str, max_shards: int | None = None) -> list[str]:
     """Shard files in name order; a subset is chosen here so other files are never opened."""
-    files = sorted(spark.read.schema(EXAMPLE_SCHEMA).parquet(path).inputFiles())
+    # The listing gives URLs; readers take plain paths.
+    files = sorted(map(unquote, spark.read.schema(EXAMPLE_SCHEMA).parquet(path).inputFiles()))
     if not files:
         raise ValueError(f"no Parquet shards in {path}")
     if max_shards is None:
@@ -29,7 +31,7 @@ def payload_bytes(payload: str = "image") -> F.Column:
     """Embedded bytes of an image struct; a path without bytes is an error."""
     return F.coalesce(
         F.col(f"{payload}.bytes"),
-        F.raise_error(F.lit("expected embedded image bytes; path-only rows are unsupported")).cast(
+        F.raise_error(F.lit("a row holds no bytes of its picture")).cast(
             "binary"
         ),
     )
@@ -85,6 +87,13 @@ def global_index(
     )
 
 
+def inventory_hash(inventory: DataFrame) -> str:
+    """Digest of a source's shards (name, bytes, rows): it changes when the source grows."""
+    entry = F.concat_ws(":", F.element_at(F.split("shard", "/"), -1), "shard_bytes", "num_rows")
+    listed = F.array_join(F.array_sort(F.collect_list(entry)), ",")
+    return inventory.agg(F.sha2(listed, 256).alias("h")).first()["h"]
+
+
 def class_schema(cards: DataFrame, key: Sequence[str], card: str = "card") -> DataFrame:
     """(key, class_id, name) from dataset-card JSON.
 

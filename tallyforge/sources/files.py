@@ -18,14 +18,17 @@ def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """Decoded images; files that do not decode are dropped by the source."""
-    return (
+    """Decoded images; a file that does not decode is an error that names it."""
+    images = (
         spark.read.format("image")
-        .option("dropInvalid", "true")
+        .option("dropInvalid", "false")
         .load(path)
         .select("image.origin", "image.width", "image.height", "image.nChannels", "image.mode",
                 "image.data")
     )
+    broken = F.raise_error(F.concat(F.lit("not a readable image: "), "origin")).cast("binary")
+    valid = (F.col("width") > 0) & (F.col("height") > 0)
+    return images.withColumn("data", F.when(valid, F.col("data")).otherwise(broken))
 
 
 def image_fingerprint(images: DataFrame) -> DataFrame:

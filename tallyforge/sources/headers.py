@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,12 +44,36 @@ def image_header(rows: DataFrame, payload: str = "payload") -> DataFrame:
     )
 
 
+def measured(
+    headers: DataFrame, measure: Callable[[bytes], tuple[int, int, str] | None], payload: str = "payload"
+) -> DataFrame:
+    """Fill width, height and mode of rows whose first bytes do not tell them.
+
+    ``measure`` is the caller's decoder: bytes to (width, height, mode) as displayed, or None.
+    Only the rows that need it, their payload and row key ``idx`` reach Python.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [measure(bytes(v)) if v is not None else None for v in batch[payload]]
+            columns = list(zip(*[f or (None, None, None) for f in found])) or [(), (), ()]
+            yield pd.DataFrame(dict(zip(("idx", "width", "height", "mode"), (batch["idx"], *columns))))
+
+    open_rows = headers.filter("width is null").select("idx", payload)
+    facts = open_rows.mapInPandas(run, "idx bigint, width int, height int, mode string")
+    known = headers.filter("width is not null").drop(payload)
+    rest = headers.filter("width is null").drop(payload, "width", "height", "mode").join(facts, "idx")
+    return known.unionByName(rest)
+
+
 def image_profile(headers: DataFrame) -> DataFrame:
-    """(kind, value, n): how many rows have each size, mode and format."""
+    """(kind, value, n): how many rows have each size, mode and format; facts that a header
+    does not tell count as ``unknown``."""
     size = F.format_string("%dx%d", F.col("width"), F.col("height"))
+    known = F.col("width").isNotNull() & F.col("height").isNotNull()
     facts = F.array(
-        F.struct(F.lit("dimensions").alias("kind"), size.alias("value")),
-        F.struct(F.lit("mode").alias("kind"), F.col("mode").alias("value")),
+        F.struct(F.lit("dimensions").alias("kind"), F.when(known, size).otherwise("unknown").alias("value")),
+        F.struct(F.lit("mode").alias("kind"), F.coalesce("mode", F.lit("unknown")).alias("value")),
         F.struct(F.lit("format").alias("kind"), F.col("format").alias("value")),
     )
     return (

@@ -29,7 +29,7 @@ def scan_runs(
     )
     text = reader.text(sources, wholetext=not lines)
     if not text.inputFiles():
-        raise ValueError("no summary documents were found in the supplied run paths")
+        raise ValueError("these folders hold no run document")
     path = F.col("_metadata.file_path")
     return text.select(
         F.element_at(F.split(path, "/"), -2).alias("run"),

@@ -2,7 +2,7 @@
 
 Cells are additive, so a batch only appends its own sums: one small folder per batch, written
 by overwriting, so a batch that is retried after a failure replaces itself and is counted
-once. The state is as large as cells x batches, never as the predictions.
+once. The sums are as large as cells x batches; the stream's own state holds one key a row.
 """
 
 from __future__ import annotations
@@ -23,22 +23,30 @@ def stream_metrics(
     k: int,
     max_files: int = 1000,
     available_now: bool = True,
+    horizon: str | None = None,
 ):
     """Start the query; it reads prediction files of ``source`` and keeps sums in ``state``.
 
-    Repeats of an index inside one batch count once.
+    An index counts once, in whatever file or batch it comes again: the stream keeps the keys
+    seen. With a ``horizon`` (such as "2 days") keys are kept for that long after their file
+    was written, for sources that rewrite files only so late; without it they are kept for ever.
     """
+    key = ["run", "split", "idx"]
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.dropDuplicates(["run", "split", "idx"])
-        cells = metrics.cells(metrics.score_frame(rows, k))
-        cells.coalesce(1).write.mode("overwrite").parquet(f"{state}/sums/batch={batch_id}")
+        cells = metrics.cells(metrics.score_frame(batch.drop("written"), k))
+        cells.write.mode("overwrite").parquet(f"{state}/sums/batch={batch_id}")
 
     stream = (
         spark.readStream.schema(PREDICTION_SCHEMA)
         .option("maxFilesPerTrigger", max_files)
         .parquet(source)
+        .select("*", F.col("_metadata.file_modification_time").alias("written"))
     )
+    if horizon is None:
+        stream = stream.dropDuplicates(key)
+    else:
+        stream = stream.withWatermark("written", horizon).dropDuplicatesWithinWatermark(key)
     writer = stream.writeStream.foreachBatch(add).option("checkpointLocation", f"{state}/offsets")
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import SCALARS
@@ -561,7 +562,7 @@ def fit_temperature(spark, sf):
 
 # --- bootstrap -----------------------------------------------------------------------------
 
-REPLICATES = 60
+REPLICATES = 1000
 
 
 def _mixed(source: str, x: str, name: str) -> str:
@@ -573,9 +574,10 @@ def _mixed(source: str, x: str, name: str) -> str:
     return f"SELECT * EXCLUDE (v0, v1, v2), xor(v2, v2 >> 16) AS {name} FROM ({q})"
 
 
-def _bootstrap_sql(n: int, seed: int) -> str:
-    """Counter-based draws per (replicate, class), then the scalars of every resample."""
-    base = f"SELECT b, label, n FROM range({n}) r(b), (SELECT label, count(*) AS n FROM f GROUP BY label)"
+def _bootstrap_ctes(source: str, n: int, seed: int) -> dict[str, str]:
+    """Counter-based draws per (replicate, class) of the frame ``source``, the scalars of every
+    resample (``bs``) and their percentiles (``bq``). Classes here are one leaf each."""
+    base = f"SELECT b, label, n FROM range({n}) r(b), (SELECT label, count(*) AS n FROM {source} GROUP BY label)"
     keyed = _mixed(base, f"{seed + bootstrap.STREAM_1}", "k1")
     keyed = _mixed(keyed, "k1 + b", "k2")
     keyed = _mixed(keyed, "k2 + label", "k3")
@@ -587,22 +589,28 @@ def _bootstrap_sql(n: int, seed: int) -> str:
     limits = ", ".join(
         f"quantile_cont({m}, 0.025) AS {m}_lower, quantile_cont({m}, 0.975) AS {m}_upper" for m in SCALARS
     )
+    return {
+        "ranked": f"SELECT *, row_number() OVER (PARTITION BY label ORDER BY idx) - 1 AS pos FROM {source}",
+        "bd": f"SELECT b, label, ((h2 * n::UBIGINT) >> 32)::BIGINT AS pos FROM ({drawn})",
+        "bz": "SELECT b AS grp, r.label, pred, bin, conf, nll, brier FROM bd JOIN ranked r "
+        "ON r.label = bd.label AND r.pos = bd.pos",
+        "bs": sql.scalars("bz"),
+        "bq": f"SELECT {limits} FROM bs",
+    }
+
+
+def _bootstrap_sql(n: int, seed: int) -> str:
     rows = " UNION ALL ".join(
         f"SELECT '{m}' AS metric, round(e.{m}, 6) AS estimate, round({m}_lower, 6) AS lower, "
-        f"round({m}_upper, 6) AS upper FROM e, q"
+        f"round({m}_upper, 6) AS upper FROM e, bq"
         for m in SCALARS
     )
     return (
         sql.ctes(
             p=sql.pred(),
             f=sql.frame("SELECT * FROM p", keep="idx,"),
-            ranked="SELECT *, row_number() OVER (PARTITION BY label ORDER BY idx) - 1 AS pos FROM f",
-            d=f"SELECT b, label, ((h2 * n::UBIGINT) >> 32)::BIGINT AS pos FROM ({drawn})",
-            z="SELECT b AS grp, r.label, pred, bin, conf, nll, brier FROM d JOIN ranked r "
-            "ON r.label = d.label AND r.pos = d.pos",
+            **_bootstrap_ctes("f", n, seed),
             e=sql.scalars("f"),
-            s=sql.scalars("z"),
-            q=f"SELECT {limits} FROM s",
         )
         + rows
     )
@@ -699,8 +707,27 @@ def _evaluation_sql(k: int = 7) -> dict[str, str]:
         f"SELECT {group} || '#' || c AS g, probs[c + 1] AS score, label = c AS positive FROM v, range({k}) r(c)"
     )
     grouped = f"SELECT {group} AS grp, probs[1] + probs[5] AS score, label IN (0, 4) AS positive FROM v"
+    classes = " UNION ALL ".join(
+        f"SELECT grp, 'class.' || class_id || '.{m}' AS metric, {m}::DOUBLE AS value FROM pc"
+        for m in ("support", "precision", "recall", "f1")
+    )
+    bins = " UNION ALL ".join(
+        f"SELECT grp, 'bin.' || bin || '.{m}' AS metric, {m}::DOUBLE AS value FROM rb"
+        for m in ("count", "accuracy", "confidence")
+    )
+    limits = " UNION ALL ".join(
+        f"SELECT 'test/raw' AS grp, 'bootstrap.{m}.{side}' AS metric, {m}_{side} AS value FROM bq"
+        for m in SCALARS
+        for side in ("lower", "upper")
+    )
     return {
-        "f": sql.frame("SELECT * FROM v", group),
+        "f": sql.frame("SELECT * FROM v", group, keep="idx,"),
+        "ft": "SELECT * FROM f WHERE grp = 'test/raw'",
+        **_bootstrap_ctes("ft", REPLICATES, 42),
+        "pc": sql.per_class("f", k),
+        "rb": "SELECT grp, bin, count(*) AS count, avg((label = pred)::INT) AS accuracy, avg(conf) AS confidence "
+        "FROM f GROUP BY grp, bin",
+        "cm": "SELECT grp, label, pred, count(*) AS n FROM f GROUP BY ALL",
         "s": sql.scalars("f", k),
         "o": sql.ordinal(),
         "pairs": sql.pairs(),
@@ -710,7 +737,9 @@ def _evaluation_sql(k: int = 7) -> dict[str, str]:
         "hu": sql.auroc(grouped, "grp"),
         "long": f"{listed} UNION ALL {ranked} UNION ALL {screened} UNION ALL "
         "SELECT grp, 'ordinal.quadratic_weighted_kappa', quadratic_weighted_kappa FROM kp UNION ALL "
-        "SELECT grp, 'macro_auroc', value FROM au UNION ALL SELECT grp, 'high_risk.auroc', auroc FROM hu",
+        "SELECT grp, 'macro_auroc', value FROM au UNION ALL SELECT grp, 'high_risk.auroc', auroc FROM hu UNION ALL "
+        f"{classes} UNION ALL {bins} UNION ALL {limits} UNION ALL "
+        "SELECT grp, 'confusion.' || label || '.' || pred, n::DOUBLE FROM cm",
     }
 
 
@@ -724,6 +753,33 @@ AGREEING_SPLIT = (
 )
 
 
+def every_output(found) -> DataFrame:
+    """Metrics, class table, confusion, reliability and intervals of an evaluation as long rows."""
+    by = ["split", "variant"]
+
+    def long(rows: DataFrame, name, columns) -> DataFrame:
+        pairs = [F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("value")) for c in columns]
+        rows = rows.select(*by, name.alias("name"), F.explode(F.array(*pairs)).alias("p"))
+        return rows.select(*by, F.concat_ws(".", "name", "p.c").alias("metric"), "p.value")
+
+    def named(kind: str, *columns) -> F.Column:
+        return F.concat_ws(".", F.lit(kind), *[F.col(c).cast("string") for c in columns])
+
+    matrix = found.confusion.filter("n > 0")
+    intervals = found.bootstrap.withColumns({"split": F.lit("test"), "variant": F.lit("raw")})
+    parts = [
+        found.metrics.select(*by, "metric", F.col("value").cast("double").alias("value")),
+        long(found.per_class, named("class", "class_id"), ["support", "precision", "recall", "f1"]),
+        long(found.reliability.filter("count > 0"), named("bin", "bin"), ["count", "accuracy", "confidence"]),
+        matrix.select(*by, named("confusion", "label", "pred").alias("metric"), F.col("n").cast("double").alias("value")),
+        long(intervals, named("bootstrap", "metric"), ["lower", "upper"]),
+    ]
+    table_ = parts[0]
+    for part in parts[1:]:
+        table_ = table_.unionByName(part)
+    return rounded(table_)
+
+
 @query(
     "evaluate",
     sql.ctes(
@@ -741,7 +797,7 @@ AGREEING_SPLIT = (
 def evaluate(spark, sf):
     split = F.when(F.col("idx") % 2 == 0, "validation").otherwise("test")
     rows = views.agreeing(spark, sf).withColumn("split", split)
-    return rounded(evaluate_plan.evaluate(rows, CLASSES, n_bootstrap=0).metrics)
+    return every_output(evaluate_plan.evaluate(rows, CLASSES, n_bootstrap=REPLICATES))
 
 
 @query(
@@ -760,8 +816,8 @@ def evaluate(spark, sf):
     + LONG,
 )
 def ensemble_(spark, sf):
-    done = ensemble_plan.ensemble_runs(views.members(spark, sf), CLASSES, 3, n_bootstrap=0)
-    return rounded(done.evaluation.metrics)
+    done = ensemble_plan.ensemble_runs(views.members(spark, sf), CLASSES, 3, n_bootstrap=REPLICATES)
+    return every_output(done.evaluation)
 
 
 @query("stream_metrics", sql.ctes(**MEMBERS, f=sql.frame("SELECT * FROM m")) + f"SELECT {SCALAR_LIST} FROM ({sql.scalars()})")

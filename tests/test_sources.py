@@ -52,7 +52,7 @@ def test_label_scan_reads_one_column(spark, shards):
 def test_path_only_rows_are_rejected(spark, tmp_path):
     path = str(tmp_path / "bad")
     spark.createDataFrame([((None, "a.png"), 0)], examples.EXAMPLE_SCHEMA).write.parquet(path)
-    with pytest.raises(Exception, match="path-only"):
+    with pytest.raises(Exception, match="no bytes of its picture"):
         examples.scan_examples(spark, path).select("payload").collect()
 
 
@@ -87,13 +87,13 @@ def test_prepare_records_and_reuses(spark, tmp_path):
     }
     assert document["split_sizes"] == {"train": 63, "validation": 15, "test": 12}
     assert document["split_class_counts"]["validation"] == [5, 5, 5]
-    assert predictions.read_splits(spark, f"{out}/splits", record["split_hash"]).count() == 90
+    assert predictions.read_splits(spark, f"{done.folder}/splits", record["split_hash"]).count() == 90
     again = prepare(spark, source, out, ["a", "b", "c"], seed=5)
     assert again.manifest.first() == record
     with pytest.raises(ValueError, match="recorded hash"):
-        predictions.read_splits(spark, f"{out}/splits", "0" * 64)
+        predictions.read_splits(spark, f"{done.folder}/splits", "0" * 64)
     done.splits.limit(50).write.parquet(f"{out}/other")
-    spark.read.parquet(f"{out}/other").write.mode("overwrite").parquet(f"{out}/splits")
+    spark.read.parquet(f"{out}/other").write.mode("overwrite").parquet(f"{done.folder}/splits")
     with pytest.raises(ValueError, match="manifest"):
         prepare(spark, source, out, ["a", "b", "c"], seed=5)
 
@@ -151,6 +151,54 @@ def test_offsets(spark, bucket):
         df = spark.createDataFrame(list(enumerate(values)), "i bigint, o bigint").repartition(3)
         return [r["violations"] for r in checks.check_offsets(df, "i", "o", total, bucket).collect()]
 
-    assert violations([0, 2, 5, 9, 11, 12, 20], 20) == [0, 0, 0]
-    assert violations([1, 2, 5, 5, 11, 12, 13], 20) == [1, 1, 1]
-    assert violations([0, 2, 5, 5, 4, 4, 20], 20) == [0, 3, 0]
+    assert violations([0, 2, 5, 9, 11, 12, 20], 20) == [0, 0, 0, 0]
+    assert violations([1, 2, 5, 5, 11, 12, 13], 20) == [1, 1, 1, 0]
+    assert violations([0, 2, 5, 5, 4, 4, 20], 20) == [0, 3, 0, 0]
+
+
+def prepared(spark, source, out, **options):
+    return prepare(spark, source, out, ["a", "b", "c"], seed=5, **options)
+
+
+def write_shards(spark, rows, path, mode="error"):
+    spark.createDataFrame(rows, examples.EXAMPLE_SCHEMA).repartition(3).write.mode(mode).parquet(path)
+
+
+def test_a_grown_source_is_prepared_anew(spark, tmp_path):
+    source, out = str(tmp_path / "a b%20c"), str(tmp_path / "out")
+    rows = [((bytearray(f"t{i}".encode()), None), i % 3) for i in range(60)]
+    write_shards(spark, rows[:30], source)
+    first = prepared(spark, source, out)
+    assert first.splits.count() == 30
+    assert prepared(spark, source, out).folder == first.folder
+    write_shards(spark, rows[30:], source, "append")
+    grown = prepared(spark, source, out)
+    assert grown.splits.count() == 60 and first.splits.count() == 30
+    pinned = prepared(spark, source, out, revision="a" * 40)
+    write_shards(spark, rows[:30], source, "append")
+    assert prepared(spark, source, out, revision="a" * 40).folder == pinned.folder
+    assert examples.shard_paths(spark, source, 2) == sorted(examples.shard_paths(spark, source))[:2]
+    assert prepared(spark, source, str(tmp_path / "few"), max_shards=3).splits.count() > 0
+
+
+def test_audit_modes(spark, tmp_path):
+    def strip_encoding(payload):
+        return payload[1:]
+
+    source = str(tmp_path / "src")
+    rows = [((bytearray(f"{i % 2}text {i // 2}".encode()), None), i // 2 % 3) for i in range(120)]
+    write_shards(spark, rows, source)
+    counts = {
+        "encoded": prepared(spark, source, str(tmp_path / "e")).splits.count(),
+        "decoded": prepared(spark, source, str(tmp_path / "d"), audit="decoded", decode=strip_encoding).splits.count(),
+        "none": prepared(spark, source, str(tmp_path / "n"), audit="none", deduplicate=False).splits.count(),
+    }
+    assert counts == {"encoded": 120, "decoded": 60, "none": 120}
+    kept = prepared(spark, source, str(tmp_path / "k"), audit="decoded", decode=strip_encoding, deduplicate=False)
+    sides = kept.splits.join(kept.fingerprints.select("idx", "fp"), "idx").select("fp", "split").distinct()
+    assert kept.splits.count() == 120 and sides.count() == 60
+    document = json.loads(kept.manifest.first()["document"])
+    assert (document["num_rows"], document["source_num_shards"], document["cross_split_group_overlap"]) == (120, 3, 0)
+    for options in ({"audit": "none"}, {"audit": "pixels"}, {"audit": "decoded"}, {"decode": strip_encoding}):
+        with pytest.raises(ValueError):
+            prepared(spark, source, str(tmp_path / "x"), **options)

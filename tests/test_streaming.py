@@ -20,3 +20,17 @@ def test_stream_adds_up_and_resumes(spark, tmp_path):
     assert found.asDict() == pytest.approx(wanted.asDict())
     streaming.stream_metrics(spark, source, state, 3).awaitTermination()
     assert streaming.current_metrics(spark, state, 3).first()["n_examples"] == 300
+
+
+def test_a_row_written_again_later_counts_once(spark, tmp_path):
+    _, _, rows = noisy(spark, 120, 3, 6)
+    rows = rows.selectExpr("run", "split", "idx", "label", "probs as logits", "probs")
+    found = []
+    for name, horizon, files in (("a", None, 1), ("b", None, 100), ("c", "7 days", 1)):
+        source, state = str(tmp_path / name / "in"), str(tmp_path / name / "state")
+        write_predictions(rows.repartition(2), source)
+        rows.filter("idx < 50").write.partitionBy("run", "split").mode("append").parquet(source)
+        streaming.stream_metrics(spark, source, state, 3, max_files=files, horizon=horizon).awaitTermination()
+        found.append(streaming.current_metrics(spark, state, 3).first().asDict())
+    assert [f["n_examples"] for f in found] == [120] * 3
+    assert found[1] == pytest.approx(found[0]) and found[2] == pytest.approx(found[0])
