@@ -84,15 +84,16 @@ def join_groups(
 def label_conflicts(fingerprints: DataFrame, show: int = 10, hot_size: int = HOT_SIZE) -> DataFrame:
     """Groups carrying more than one label, with their labels and first row indices.
 
-    The first indices come from a ranked window whose limit Spark applies on the map side;
-    labels are a set of at most as many values as classes. ``fingerprints`` is read more than
-    once and should be a stored table.
+    One aggregate finds the groups and their labels, a set of at most as many values as classes.
+    Only the rows of conflicted groups meet again, for their first indices: a ranked window
+    whose limit Spark applies on the map side. ``fingerprints`` is read twice and should be a
+    stored table.
     """
-    conflicted = stage(
-        groups(fingerprints).filter("label <> max_label").select("fp", "size"), "conflicts"
+    found = fingerprints.groupBy("fp").agg(
+        F.count("*").alias("size"), F.array_sort(F.collect_set("label")).alias("labels")
     )
-    rows = join_groups(fingerprints, conflicted, [], hot_size)
-    labels = rows.groupBy("fp").agg(F.array_sort(F.collect_set("label")).alias("labels"))
+    conflicted = stage(found.filter(F.size("labels") > 1), "conflicts")
+    rows = join_groups(fingerprints, conflicted.select("fp", "size"), [], hot_size)
     position = F.row_number().over(Window.partitionBy("fp").orderBy("idx"))
     first = (
         rows.select("fp", "idx", position.alias("position"))
@@ -100,7 +101,7 @@ def label_conflicts(fingerprints: DataFrame, show: int = 10, hot_size: int = HOT
         .groupBy("fp")
         .agg(F.array_sort(F.collect_list("idx")).alias("first_rows"))
     )
-    return labels.join(first, "fp")
+    return conflicted.select("fp", "labels").join(first, "fp")
 
 
 def conflict_count(group_rows: DataFrame) -> DataFrame:

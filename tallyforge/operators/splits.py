@@ -234,7 +234,8 @@ def stratified_group_split(
 ) -> DataFrame:
     """(idx, label, fp, split) of every row; duplicates stay and whole groups move together."""
     fractions = split_fractions_for(val_fraction, test_fraction)
-    if group_rows is None:
+    if group_rows is None:  # else the caller holds a stored table of fingerprints
+        fingerprints = stage(fingerprints.select("idx", "label", "fp"), "fingerprints")
         group_rows = stage(fp_ops.groups(fingerprints), "groups")
     check_groups(group_rows)
     assigned = stage(
@@ -301,8 +302,10 @@ def attach_split(examples: DataFrame, splits: DataFrame) -> DataFrame:
     return examples.join(splits.select("idx", "split"), "idx")
 
 
-def sample_per_class(rows: DataFrame, seed: int) -> DataFrame:
-    """One seeded uniform example per class."""
+def sample_per_class(rows: DataFrame, seed: int, split: str | None = None) -> DataFrame:
+    """One seeded uniform example per class, of one split if it is named."""
+    if split is not None:
+        rows = rows.filter(F.col("split") == split)
     draw = F.md5(F.concat(F.lit(f"{seed}:"), F.col("idx").cast("string")))
     return rows.groupBy("label").agg(F.min_by("idx", F.struct(draw, "idx")).alias("idx"))
 

@@ -93,13 +93,23 @@ def _package_archive(application: str, package: str) -> str:
     return shutil.make_archive(target, "zip", root_dir=parent, base_dir=name)
 
 
-def broadcast_if(small: DataFrame, n_rows: int, limit: int = 1_000_000) -> DataFrame:
-    """Broadcast hint when a known row count is within ``limit``.
+BROADCAST_BYTES = 64 << 20
 
-    Beyond it the plain join stays, and adaptive execution chooses the strategy and splits
-    skewed partitions.
+
+def row_bytes(schema: T.StructType) -> int:
+    """Generous width of a row in a broadcast relation: texts count as hashes or paths."""
+    wide = {"string": 128, "binary": 128, "array": 512, "map": 512, "struct": 256, "variant": 512}
+    return 48 + sum(wide.get(f.dataType.typeName(), 16) for f in schema.fields)
+
+
+def broadcast_if(small: DataFrame, n_rows: int, limit: int | None = None) -> DataFrame:
+    """Broadcast hint when a known row count makes at most ``BROADCAST_BYTES``.
+
+    Beyond it (or beyond ``limit`` rows) the plain join stays, and adaptive execution chooses
+    the strategy and splits skewed partitions.
     """
-    return F.broadcast(small) if n_rows <= limit else small
+    fits = n_rows * row_bytes(small.schema) <= BROADCAST_BYTES
+    return F.broadcast(small) if fits and (limit is None or n_rows <= limit) else small
 
 
 def literal_table(spark: SparkSession, rows: Sequence[Sequence], schema: str) -> DataFrame:

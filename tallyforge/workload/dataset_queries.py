@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing, scalars
@@ -443,6 +444,36 @@ def stratified_split(spark, sf):
     return rounded(splits.stratified_split(views.fingerprints(spark, sf), 42, 0.15, 0.15))
 
 
+@query(
+    "group_split_facts",
+    sql.ctes(e=sql.examples(), g="SELECT label, fp, count(*) AS size FROM e GROUP BY label, fp")
+    + "SELECT label::BIGINT AS label, sum(size)::BIGINT AS n_rows, count(*) AS n_groups, 0::BIGINT AS crossing, "
+    "true AS near_targets, 3::BIGINT AS n_splits FROM g GROUP BY label",
+)
+def group_split_facts(spark, sf):
+    """What any right group split has: every row once, no group on two sides, every split within
+    one largest group of its target in each class."""
+    rows = splits.stratified_group_split(views.fingerprints(spark, sf), 42, 0.15, 0.15)
+    groups = rows.groupBy("label", "fp").agg(
+        F.count("*").alias("size"), F.count_distinct("split").alias("sides"), F.min("split").alias("split")
+    )
+    sizes = groups.groupBy("label", "split").agg(
+        F.sum("size").alias("n"), F.count("*").alias("g"), F.max("size").alias("largest"),
+        F.sum(F.col("sides") - 1).alias("crossing"),
+    )
+    total = Window.partitionBy("label")
+    share = F.when(F.col("split") == "train", 0.7).otherwise(0.15)
+    near = F.abs(F.col("n") - share * F.sum("n").over(total)) <= F.max("largest").over(total) + 1
+    return (
+        sizes.withColumn("near", near)
+        .groupBy(F.col("label").cast("bigint").alias("label"))
+        .agg(
+            F.sum("n").alias("n_rows"), F.sum("g").alias("n_groups"), F.sum("crossing").alias("crossing"),
+            F.bool_and("near").alias("near_targets"), F.count("*").alias("n_splits"),
+        )
+    )
+
+
 @query("stratified_group_split")
 def stratified_group_split(spark, sf):
     return rounded(splits.stratified_group_split(views.fingerprints(spark, sf), 42, 0.15, 0.15))
@@ -451,10 +482,10 @@ def stratified_group_split(spark, sf):
 @query(
     "sample_per_class",
     sql.ctes(e=sql.examples())
-    + "SELECT label::BIGINT AS label, arg_min(idx, md5('7:' || idx)) AS idx FROM e GROUP BY label",
+    + "SELECT label::BIGINT AS label, arg_min(idx, md5('7:' || idx)) AS idx FROM e WHERE idx % 3 = 0 GROUP BY label",
 )
 def sample_per_class(spark, sf):
-    return rounded(splits.sample_per_class(views.fingerprints(spark, sf), 7))
+    return rounded(splits.sample_per_class(views.leaky_splits(spark, sf), 7, "train"))
 
 
 @query(

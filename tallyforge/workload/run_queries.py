@@ -267,8 +267,11 @@ def _lines_sql() -> str:
 def report_sink(spark, sf):
     result = compare_plan.compare_documents(views.run_documents(spark, sf))
     path = new_path(spark, "report")
-    compare_plan.report_lines(result.groups).coalesce(1).select("line").write.text(path)
-    return spark.read.text(path).withColumnRenamed("value", "line")
+    compare_plan.write_report(result, path)
+    lines = spark.read.text(f"{path}/comparison.md").withColumnRenamed("value", "line")
+    if lines.first()["line"] != compare_plan.HEADER:
+        raise ValueError("the report does not begin with its header")
+    return lines
 
 
 @query(

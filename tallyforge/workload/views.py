@@ -201,6 +201,12 @@ def run_documents(spark: SparkSession, sf: str) -> DataFrame:
     return scan_runs(spark, folder, "*.txt", lines=True)
 
 
+def forget_staged() -> None:
+    """Forget derived tables, so that the next query computes its own (fixtures on disk stay)."""
+    for key in [k for k in _paths if k[2].startswith("df:")]:
+        del _paths[key]
+
+
 def staged(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
     """Derived table, written once per application."""
     key = (spark.sparkContext.applicationId, sf, "df:" + name)
