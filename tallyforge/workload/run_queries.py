@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..constants import REPORT_METRICS
 from ..functions import hashing, scalars
 from ..operators import checks, runs
 from ..plans import compare as compare_plan
@@ -13,6 +14,8 @@ from . import sql, views
 from .registry import query, r, rounded
 from .views import table
 
+EXAMPLE_LIMITS = tuple(f"{m}_example_ci_{side}" for m in ("accuracy", "macro_f1") for side in ("lower", "upper"))
+
 GROUP = "protocol_hash, split_hash, model, mode, image_size, recipe_hash"
 
 
@@ -64,14 +67,14 @@ def scan_history(spark, sf):
     "run_record",
     sql.ctes(d=sql.documents())
     + f"SELECT seed, model, mode, image_size::BIGINT AS image_size, smoke_test, recipe_hash, n_test_examples, "
-    f"{r('accuracy', 'macro_f1', 'high_risk_recall')} FROM d",
+    f"{r(*REPORT_METRICS, *EXAMPLE_LIMITS)} FROM d",
 )
 def run_record(spark, sf):
     record = runs.run_record(views.run_documents(spark, sf))
     return rounded(
         record.select(
             "seed", "model", "mode", "image_size", "smoke_test", "recipe_hash", "n_test_examples",
-            "accuracy", "macro_f1", "high_risk_recall",
+            *REPORT_METRICS, *EXAMPLE_LIMITS,
         )
     )
 
@@ -201,7 +204,7 @@ def seed_statistics_large(spark, sf):
 
 
 def _compare_sql() -> str:
-    metrics = ("accuracy", "macro_f1", "balanced_accuracy", "ece", "high_risk_recall")
+    metrics = REPORT_METRICS
     parts = {f"s_{m}": sql.seed_stats("SELECT * FROM d WHERE NOT smoke_test", GROUP, m) for m in metrics}
     fields = ", ".join(
         f"round(s_{m}.{f}, 6) AS {m}_{f}" for m in metrics for f in ("mean", "std", "ci_lower", "ci_upper")
@@ -217,7 +220,7 @@ def _compare_sql() -> str:
 def compare_runs(spark, sf):
     record = runs.filter_smoke(runs.run_record(views.run_documents(spark, sf)))
     compared = runs.compare_runs(record)
-    metrics = ("accuracy", "macro_f1", "balanced_accuracy", "ece", "high_risk_recall")
+    metrics = REPORT_METRICS
     fields = ("mean", "std", "ci_lower", "ci_upper")
     return rounded(
         compared.select(
@@ -234,7 +237,7 @@ def compare(spark, sf):
     compare_plan.write_report(result, path)
     schema = result.groups.schema
     written = spark.read.option("header", True).schema(schema).csv(f"{path}/comparison.csv")
-    metrics = ("accuracy", "macro_f1", "balanced_accuracy", "ece", "high_risk_recall")
+    metrics = REPORT_METRICS
     fields = ("mean", "std", "ci_lower", "ci_upper")
     return rounded(
         written.select(

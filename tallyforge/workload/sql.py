@@ -206,7 +206,11 @@ def documents() -> str:
         o_orderkey % 10 = 0 AS smoke_test, 'protocol-0001-abcdef' AS protocol_hash,
         'split-0001' AS split_hash, o_totalprice / 530001 AS accuracy, o_totalprice / 630001 AS macro_f1,
         o_totalprice / 730001 AS balanced_accuracy, o_totalprice / 830001 AS ece,
-        o_totalprice / 930001 AS high_risk_recall, o_orderkey + 100 AS n_test_examples FROM orders)"""
+        o_totalprice / 930001 AS high_risk_recall, o_totalprice / 1030001 AS weighted_f1,
+        o_totalprice / 1130001 AS macro_auroc, o_totalprice / 1230001 AS nll, o_totalprice / 1330001 AS brier,
+        o_totalprice / 1430001 AS accuracy_example_ci_lower, o_totalprice / 1530001 AS accuracy_example_ci_upper,
+        o_totalprice / 1630001 AS macro_f1_example_ci_lower, o_totalprice / 1730001 AS macro_f1_example_ci_upper,
+        o_orderkey + 100 AS n_test_examples FROM orders)"""
 
 
 def _t_975(df: int) -> float:

@@ -168,8 +168,17 @@ def run_documents_text(spark: SparkSession, sf: str) -> DataFrame:
         (price / 730001).alias("balanced_accuracy"),
         (price / 830001).alias("ece"),
         F.struct((price / 930001).alias("recall")).alias("high_risk"),
+        (price / 1030001).alias("weighted_f1"),
+        (price / 1130001).alias("macro_auroc"),
+        (price / 1230001).alias("nll"),
+        (price / 1330001).alias("brier"),
         (key + 100).alias("n_examples"),
     )
+    limits = F.struct(
+        F.struct((price / 1430001).alias("lower"), (price / 1530001).alias("upper")).alias("accuracy"),
+        F.struct((price / 1630001).alias("lower"), (price / 1730001).alias("upper")).alias("macro_f1"),
+    )
+    bootstrap = F.struct(limits.alias("metrics"))
     document = F.struct(
         F.lit("complete").alias("status"),
         F.lit("protocol-0001-abcdef").alias("protocol_hash"),
@@ -186,7 +195,7 @@ def run_documents_text(spark: SparkSession, sf: str) -> DataFrame:
                 (F.col("o_custkey") % 4).alias("workers"), F.lit(16).alias("batch_size")
             ).alias("training"),
         ).alias("config"),
-        F.struct(F.struct(raw.alias("raw")).alias("test")).alias("evaluation"),
+        F.struct(F.struct(raw.alias("raw"), bootstrap.alias("bootstrap")).alias("test")).alias("evaluation"),
     )
     return table(spark, sf, "orders").select(F.to_json(document).alias("value"))
 
