@@ -7,28 +7,31 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stage
 
-def with_position(
-    rows: DataFrame, key: str, order: Sequence[str], bucket: Column, name: str = "position"
-) -> DataFrame:
-    """Position 1, 2, ... of each row within its key, without one task per key.
 
-    ``bucket`` must rise with the order (a day for a timestamp). Rows are ranked inside
-    (key, bucket) and shifted by the key's rows in earlier buckets.
+def with_position(rows: DataFrame, key: str, order: Sequence[str], name: str = "position") -> DataFrame:
+    """Position 1, 2, ... of each row within its key, without one task per key or per time span.
+
+    Rows are range-partitioned by (key, order), which cuts a hot key wherever it is long, sorted,
+    numbered as they lie, and staged. A key's first number in each part and its rows in earlier
+    parts are one row per key and part.
     """
-    bucketed = rows.withColumn("__bucket", bucket)
-    earlier = Window.partitionBy(key).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.repartitionByRange(key, *order).sortWithinPartitions(key, *order)
+    placed = placed.withColumn("__row", F.monotonically_increasing_id())
+    placed = stage(placed.withColumn("__part", F.shiftright("__row", 33)), "positions")
+    earlier = Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = (
-        bucketed.groupBy(key, "__bucket")
-        .agg(F.count("*").alias("__n"))
-        .select(key, "__bucket", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__shift"))
+        placed.groupBy(key, "__part")
+        .agg(F.count("*").alias("__n"), F.min("__row").alias("__first"))
+        .withColumn("__shift", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
+        .select(F.col(key).alias("__key"), F.col("__part").alias("__in"), "__first", "__shift")
     )
-    rank = F.row_number().over(Window.partitionBy(key, "__bucket").orderBy(*order))
+    same = F.col(key).eqNullSafe(F.col("__key")) & (F.col("__part") == F.col("__in"))
     return (
-        bucketed.withColumn("__rank", rank)
-        .join(shifts, [key, "__bucket"])
-        .withColumn(name, F.col("__rank") + F.col("__shift"))
-        .drop("__bucket", "__rank", "__shift")
+        placed.join(shifts, same)
+        .withColumn(name, F.col("__row") - F.col("__first") + F.col("__shift") + 1)
+        .drop("__part", "__in", "__key", "__row", "__first", "__shift")
     )
 
 

@@ -136,7 +136,7 @@ def history(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "events").select(
         F.col("user_id").alias("run"), F.col("value").alias("score"), "ts", "event_id", "event_type"
     )
-    return with_position(rows, "run", ["ts", "event_id"], F.date_trunc("hour", "ts"), "epoch")
+    return with_position(rows, "run", ["ts", "event_id"], "epoch")
 
 
 def run_table(spark: SparkSession, sf: str) -> DataFrame:

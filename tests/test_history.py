@@ -68,7 +68,7 @@ def test_positions(spark):
     generator = random.Random(1)
     rows = [("hot" if i % 3 else f"k{i % 5}", generator.random() * 30, i) for i in range(600)]
     df = spark.createDataFrame(rows, "key string, t double, id int")
-    found = history.with_position(df, "key", ["t", "id"], F.floor("t")).collect()
+    found = history.with_position(df, "key", ["t", "id"]).collect()
     by_key = {}
     for key, t, i in sorted(rows, key=lambda r: (r[1], r[2])):
         by_key.setdefault(key, []).append(i)
@@ -76,6 +76,15 @@ def test_positions(spark):
         assert by_key[r["key"]][r["position"] - 1] == r["id"]
 
 
+def test_a_key_of_one_instant_is_cut(spark):
+    rows = [("one", 5.0, i) for i in range(2000)] + [("b", 1.0, 0), (None, 1.0, 3), (None, 0.5, 4)]
+    df = spark.createDataFrame(rows, "key string, t double, id int").repartition(7)
+    found = history.with_position(df, "key", ["t", "id"]).collect()
+    assert len(found) == len(rows)
+    assert all(r["position"] == r["id"] + 1 for r in found if r["key"] == "one")
+    assert {r["id"]: r["position"] for r in found if r["key"] is None} == {4: 1, 3: 2}
+
+
 def test_run_status_without_history(spark):
     runs = spark.createDataFrame(
         [("a", "running", None, False), ("b", "complete", True, True)],
