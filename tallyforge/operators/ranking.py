@@ -4,29 +4,43 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .classes import high_risk_ids
 from .metrics import high_risk_counts, high_risk_score
 
 
+def score_range(score: Column) -> Column:
+    """Number of a score's range; it rises with the score.
+
+    Probabilities fall into ranges of 1/64 in log-odds, where scores of a model spread evenly;
+    scores outside (0, 1) into ranges of 1/64 in their inverse hyperbolic sine.
+    """
+    inside = (score > 0) & (score < 1)
+    odds = F.log(score / (1 - score)) * 64
+    far = F.signum(score) * F.asinh(F.least(F.abs(score), F.lit(1e9))) * 64
+    return F.when(inside, F.floor(odds)).otherwise(
+        F.floor(far) + F.when(score >= 1, 1 << 20).otherwise(-(1 << 20))
+    )
+
+
 def auroc(scored: DataFrame, by: Sequence[str]) -> DataFrame:
     """AUROC per group of (by..., score, positive); null unless both outcomes occur.
 
     1. Equal scores collapse to two counts, on the map side first, so a score shared by a
        third of the rows is one row.
-    2. Distinct scores are range-partitioned, which balances any distribution.
+    2. Distinct scores go to fixed ranges of the score axis, which need no sampling pass.
     3. Inside each range a running count of negatives gives the range's own share.
-    4. Ranges are few (at most the shuffle partitions); a running sum over them adds the
-       negatives that lie below each range.
+    4. Ranges are few thousand at most; a running sum over them adds the negatives that lie
+       below each range.
     Ties count one half. No group or class is ever sorted in one task.
     """
     by = list(by)
     collapsed = scored.groupBy(*by, "score").agg(
         F.count_if("positive").alias("pos"), F.count_if(~F.col("positive")).alias("neg")
     )
-    ranged = collapsed.repartitionByRange(*by, "score").withColumn("part", F.spark_partition_id())
+    ranged = collapsed.withColumn("part", score_range(F.col("score")))
     inside = Window.partitionBy(*by, "part").orderBy("score").rowsBetween(
         Window.unboundedPreceding, -1
     )
@@ -35,13 +49,12 @@ def auroc(scored: DataFrame, by: Sequence[str]) -> DataFrame:
         ranged.withColumn("below", below)
         .groupBy(*by, "part")
         .agg(
-            F.min("score").alias("low"),
             F.sum("pos").alias("pos"),
             F.sum("neg").alias("neg"),
             F.sum(F.col("pos").cast("double") * (F.col("below") + F.col("neg") / 2)).alias("won"),
         )
     )
-    before = Window.partitionBy(*by).orderBy("low").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return (
         ranges.withColumn("below", F.coalesce(F.sum("neg").over(before), F.lit(0)))
         .groupBy(*by)

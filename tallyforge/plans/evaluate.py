@@ -110,9 +110,14 @@ def evaluate(
     calibrate: bool = True,
     bootstrap_split: str = "test",
 ) -> Evaluation:
-    """Evaluate (split, idx, label, logits). The temperature sees validation rows only."""
+    """Evaluate (split, idx, label, logits). The temperature sees validation rows only.
+
+    The four columns are staged once: the rounds of the fit, the cells and the ranking read them
+    from there, and what made the logits runs once.
+    """
     check_names(names)
     k = len(names)
+    predictions = stage(predictions.select("split", "idx", "label", "logits"), "logits")
     temperature = 1.0
     if calibrate:
         temperature = calibration.fit_temperature(

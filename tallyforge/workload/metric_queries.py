@@ -675,14 +675,30 @@ def predict(spark, sf):
 @query("train_probe")
 def train_probe(spark, sf):
     rows = views.features(spark, sf)
-    head = probe.train_probe(rows.filter("split = 'train'"), K, balanced=True, max_iter=20)
+    head = probe.train_probe(rows.filter("split = 'train'"), K, balanced=True)
     held_out = with_softmax(probe.score_linear(rows.filter("split <> 'train'"), head), K)
     return rounded(_scalars(held_out, K, ["split"]))
 
 
+@query(
+    "probe_shares",
+    "SELECT (label % 7)::BIGINT AS label, round(count(*) / sum(count(*)) OVER (), 3) AS share FROM embeddings "
+    "WHERE vec_id % 5 NOT IN (0, 1) GROUP BY label % 7",
+)
+def probe_shares(spark, sf):
+    """At the optimum of a fit with free intercepts, the mean probability of a class over the
+    training rows is its share of them, whatever the optimizer and the penalty on the weights."""
+    rows = views.features(spark, sf).filter("split = 'train'")
+    head = probe.train_probe(rows, K, l2=0.05, max_iter=200)
+    scored = with_softmax(probe.score_linear(rows, head), K)
+    means = scored.agg(*[F.avg(F.get("probs", F.lit(c))).alias(f"c{c}") for c in range(K)])
+    pairs = [F.struct(F.lit(c).cast("bigint").alias("label"), F.col(f"c{c}").alias("share")) for c in range(K)]
+    return rounded(means.select(F.explode(F.array(*pairs)).alias("p")).select("p.*"), 3)
+
+
 @query("tune_probe")
 def tune_probe(spark, sf):
-    return search.tune_probe(views.features(spark, sf), K, l2=[0.01, 0.5], max_iter=[10])
+    return search.tune_probe(views.features(spark, sf), K, l2=[0.01, 0.5], balanced=[False, True], max_iter=[50])
 
 
 # --- whole evaluations ---------------------------------------------------------------------
