@@ -35,6 +35,10 @@ def t_upper_tail(t: float, df: int) -> float:
 
 @cache
 def t_975(df: int) -> float:
+    if df == 1:
+        return math.tan(0.475 * math.pi)
+    if df == 2:
+        return 0.95 * math.sqrt(2 / (1 - 0.95**2))
     low, high = 1.9, 13.0
     for _ in range(200):
         middle = (low + high) / 2

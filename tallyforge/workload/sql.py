@@ -214,19 +214,23 @@ def documents() -> str:
 
 
 def _t_975(df: int) -> float:
-    """Two-sided 95 % t quantile by bisection over Gauss-Legendre sums of the density."""
-    scale = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df * math.pi)
+    """Two-sided 95 % t quantile: closed forms for 1 and 2, else bisection over Gauss-Legendre
+    sums of cos(a)**(df - 1), the density in the angle a = atan(t / sqrt(df))."""
+    if df == 1:
+        return math.tan(0.475 * math.pi)
+    if df == 2:
+        return 0.95 * math.sqrt(2 / (1 - 0.95**2))
+    scale = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(math.pi)
     nodes, weights = np.polynomial.legendre.leggauss(120)
 
-    def inside(t: float) -> float:
-        x = t * (nodes + 1) / 2
-        return scale * t / 2 * float(weights @ (1 + x * x / df) ** (-(df + 1) / 2))
+    def inside(angle: float) -> float:
+        return scale * angle / 2 * float(weights @ np.cos(angle * (nodes + 1) / 2) ** (df - 1))
 
-    low, high = 1.9, 13.0
+    low, high = 0.0, math.pi / 2
     for _ in range(70):
         middle = (low + high) / 2
         low, high = (middle, high) if inside(middle) < 0.475 else (low, middle)
-    return low
+    return math.sqrt(df) * math.tan(low)
 
 
 @cache
