@@ -1,11 +1,12 @@
 import random
+import re
+
+import numpy as np
 
 import pyarrow as pa
 
 from tallyforge.llm import minhash
 
-import re
-
 
 def shingle_set(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
@@ -79,6 +80,25 @@ def test_large_group_in_blocks(docs_of, monkeypatch):
     assert run(docs_of(rows)) == brute(rows)
 
 
+def test_large_sets_in_blocks(docs_of, monkeypatch):
+    monkeypatch.setattr(minhash, "SMALL_LIST", 2)
+    monkeypatch.setattr(minhash, "STAR_ROUNDS", 0)
+    rng = random.Random(10)
+    base = [f"w{i}" for i in range(900)]
+    rows = [(i, " ".join(changed(rng, base, rng.choice([5, 20, 40])))) for i in range(40)]
+    assert run(docs_of(rows)) == brute(rows)
+
+
+def test_overlaps_against_sets():
+    rng = random.Random(2)
+    rows = [np.array(sorted(rng.sample(range(120), rng.randint(1, 60))), np.int32) for _ in range(50)]
+    got = minhash.Overlaps(rows)
+    want = [[len(set(a.tolist()) & set(b.tolist())) for b in rows] for a in rows]
+    whole = np.vstack([got.strip(0, 20), got.strip(20, 50)])
+    np.fill_diagonal(whole, 0)
+    assert np.array_equal(whole, np.array(want) - np.diag(np.diag(want)))
+
+
 def test_odd_inputs(docs_of, spark):
     rows = [
         (5, "A b c"), (9, "a B\tc"), (1, "a b c d"), (2, None), (3, ""), (4, " \n"), (None, "a b c"), (None, "z z z z z z z"),
