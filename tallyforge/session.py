@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Sequence
 from functools import cache
@@ -57,13 +58,39 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/tallyforge/{app}/{tag}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, tag: str) -> DataFrame:
+_staged: dict[tuple[str, int], list[str]] = {}
+
+
+def _staged_here(spark: SparkSession) -> list[str]:
+    return _staged.setdefault((spark.sparkContext.applicationId, threading.get_ident()), [])
+
+
+def staged_so_far(spark: SparkSession) -> int:
+    """How many tables this thread has staged: a mark for :func:`staged_since`."""
+    return len(_staged_here(spark))
+
+
+def staged_since(spark: SparkSession, mark: int) -> list[str]:
+    return _staged_here(spark)[mark:]
+
+
+def release(spark: SparkSession, paths: Sequence[str]) -> None:
+    """Delete staged tables that nothing will read any more."""
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stage(df: DataFrame, tag: str, owned: bool = True) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     The readers see a short lineage, prune columns and push filters, and a lost executor
-    costs a re-read rather than a recomputation.
+    costs a re-read rather than a recomputation. Tables not ``owned`` are left out of
+    :func:`staged_since`.
     """
     path = new_path(df.sparkSession, tag)
+    if owned:
+        _staged_here(df.sparkSession).append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -48,3 +48,16 @@ def test_class_dimension(spark):
     assert found == {0: ("high", 3, True), 3: ("non-burnable", None, False), 5: ("very_low", 0, False)}
     with pytest.raises(ValueError):
         class_table(spark, ["a", "a"])
+
+
+def test_release_deletes_what_was_staged_since_a_mark(spark):
+    import os
+
+    from tallyforge.session import release, staged_since, staged_so_far
+
+    first = stage(spark.range(3), "kept")
+    mark = staged_so_far(spark)
+    second, other = stage(spark.range(4), "gone"), stage(spark.range(5), "not-owned", owned=False)
+    places = [df.inputFiles()[0].removeprefix("file://") for df in (first, second, other)]
+    release(spark, staged_since(spark, mark))
+    assert [os.path.exists(p) for p in places] == [True, False, True] and first.count() == 3
