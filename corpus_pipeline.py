@@ -16,21 +16,42 @@ Null ids, sources and languages and repeated rows pass through as the operators
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm import decontaminate, langid, lines, minhash, packing
-from tallyforge.session import stage
+from tallyforge.session import release, stage, staged_since, staged_so_far
 
 LEAST_SHARE = 0.3
 TOKENIZER = "word_bpe_49k.json"
 
 
+_used: dict[str, list[str]] = {}
+
+
+def step(function):
+    """A stage that first deletes what its predecessor staged: by then its result is written."""
+
+    @wraps(function)
+    def run_step(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        app, mark = spark.sparkContext.applicationId, staged_so_far(spark)
+        release(spark, _used.pop(app, []))
+        result = function(spark, docs, sf_dir)
+        _used[app] = staged_since(spark, mark)
+        return result
+
+    return run_step
+
+
+@step
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.accepted(docs, langid.train(docs), LEAST_SHARE)
 
 
+@step
 def boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cleaned = lines.remove_boilerplate(docs)
     touched = F.col("_tf_removed") > 0
@@ -43,14 +64,17 @@ def boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     )
 
 
+@step
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return minhash.keep_one(docs)
 
 
+@step
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@step
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER))
 
@@ -69,6 +93,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir), name)
+    for name, stage_function in STAGES:
+        docs = stage(stage_function(spark, docs, sf_dir), name, owned=False)
     return docs
