@@ -7,8 +7,10 @@ smaller multiplicities over the sum of the larger, is at least 0.75.
 
 1. Shingles that stand in a benchmark item are found in all documents. Similarity 0.75 needs three
    quarters of the item's shingles, so documents with fewer hits of it drop out without loss.
-2. Every alignment of a hit gives a window of the item's size. Windows and items get a 64-bit
-   SimHash of their shingles.
+2. The windows are those of all alignments of a hit, and those that end at a hit and hold enough
+   hits for the similarity. The first window of the greatest similarity among all starts ends at a
+   hit or begins the text: else the window before it has as many common shingles. So the best of all
+   windows is among these. Windows and items get a 64-bit SimHash of their shingles.
 3. The fingerprint is cut into one block more than the radius: fingerprints within the radius
    agree in a block at least. Windows meet their item by (item, block, bits).
 4. Pairs within the radius are verified by the exact similarity.
@@ -98,9 +100,23 @@ def block_codes(fingerprint: str) -> Column:
     )
 
 
+def window_ends(percent: int) -> Column:
+    """Starts of the windows that end at a position of the sorted array ``hit``, moved into the text;
+    inside it only of those whose hits suffice for the similarity."""
+    last = F.greatest(F.lit(0), F.col("_tf_n") - F.col("_tf_m"))
+    need = F.ceil(2 * percent * F.col("_tf_m") / (100 + percent)).cast("int")
+
+    def enough(end: Column, i: Column) -> Column:
+        first = F.get("hit", i - need + 1)
+        return (end < F.col("_tf_m")) | (F.coalesce(first, F.lit(-1)) > end - F.col("_tf_m"))
+
+    ends = F.filter("hit", enough)
+    return F.array_distinct(F.transform(ends, lambda end: F.least(last, F.greatest(F.lit(0), end - F.col("_tf_m") + 1))))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Leaked items: document key, item_id, start (in words), n_shingles, common, total; the best
-    window of each pair, the first of equals."""
+    window of each pair among all starts, of equals an aligned one, then the first."""
     items = with_shingles(
         benchmark.where(F.col("item_id").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(
             F.col("item_id").cast("bigint").alias("item_id"), "text"
@@ -118,16 +134,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> Data
     hits = found.join(F.broadcast(places) if small else places, "_tf_h")
     start = F.greatest(F.lit(0), F.least(F.col("_tf_pos") - F.col("_tf_off"), F.col("_tf_n") - F.col("_tf_m")))
     near = (
-        hits.groupBy(*KEY, "_tf_item", "_tf_m")
-        .agg(F.collect_set("_tf_pos").alias("hit"), F.collect_set(start).alias("_tf_starts"))
+        hits.groupBy(*KEY, "_tf_item", "_tf_m", "_tf_n")
+        .agg(F.array_sort(F.collect_set("_tf_pos")).alias("hit"), F.collect_set(start).alias("_tf_aligned"))
         .where(F.size("hit") * 100 >= F.col("_tf_m") * percent)
-        .drop("hit")
+        .withColumn("_tf_ends", window_ends(percent))
+        .select(*KEY, "_tf_item", "_tf_m", "_tf_aligned", F.array_except("_tf_ends", "_tf_aligned").alias("_tf_ends"))
     )
     near = stage(near, "near-items")
+    starts = F.concat(
+        F.transform("_tf_aligned", lambda s: F.struct(s.alias("start"), F.lit(0).alias("late"))),
+        F.transform("_tf_ends", lambda s: F.struct(s.alias("start"), F.lit(1).alias("late"))),
+    )
     windows = (
         with_shingles(texts)
         .join(near, KEY)
-        .select(*KEY, "_tf_item", "_tf_m", "_tf_shingles", F.explode("_tf_starts").alias("_tf_start"))
+        .select(*KEY, "_tf_item", "_tf_m", "_tf_shingles", F.explode(starts).alias("w"))
+        .select(*KEY, "_tf_item", "_tf_m", "_tf_shingles", F.col("w.start").alias("_tf_start"), F.col("w.late").alias("_tf_late"))
         .withColumn("_tf_window", F.slice("_tf_shingles", F.col("_tf_start") + 1, F.col("_tf_m")))
         .drop("_tf_shingles")
     )
@@ -144,19 +166,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> Data
     )
     have = (
         windows.join(met, place)
-        .select(*place, "_tf_m", F.size("_tf_window").alias("_tf_w"), F.explode("_tf_window").alias("_tf_h"))
-        .groupBy(*place, "_tf_m", "_tf_w", "_tf_h")
+        .select(*place, "_tf_late", "_tf_m", F.size("_tf_window").alias("_tf_w"), F.explode("_tf_window").alias("_tf_h"))
+        .groupBy(*place, "_tf_late", "_tf_m", "_tf_w", "_tf_h")
         .agg(F.count("*").alias("_tf_c"))
     )
     want = places.groupBy("_tf_item", "_tf_h").agg(F.count("*").alias("_tf_k"))
     common = (
         have.join(want, ["_tf_item", "_tf_h"])
-        .groupBy(*place, "_tf_m", "_tf_w")
+        .groupBy(*place, "_tf_late", "_tf_m", "_tf_w")
         .agg(F.sum(F.least("_tf_c", "_tf_k")).alias("common"))
         .withColumn("total", F.col("_tf_m") + F.col("_tf_w") - F.col("common"))
         .where(F.col("common") * 100 >= F.col("total") * percent)
     )
-    best = F.struct((F.col("common") / F.col("total")).alias("s"), (-F.col("_tf_start")).alias("p"))
+    best = F.struct(
+        (F.col("common") / F.col("total")).alias("s"), (-F.col("_tf_late")).alias("a"), (-F.col("_tf_start")).alias("p")
+    )
     return (
         common.join(items.select("_tf_item", "item_id"), "_tf_item")
         .groupBy(*KEY, "item_id")

@@ -97,3 +97,32 @@ def test_empty_native_and_clashing(spark, docs_of):
     kept = D.without_leaks(docs.withColumn("x", F.lit(1)), items)
     assert kept.count() == 0 and kept.columns == [*docs.columns, "x"]
     assert "Python" not in kept._jdf.queryExecution().executedPlan().toString()
+
+
+def cut_and_stretched(rng, length, inserted):
+    """An item, and a document that holds it without its first and last word and with words in its middle."""
+    item = [f"k{rng.randrange(10**6)}" for _ in range(length)]
+    body = item[1:-1]
+    at = len(body) // 2
+    body[at:at] = [f"x{i}" for i in range(inserted)]
+    around = [[f"o{rng.randrange(10**6)}" for _ in range(60)] for _ in range(2)]
+    return " ".join(item), " ".join(around[0] + body + around[1])
+
+
+def best_window(text, item):
+    g, m = grams(text), grams(item)
+    starts = range(max(1, len(g) - len(m) + 1))
+    return max(similarity(g[s : s + len(m)], m) for s in starts)
+
+
+def test_best_window_between_two_alignments(spark, docs_of):
+    rng = random.Random(11)
+    cases = [cut_and_stretched(rng, n, k) for n, k in ((50, 2), (64, 4), (80, 4), (100, 4), (100, 5)) for _ in range(3)]
+    cases = [(item, text) for item, text in cases if best_window(text, item) >= 0.75]
+    assert len(cases) >= 9
+    items = spark.createDataFrame([(i, item) for i, (item, _) in enumerate(cases)], ITEMS)
+    got = D.leaked_documents(docs_of([(i, text) for i, (_, text) in enumerate(cases)]), items).collect()
+    found = {(r["doc_id"], r["item_id"]): r["common"] / r["total"] for r in got}
+    assert set(found) == {(i, i) for i in range(len(cases))}
+    for (i, _), share in found.items():
+        assert abs(share - best_window(cases[i][1], cases[i][0])) < 1e-12
