@@ -10,7 +10,8 @@ smaller multiplicities over the sum of the larger, is at least 0.75.
 2. The windows are those of all alignments of a hit, and those that end at a hit and hold enough
    hits for the similarity. The first window of the greatest similarity among all starts ends at a
    hit or begins the text: else the window before it has as many common shingles. So the best of all
-   windows is among these. Windows and items get a 64-bit SimHash of their shingles.
+   windows is among these. Windows and items get a 64-bit SimHash of their (shingle, occurrence
+   number) pairs, so that a repeated shingle does not outvote the rest.
 3. The fingerprint is cut into one block more than the radius: fingerprints within the radius
    agree in a block at least. Windows meet their item by (item, block, bits).
 4. Pairs within the radius are verified by the exact similarity.
@@ -66,12 +67,20 @@ def blocks() -> list[tuple[int, int]]:
 
 
 def fingerprints(rows: DataFrame, keys: list[str], array: str) -> DataFrame:
-    """SimHash of ``array`` for each row of distinct ``keys``: a bit is set if most elements,
-    counted with their multiplicity, have it. Two counters of 32 bits share each sum."""
+    """SimHash of ``array`` for each row of distinct ``keys``: a bit is set if most pairs of an element
+    and its occurrence number have it, so that equal pairs are as many as common elements counted
+    with multiplicity. First occurrences stand for themselves. Two counters of 32 bits share each sum."""
     pair = (1 << 32) | 1
     h = F.col("_tf_h")
+    nth = F.when(F.col("_tf_nth") == 1, h).otherwise(F.xxhash64("_tf_h", "_tf_nth"))
     summed = (
-        rows.select(*keys, F.explode(array).alias("_tf_h"))
+        rows.select(*keys, array)
+        .repartition(*keys)
+        .select(*keys, F.explode(array).alias("_tf_h"))
+        .groupBy(*keys, "_tf_h")
+        .agg(F.count("*").alias("_tf_c"))
+        .withColumn("_tf_nth", F.explode(F.sequence(F.lit(1).cast("bigint"), "_tf_c")))
+        .select(*keys, nth.alias("_tf_h"))
         .groupBy(*keys)
         .agg(
             F.count("*").alias("_tf_size"),

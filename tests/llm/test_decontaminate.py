@@ -126,3 +126,15 @@ def test_best_window_between_two_alignments(spark, docs_of):
     assert set(found) == {(i, i) for i in range(len(cases))}
     for (i, _), share in found.items():
         assert abs(share - best_window(cases[i][1], cases[i][0])) < 1e-12
+
+
+def test_repeated_shingles_do_not_outvote(spark, docs_of):
+    rows, items = [], []
+    for i in range(20):
+        a, b = f"a{i}", f"b{i}"
+        # nine shingles each: five of one and four of the other, so 8 of 10 in common
+        items.append((i, " ".join([a, b] * 6 + [a])))
+        rows.append((i, " ".join([b, a] * 6 + [b])))
+        assert similarity(grams(items[-1][1]), grams(rows[-1][1])) == 0.8
+    got = D.leaked_documents(docs_of(rows), spark.createDataFrame(items, ITEMS)).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(i, i) for i in range(20)}
