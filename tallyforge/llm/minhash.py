@@ -452,7 +452,7 @@ class Linker:
         self.rest()
         members = labelled(self.classes.select("cls", *SIG, "least"), self.comps)
         least = members.groupBy("comp").agg(F.min("least").alias("component_id"))
-        return members.join(least, "comp").select(*SIG, "component_id")
+        return members.join(least, "comp").select(*SIG, "component_id", F.col("comp").alias("_tf_comp"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -466,8 +466,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component, that with the smallest id; repeated rows of
-    it are dropped too."""
-    kept = near_duplicates(docs).where("kept").select(*KEY).distinct()
-    rows = with_key(docs).join(kept, KEY, "left_semi").dropDuplicates(KEY)
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` with one document of each component, that with the smallest id, nulls last, and of one
+    id the smallest text hash; repeated rows of it are dropped too. Documents with an empty set stay,
+    one row for each."""
+    linker = Linker(docs)
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), *KEY)
+    members = linker.rows.where("n > 0").join(linker.run(), SIG)
+    kept = members.groupBy("_tf_comp").agg(F.min(rank).alias("r")).select(*[F.col(f"r.{c}").alias(c) for c in KEY])
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = with_key(docs.where(worded)).join(kept, KEY, "left_semi").dropDuplicates(KEY)
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where(~worded))

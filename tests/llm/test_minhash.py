@@ -117,3 +117,14 @@ def test_sets_are_shingles():
     texts = ["a b c d e f", "A B C D E F", "a b", "", "a a a a a a a"]
     got = minhash.sets(pa.array(texts))
     assert [len(s) for s in got] == [len(shingle_set(t)) for t in texts] and list(got[0]) == list(got[1])
+
+
+def test_keep_one_without_ids_and_shared_ids(docs_of):
+    long = [f"w{i}" for i in range(60)]
+    copy = lambda *extra: " ".join([*long, *extra])
+    other = lambda *extra: " ".join([f"v{i}" for i in range(60)] + list(extra))
+    rows = [(None, copy()), (None, copy("p")), (None, copy("q")), (7, other()), (7, other("p")), (9, other("q")), (None, None), (None, ""), (None, None)]
+    kept = minhash.keep_one(docs_of(rows)).collect()
+    assert sum((r["text"] or "").startswith("w0 ") for r in kept) == 1
+    assert [r["doc_id"] for r in kept if (r["text"] or "").startswith("v0 ")] == [7]
+    assert sum(not r["text"] for r in kept) == 3
