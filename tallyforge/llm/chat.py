@@ -10,7 +10,8 @@ keys sorted, no spaces, no escapes but those JSON needs.
 
 Defined results: null and unparsable arguments are invalid with reason ``json``. A tool without a
 schema is invalid with reason ``tool``. Repeated ids of one conversation are one call, the first
-by turn and arguments. Rows with a null conversation or id link with nothing.
+by turn and arguments. Rows with a null conversation or id link with nothing; ``format_calls`` with
+``unlinked`` keeps each as a row of its own with reason ``id``, and leaves them out by default.
 """
 
 from __future__ import annotations
@@ -118,7 +119,9 @@ def _checked(schemas: dict[str, dict]):
 
     def one(row: dict) -> tuple:
         reason, arguments = None, None
-        if row["turn"] is None:
+        if row["conv_id"] is None or row["call_id"] is None:
+            reason = "id"
+        elif row["turn"] is None:
             reason = "call"
         else:
             try:
@@ -146,10 +149,21 @@ def _checked(schemas: dict[str, dict]):
     return run
 
 
-def format_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
-    """One row a call or orphan result, with its level, validity, reason and canonical line."""
+def unlinked_rows(calls: DataFrame, results: DataFrame) -> DataFrame:
+    """Calls and results with a null conversation or id, in the columns of ``linked`` with a null level."""
+    null = F.col("conv_id").isNull() | F.col("call_id").isNull()
+    rows = calls.where(null).select("conv_id", "call_id", "turn", "tool", "arguments")
+    answers = results.where(null).select("conv_id", "call_id", F.col("turn").alias("result_turn"), F.col("text").alias("result"))
+    return rows.unionByName(answers, allowMissingColumns=True).withColumn("level", F.lit(None).cast("int"))
+
+
+def format_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], unlinked: bool = False) -> DataFrame:
+    """One row a call or orphan result, with its level, validity, reason and canonical line; with
+    ``unlinked`` also one row a call or result whose conversation or id is null."""
     joined = stage(linked(calls, results), "linked-calls")
     placed = joined.join(levels(joined.where("turn is not null")), ["conv_id", "call_id"], "left")
+    if unlinked:
+        placed = placed.drop("needs").unionByName(unlinked_rows(calls, results))
     rows = placed.select(
         F.col("conv_id").cast("bigint").alias("conv_id"), "call_id", F.col("turn").cast("bigint").alias("turn"), "tool", "arguments",
         "level", F.col("result_turn").cast("bigint").alias("result_turn"), "result",

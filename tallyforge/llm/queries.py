@@ -243,7 +243,7 @@ def op8_tool_calls(spark: SparkSession, sf: str) -> DataFrame:
     results = turns.where(F.col("role") == "assistant").select(
         "conv_id", "turn", call_id(F.col("turn") - 1).alias("call_id"), "text"
     )
-    return chat.format_calls(calls, results, SCHEMAS).withColumn("level", F.col("level").cast("bigint"))
+    return chat.format_calls(calls, results, SCHEMAS, unlinked=True).withColumn("level", F.col("level").cast("bigint"))
 
 
 @query("op9_warc")

@@ -42,3 +42,14 @@ def test_long_chain_and_empty(spark):
     got = chat.format_calls(spark.createDataFrame(calls, CALLS), spark.createDataFrame([], RESULTS), SCHEMAS).collect()
     assert sorted(r["level"] for r in got) == list(range(6))
     assert chat.format_calls(spark.createDataFrame([], CALLS), spark.createDataFrame([], RESULTS), SCHEMAS).count() == 0
+
+
+def test_rows_without_keys_are_kept_unlinked(spark):
+    calls = [(1, "a", 1, "add", '{"a":1}', None), (None, "a", 1, "add", '{"a":1}', None), (1, None, 2, "add", '{"a":1}', None), (None, None, 3, "add", None, ["a"])]
+    results = [(1, "a", 2, "linked"), (None, "a", 2, "x"), (1, None, 4, "y")]
+    got = chat.format_calls(spark.createDataFrame(calls, CALLS), spark.createDataFrame(results, RESULTS), SCHEMAS, unlinked=True).collect()
+    seen = sorted((str(r["conv_id"]), str(r["call_id"]), r["turn"] or 0, r["result_turn"] or 0, r["level"], r["reason"]) for r in got)
+    assert seen == [
+        ("1", "None", 0, 4, None, "id"), ("1", "None", 2, 0, None, "id"), ("1", "a", 1, 2, 0, None),
+        ("None", "None", 3, 0, None, "id"), ("None", "a", 0, 2, None, "id"), ("None", "a", 1, 0, None, "id"),
+    ]
