@@ -1,4 +1,4 @@
-"""The ten operators on their whole tables with production parameters."""
+"""The operators on their whole tables with production parameters."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..workload.registry import Query
 from ..workload.views import table
-from . import chat, decontaminate, langid, lines, minhash, neighbours, packing, quality, substrings, warc
+from . import chat, decontaminate, langid, lines, minhash, neighbours, packing, quality, sharding, substrings, warc
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -261,3 +261,48 @@ def op10_pack(spark: SparkSession, sf: str) -> DataFrame:
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf)
+
+
+OP13 = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS x, coalesce(doc_id, -9223372036854775808) AS o FROM documents
+), crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(range(8),
+         lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS rest
+), u AS (
+  SELECT x, xor(list_reduce(list_transform(regexp_extract_all(hex(encode(x)), '..'), lambda b: ('0x' || b)::BIGINT),
+         lambda c, b: xor(c >> 8, rest[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS text_crc32
+  FROM (SELECT DISTINCT x FROM d), crc
+), k AS (
+  SELECT doc_id, o, strlen(x) + {sharding.ROW_BYTES} AS size, substr(md5(x), 1, 15) AS g, text_crc32 FROM d JOIN u USING (x)
+), c AS (
+  SELECT *, row_number() OVER w AS r, (sum(size) OVER w)::HUGEINT AS upto FROM k
+  WINDOW w AS (ORDER BY g, o ROWS UNBOUNDED PRECEDING)
+), t AS (
+  SELECT sum(size)::HUGEINT AS total FROM k
+), e AS (
+  SELECT g, min(r) - 1 AS r0, min(upto - size) AS b0, max(r) AS r1, max(upto) AS b1 FROM c GROUP BY g
+), s AS (
+  SELECT r, r0, r1, total, abs({sharding.SHARDS} * (upto - size) - i * total) AS low, abs({sharding.SHARDS} * upto - i * total) AS high,
+         abs({sharding.SHARDS} * b0 - i * total) AS before, abs({sharding.SHARDS} * b1 - i * total) AS after
+  FROM range(1, {sharding.SHARDS}) AS n(i), t, c JOIN e USING (g)
+  WHERE (upto - size) * {sharding.SHARDS} <= i * total AND upto * {sharding.SHARDS} > i * total
+), cut AS (
+  SELECT list(CASE WHEN least(before, after) * {round(1 / sharding.TOLERANCE)} <= total THEN CASE WHEN before <= after THEN r0 ELSE r1 END
+              WHEN low <= high THEN r - 1 ELSE r END) AS cuts FROM s
+), p AS (
+  SELECT *, len(list_filter(cuts, lambda q: q < r))::INTEGER AS shard FROM c, cut
+)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'bytes' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY r) - 1 AS slot, NULL::INTEGER AS grown_shard
+FROM p
+"""
+
+
+@query("op13_sharding", OP13)
+def op13_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    placed = sharding.shard_documents(table(spark, sf, "documents"))
+    return placed.select(
+        F.col("document.doc_id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
