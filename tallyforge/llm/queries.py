@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..workload.registry import Query
 from ..workload.views import table
-from . import chat, decontaminate, langid, lines, minhash, neighbours, packing, quality, sharding, substrings, warc
+from . import chat, decontaminate, langid, lexical, lines, minhash, neighbours, packing, quality, sharding, substrings, warc, whitening
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -306,3 +306,46 @@ def op13_sharding(spark: SparkSession, sf: str) -> DataFrame:
         F.col("document.doc_id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query("op12_whitening")
+def op12_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf, "embeddings"))
+
+
+OP11 = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w
+  FROM documents WHERE text IS NOT NULL
+), b AS (
+  SELECT row_number() OVER () AS it, item_id,
+    list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS w
+  FROM benchmark WHERE text IS NOT NULL
+), s AS (
+  SELECT count(*)::HUGEINT AS docs, sum(len(w))::HUGEINT AS total FROM d WHERE len(w) > 0
+), p AS (
+  SELECT r, doc_id, t, count(*)::HUGEINT AS tf, any_value(n)::HUGEINT AS n
+  FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS t FROM d) GROUP BY r, doc_id, t
+), q AS (
+  SELECT it, item_id, unnest(w) AS t FROM b
+), df AS (
+  SELECT t, count(*) AS df FROM p SEMI JOIN q USING (t) GROUP BY t
+), k AS (
+  SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::HUGEINT AS wt, docs, total FROM df, s
+), g AS (
+  SELECT it, item_id, r, doc_id,
+         sum(wt * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // total)))) AS score
+  FROM q JOIN k USING (t) JOIN p USING (t) GROUP BY it, item_id, r, doc_id
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score::BIGINT AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY it ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM g WHERE score > 0
+) WHERE rank <= 10
+"""
+
+
+@query("op11_lexical_search", OP11)
+def op11_lexical_search(spark: SparkSession, sf: str) -> DataFrame:
+    return lexical.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
