@@ -194,7 +194,7 @@ def accumulate(block: Postings, terms: np.ndarray, weights: np.ndarray, k: int,
         doc, gain = block.of(term)
         if len(doc) * 4 >= k and opened:
             partial = sums[np.concatenate(opened)]
-            if partial.max() > left[at] and kth(partial, k) > left[at]:
+            if kth(partial, k) > left[at]:
                 break
         sums[doc] += weights[at] * gain
         new = doc[~live[doc]]
