@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stage
+from . import stopping
 
 
 def with_position(rows: DataFrame, key: str, order: Sequence[str], name: str = "position") -> DataFrame:
@@ -35,46 +36,44 @@ def with_position(rows: DataFrame, key: str, order: Sequence[str], name: str = "
     )
 
 
-def _candidates(history: DataFrame, chunk: int) -> DataFrame:
-    """Rows that may rise above all earlier ones, and one carrier row per chunk of epochs.
-
-    One pass without a self-join: maxima inside (run, chunk) drop nearly all rows, and the
-    rest meet once per run, where a range frame takes the maximum over earlier chunks.
-    """
-    by_chunk = Window.partitionBy("run", "chunk")
-    in_order = by_chunk.orderBy("epoch")
-    across = Window.partitionBy("run").orderBy("chunk").rangeBetween(Window.unboundedPreceding, -1)
-    lowest = F.lit(float("-inf"))
-    rises = F.col("score") > F.coalesce("near", lowest)
+def _chunks(history: DataFrame, chunk: int) -> DataFrame:
+    """(run, chunk, top, last, climb) per ``chunk`` epochs of a run: the highest score, the last
+    epoch, and the scores that exceed all earlier ones of the chunk. One shuffle by (run, chunk)."""
+    by_chunk = Window.partitionBy("run", "chunk").orderBy("epoch")
     score = F.when(~F.isnan("score"), F.col("score"))
-    return (
-        history.withColumn("score", score)
+    placed = (
+        history.select("run", F.col("epoch").cast("bigint").alias("epoch"), score.alias("score"))
         .withColumn("chunk", F.floor((F.col("epoch") - 1) / chunk))
-        .select(
-            "run", "chunk", "epoch", "score",
-            F.max("score").over(in_order.rowsBetween(Window.unboundedPreceding, -1)).alias("near"),
-            F.row_number().over(in_order).alias("place"),
-            F.max("score").over(by_chunk).alias("top"),
-            F.max("epoch").over(by_chunk).alias("last"),
-        )
-        .filter((F.col("place") == 1) | rises)
-        .withColumn("earlier", F.max("top").over(across))
-        .select(
-            "run", F.col("epoch").cast("bigint").alias("epoch"), "score", "last",
-            F.coalesce(rises & (F.col("score") > F.coalesce("earlier", lowest)), F.lit(False)).alias(
-                "rising"
-            ),
-        )
+        .withColumn("near", F.max("score").over(by_chunk.rowsBetween(Window.unboundedPreceding, -1)))
+    )
+    rises = F.col("score") > F.coalesce("near", F.lit(float("-inf")))
+    return placed.groupBy("run", "chunk").agg(
+        F.max("score").alias("top"),
+        F.max("epoch").alias("last"),
+        F.array_sort(F.collect_list(F.when(rises, F.struct("epoch", "score")))).alias("climb"),
     )
 
 
+def _climbs(chunks: DataFrame) -> DataFrame:
+    """Staged chunks with ``before``, the highest score of the run ahead of them, and ``climb`` cut to
+    the scores above it. What meets in one task of a run is two numbers a chunk."""
+    ahead = Window.partitionBy("run").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    tops = chunks.select(
+        F.col("run").alias("__run"), F.col("chunk").alias("__chunk"), F.max("top").over(ahead).alias("before")
+    )
+    same = F.col("run").eqNullSafe(F.col("__run")) & (F.col("chunk") == F.col("__chunk"))
+    above = F.filter("climb", lambda c: F.col("before").isNull() | (c["score"] > F.col("before")))
+    return chunks.join(tops, same).drop("__run", "__chunk").withColumn("climb", above)
+
+
 def rising_scores(history: DataFrame, chunk: int = 4096) -> DataFrame:
     """Epochs whose score exceeds every earlier score of the run.
 
     Only these can improve on the best one (a score that beats best + min_delta beats all
     before it, since none of those exceeded that mark).
     """
-    return _candidates(history, chunk).filter("rising").select("run", "epoch", "score")
+    climbs = _climbs(stage(_chunks(history, chunk), "chunks"))
+    return climbs.select("run", F.explode("climb").alias("c")).select("run", "c.epoch", "c.score")
 
 
 def early_stop(
@@ -84,11 +83,16 @@ def early_stop(
 
     Best starts at -1 and moves only when a score exceeds best + min_delta; training stops
     after ``patience`` epochs in a row without that. ``history`` has (run, epoch, score) with
-    epochs 1, 2, ... The fold runs over the rising scores alone, usually a handful per run:
-    between two improvements only their distance matters.
+    epochs 1, 2, ... The fold runs over the rising scores of the first ``chunk`` epochs: between two
+    improvements only their distance matters. Later chunks, if any run has them, are reduced to maps
+    that are composed in a tree (see ``stopping``), so no run is gathered however long it climbs.
     """
-    state = F.struct(
-        F.lit(-1.0).alias("best"),
+    if not min_delta >= 0:
+        raise ValueError("min_delta must be at least zero")
+    chunks = stage(_chunks(history, chunk), "chunks")
+    nodes = chunks.agg(F.max("chunk").alias("n")).first()["n"]
+    start = F.struct(
+        F.lit(stopping.START).alias("best"),
         F.lit(0).cast("bigint").alias("best_epoch"),
         F.lit(None).cast("bigint").alias("stopped"),
     )
@@ -105,13 +109,11 @@ def early_stop(
             stopped.alias("stopped"),
         )
 
-    entry = F.when(F.col("rising"), F.struct("epoch", "score"))
-    folded = (
-        _candidates(history, chunk)
-        .groupBy("run")
-        .agg(F.max("last").alias("epochs"), F.array_sort(F.collect_list(entry)).alias("climb"))
-        .withColumn("s", F.aggregate("climb", state, advance))
+    folded = chunks.where("chunk = 0").select(
+        "run", F.col("last").alias("epochs"), F.aggregate("climb", start, advance).alias("s")
     )
+    if nodes:
+        folded = _through_later_chunks(folded, chunks, nodes, start, patience, min_delta)
     end = F.coalesce(
         F.col("s.stopped"),
         F.when(
@@ -127,6 +129,33 @@ def early_stop(
     )
 
 
+def _through_later_chunks(
+    folded: DataFrame, chunks: DataFrame, nodes: int, start: Column, patience: int, min_delta: float
+) -> DataFrame:
+    """States after the first chunk, taken through the composed map of the run's other chunks."""
+    later = _climbs(chunks).where((F.col("chunk") > 0) & (F.size("climb") > 0))
+    maps = stopping.stretches(later.withColumn("node", F.col("chunk") - 1), min_delta, patience)
+    maps = stopping.composed(maps, nodes, min_delta, patience).withColumnRenamed("run", "__mapped")
+    ends = chunks.groupBy(F.col("run").alias("__run")).agg(F.max("last").alias("__last"))
+    rows = ends.join(folded, F.col("__run").eqNullSafe(F.col("run")), "left").drop("run", "epochs")
+    rows = rows.join(maps, F.col("__run").eqNullSafe(F.col("__mapped")), "left").select(
+        F.col("__run").alias("run"), F.col("__last").alias("epochs"), F.coalesce("s", start).alias("s"),
+        F.coalesce("key", F.array().cast("array<double>")).alias("key"), "first", "best", "epoch", "stopped",
+    )
+    at = F.size(F.filter("key", lambda k: k <= F.col("s.best") + min_delta))
+    met = F.col("s.stopped").isNull() & (F.col("at") < F.size("key"))
+    late = F.get("first", F.col("at")) - F.col("s.best_epoch") > patience
+    gone = F.get("stopped", F.col("at"))
+    moved = F.struct(
+        F.get("best", F.col("at")).alias("best"),
+        F.get("epoch", F.col("at")).alias("best_epoch"),
+        F.when(gone != stopping.RUNNING, gone).alias("stopped"),
+    )
+    left = F.struct("s.best", "s.best_epoch", (F.col("s.best_epoch") + patience).alias("stopped"))
+    state = F.when(~met, F.col("s")).when(late, left).otherwise(moved)
+    return rows.withColumn("at", at).select("run", "epochs", state.alias("s"))
+
+
 def best_epoch(history: DataFrame) -> DataFrame:
     """Earliest epoch of the highest score (the rule without a minimum step or patience).
 

@@ -641,6 +641,33 @@ def early_stop(spark, sf):
     return rounded(history.early_stop(views.history(spark, sf), patience=7, min_delta=0.5))
 
 
+@query(
+    "early_stop_long",
+    sql.ctes(
+        r="SELECT user_id % 3 AS run, value, row_number() OVER (PARTITION BY user_id % 3 ORDER BY ts, event_id) "
+        "AS epoch FROM events",
+        l="SELECT run, max(epoch) AS epochs, list({'e': epoch::BIGINT, 's': (epoch / 400 + value / 50)::DOUBLE} "
+        "ORDER BY epoch) AS xs FROM r GROUP BY run",
+        f="SELECT run, epochs, list_reduce(list_transform(xs, lambda x: {'best': x.s, 'best_epoch': x.e, "
+        "'stopped': NULL::BIGINT}), lambda a, x: CASE WHEN a.stopped IS NOT NULL THEN a "
+        "WHEN x.best > a.best + 0.25 THEN {'best': x.best, 'best_epoch': x.best_epoch, 'stopped': NULL::BIGINT} "
+        "WHEN x.best_epoch - a.best_epoch >= 300 + 3000 * (run > 0)::INT THEN {'best': a.best, 'best_epoch': a.best_epoch, "
+        "'stopped': x.best_epoch} ELSE a END, " + STATE + ") AS s FROM l",
+    )
+    + "SELECT run, s.best_epoch AS best_epoch, round(s.best, 6) AS best_score, "
+    "coalesce(s.stopped, epochs) AS last_epoch, s.stopped IS NOT NULL AS stopped_early FROM f",
+)
+def early_stop_long(spark, sf):
+    """All events as the epochs of three long runs that keep climbing: chunks meet in a tree."""
+    rows = table(spark, sf, "events").select((F.col("user_id") % 3).alias("run"), "value", "ts", "event_id")
+    climbing = history.with_position(rows, "run", ["ts", "event_id"], "epoch").withColumn(
+        "score", F.col("epoch") / 400 + F.col("value") / 50
+    )
+    short = history.early_stop(climbing.where("run = 0"), patience=300, min_delta=0.25, chunk=64)
+    patient = history.early_stop(climbing.where("run > 0"), patience=3300, min_delta=0.25, chunk=64)
+    return rounded(short.unionByName(patient))
+
+
 @query(
     "best_epoch",
     sql.ctes(h=sql.history())
