@@ -31,6 +31,25 @@ def identity_hash(document: Column) -> Column:
     return F.sha2(canonical_json(document), 256)
 
 
+LANES = 10  # of 24 bits each: 240 bits of a SHA-256; sums stay in 64 bits below 2**39 entries
+
+
+def multiset_lanes(entry: Column) -> list[Column]:
+    """Aggregates whose values identify a multiset of texts: how many there are, and per lane the sum
+    of a slice of their hashes modulo 2**24. Sums merge on the map side and in any order, repeats
+    count, and nothing is gathered. A null text is an entry of its own."""
+    digest = F.sha2(F.coalesce(F.concat(F.lit("="), entry), F.lit("")), 256)
+    slices = [F.conv(F.substring(digest, 6 * i + 1, 6), 16, 10).cast("bigint") for i in range(LANES)]
+    sums = [(F.sum(s) % (1 << 24)).alias(f"lane{i}") for i, s in enumerate(slices)]
+    return [F.count("*").alias("n_entries"), *sums]
+
+
+def multiset_hash() -> Column:
+    """Identity of the multiset that :func:`multiset_lanes` has summed."""
+    lanes = [F.col(f"lane{i}").cast("string") for i in range(LANES)]
+    return F.sha2(F.concat_ws(",", F.col("n_entries").cast("string"), *lanes), 256)
+
+
 def struct_hash(*fields: Column) -> Column:
     """Hash of a flat record whose fields are given in name order."""
     return F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), 256)

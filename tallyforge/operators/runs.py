@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import REPORT_METRICS
-from ..functions.hashing import recipe_hash, recipe_json
+from ..functions.hashing import multiset_hash, multiset_lanes, recipe_hash, recipe_json
 from ..functions.scalars import format_interval, format_metric
 from ..functions.student import t_quantile_975
 
@@ -184,22 +184,19 @@ def mean_member_score(members: DataFrame, score: str = "macro_f1") -> DataFrame:
 def replication_id(members: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Identity of a member multiset (recipe, seed), whatever its order.
 
-    An ensemble's member list is declared by its caller, so a group is that list. The report
-    seed is the seed all members share, else the first 15 hex digits of the identity.
+    It comes from sums of hashes, so a group of any size is one aggregate with partial sums. The
+    report seed is the seed all members share, else the first 15 hex digits of the identity.
     """
     entry = F.concat(
-        F.lit('{"recipe":'), F.col("recipe"),
-        F.lit(',"training_seed":'), F.col("seed").cast("string"), F.lit("}"),
+        F.lit('{"recipe":'), F.coalesce("recipe", F.lit("null")),
+        F.lit(',"training_seed":'), F.coalesce(F.col("seed").cast("string"), F.lit("null")), F.lit("}"),
     )
     ids = members.groupBy(*by).agg(
-        F.count("*").alias("n_members"),
-        F.min("seed").alias("low_seed"),
-        F.max("seed").alias("high_seed"),
-        F.sha2(F.array_join(F.array_sort(F.collect_list(entry)), ","), 256).alias("replication_id"),
-    )
+        F.min("seed").alias("low_seed"), F.max("seed").alias("high_seed"), *multiset_lanes(entry)
+    ).withColumn("replication_id", multiset_hash())
     own = F.conv(F.substring("replication_id", 1, 15), 16, 10).cast("bigint")
     seed = F.when(F.col("low_seed") == F.col("high_seed"), F.col("low_seed")).otherwise(own)
-    return ids.select(*by, "n_members", "replication_id", seed.alias("report_seed"))
+    return ids.select(*by, F.col("n_entries").alias("n_members"), "replication_id", seed.alias("report_seed"))
 
 
 def member_recipes(runs: DataFrame) -> DataFrame:

@@ -95,8 +95,10 @@ def recipe_hash(spark, sf):
         d="SELECT o_orderpriority AS model, o_orderstatus AS mode, o_orderkey AS seed, o_custkey AS owner FROM orders",
         e="SELECT owner, seed, '{\"recipe\":' || " + sql.recipe_text("")
         + " || ',\"training_seed\":' || seed || '}' AS entry FROM d",
-        g="SELECT owner, count(*) AS n_members, min(seed) AS low, max(seed) AS high, "
-        "sha256(string_agg(entry, ',' ORDER BY entry)) AS replication_id FROM e GROUP BY owner",
+        h="SELECT *, sha256('=' || entry) AS h FROM e",
+        g="SELECT owner, count(*) AS n_members, min(seed) AS low, max(seed) AS high, sha256(count(*) || "
+        + " || ".join(f"',' || sum(('0x' || h[{6 * i + 1}:{6 * i + 6}])::BIGINT) % 16777216" for i in range(hashing.LANES))
+        + ") AS replication_id FROM h GROUP BY owner",
     )
     + "SELECT owner, n_members, replication_id, CASE WHEN low = high THEN low ELSE "
     "('0x' || replication_id[1:15])::BIGINT END AS report_seed FROM g",
