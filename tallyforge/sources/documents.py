@@ -17,8 +17,20 @@ def exists(spark: SparkSession, path: str) -> bool:
     return system.exists(target)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, none if it is missing."""
+    system, target = _file_system(spark, path)
+    return sorted(f.getPath().getName() for f in system.listStatus(target)) if system.exists(target) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    system, target = _file_system(spark, path)
+    system.delete(target, True)
+
+
 def write_document(spark: SparkSession, path: str, document: dict, replace: bool = True) -> None:
-    """Key-sorted JSON, written beside its target and renamed, so readers never see a part."""
+    """Key-sorted JSON, written beside its target and renamed over it in one step: readers see the
+    document before or the one after, never a part or none."""
     text = json.dumps(document, indent=2, sort_keys=True, allow_nan=False) + "\n"
     system, target = _file_system(spark, path)
     if system.exists(target) and not replace:
@@ -29,10 +41,12 @@ def write_document(spark: SparkSession, path: str, document: dict, replace: bool
         stream.write(bytearray(text.encode()))
     finally:
         stream.close()
-    if system.exists(target):
-        system.delete(target, False)
-    if not system.rename(part, target):
-        raise OSError(f"could not write {path}")
+    jvm = spark.sparkContext._jvm
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(system.makeQualified(part), system.makeQualified(target), options)
 
 
 def read_document(spark: SparkSession, path: str) -> dict:
