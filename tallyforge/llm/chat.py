@@ -8,7 +8,10 @@ length is never gathered. Calls on a cycle, or behind one, or behind an unknown
 Arguments are validated against a schema per tool, and every message is written as canonical JSON:
 keys sorted, no spaces, no escapes but those JSON needs.
 
-Defined results: null and unparsable arguments are invalid with reason ``json``. A tool without a
+Defined results: null and unparsable arguments are invalid with reason ``json``; so are those that
+nest deeper than the parser follows, hold a number that is not finite (NaN, Infinity, 1e999) or half
+of a surrogate pair, none of which canonical JSON can carry. Their line has them as the text they
+came as. Texts of any length are read whole; other columns are ignored. A tool without a
 schema is invalid with reason ``tool``. Repeated ids of one conversation are one call, the first
 by turn and arguments. Rows with a null conversation or id link with nothing; ``format_calls`` with
 ``unlinked`` keeps each as a row of its own with reason ``id``, and leaves them out by default.
@@ -18,6 +21,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,6 +40,25 @@ def canonical(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
+def _finite(text: str) -> float:
+    value = float(text)
+    if not math.isfinite(value):
+        raise ValueError(f"not a JSON number: {text[:40]}")
+    return value
+
+
+def parsed(arguments: str | None):
+    """Value of a JSON text; ValueError if it is none, or one that canonical JSON cannot carry."""
+    if arguments is None:
+        raise ValueError("no arguments")
+    try:
+        value = json.loads(arguments, parse_constant=_finite, parse_float=_finite)
+        canonical([[value]]).encode()  # a line nests it deeper; half a surrogate pair has no UTF-8
+    except RecursionError:
+        raise ValueError("nested too deep") from None
+    return value
+
+
 def violation(value, schema: dict, path: str = "$") -> str | None:
     """First violation of ``type``, ``enum``, ``minimum``, ``maximum``, ``minLength``,
     ``maxLength``, ``required``, ``additionalProperties``, ``properties`` and ``items``."""
@@ -118,15 +141,15 @@ def _checked(schemas: dict[str, dict]):
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.bool_(), pa.string(), pa.string()]
 
     def one(row: dict) -> tuple:
-        reason, arguments = None, None
+        reason, arguments = None, row["arguments"]
         if row["conv_id"] is None or row["call_id"] is None:
             reason = "id"
         elif row["turn"] is None:
             reason = "call"
         else:
             try:
-                arguments = json.loads(row["arguments"])
-            except (TypeError, ValueError):
+                arguments = parsed(row["arguments"])
+            except ValueError:
                 reason = "json"
             else:
                 schema = schemas.get(row["tool"])
@@ -135,7 +158,7 @@ def _checked(schemas: dict[str, dict]):
             reason = "order"
         line = canonical(
             {
-                "call": row["call_id"], "tool": row["tool"], "arguments": arguments if arguments is not None else row["arguments"],
+                "call": row["call_id"], "tool": row["tool"], "arguments": arguments,
                 "result": row["result"], "valid": reason is None,
             }
         )

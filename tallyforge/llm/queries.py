@@ -195,7 +195,7 @@ SCHEMAS = {
 
 
 OP8 = """
-WITH call AS (
+WITH RECURSIVE call AS (
   SELECT conv_id, turn, 't' || turn AS call_id, text, 1 + length(text) % 60 AS lim,
          CASE role WHEN 'user' THEN 'search' ELSE 'setup' END AS tool
   FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY role, text) AS o
@@ -206,11 +206,23 @@ WITH call AS (
         FROM conversations WHERE role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL) WHERE o = 1
 ), j AS (
   SELECT * FROM call FULL JOIN result USING (conv_id, call_id)
+), need AS (
+  SELECT DISTINCT conv_id, call_id, 't' || need AS need
+  FROM (SELECT conv_id, call_id, unnest(CASE WHEN turn = 0 THEN [] WHEN turn < 2 THEN [0] ELSE [0, turn - 2] END) AS need FROM call)
+), reach AS (
+  SELECT conv_id, call_id, 0 AS level FROM call WHERE turn = 0
+  UNION
+  SELECT n.conv_id, n.call_id, level + 1 FROM reach r JOIN need n ON n.conv_id = r.conv_id AND n.need = r.call_id
+), good AS (
+  SELECT conv_id, call_id, 0 AS depth FROM call WHERE turn = 0
+  UNION
+  SELECT c.conv_id, c.call_id, g.depth + 1 FROM call c JOIN good g
+    ON g.conv_id = c.conv_id AND g.call_id = 't' || (CASE WHEN c.turn < 2 THEN 0 ELSE c.turn - 2 END) AND c.turn > 0
+  WHERE EXISTS (SELECT 1 FROM call o WHERE o.conv_id = c.conv_id AND o.turn = 0)
 ), l AS (
-  SELECT *, CASE WHEN turn IS NULL THEN NULL WHEN turn = 0 THEN 0
-      WHEN NOT EXISTS (SELECT 1 FROM call c WHERE c.conv_id = j.conv_id AND c.turn = 0) THEN NULL
-      ELSE 1 END AS level
-  FROM j
+  SELECT j.*, level FROM j LEFT JOIN (
+    SELECT conv_id, call_id, max(level) AS level FROM reach SEMI JOIN good USING (conv_id, call_id) GROUP BY conv_id, call_id
+  ) USING (conv_id, call_id)
 ), v AS (
   SELECT *, CASE WHEN turn IS NULL THEN 'call' WHEN tool <> 'search' THEN 'tool'
       WHEN lim > 50 THEN '$.limit: range'
@@ -228,8 +240,8 @@ FROM v
 
 @query("op8_tool_calls", OP8)
 def op8_tool_calls(spark: SparkSession, sf: str) -> DataFrame:
-    """User and system turns are calls that need the conversation's opening turn; an assistant's
-    turn is the result of the call before it."""
+    """User and system turns are calls that need the conversation's opening turn and the turn two
+    before; an assistant's turn is the result of the call before it."""
     turns = table(spark, sf, "conversations")
     call_id = lambda turn: F.concat(F.lit("t"), turn.cast("string"))
     calls = turns.where(F.col("role").isin("user", "system")).select(
@@ -238,7 +250,10 @@ def op8_tool_calls(spark: SparkSession, sf: str) -> DataFrame:
         call_id(F.col("turn")).alias("call_id"),
         F.when(F.col("role") == "user", "search").otherwise("setup").alias("tool"),
         F.to_json(F.struct((1 + F.length("text") % 60).alias("limit"), F.col("text").alias("query"))).alias("arguments"),
-        F.when(F.col("turn") == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("t0"))).alias("needs"),
+        F.when(F.col("turn") == 0, F.array().cast("array<string>"))
+        .when(F.col("turn") < 2, F.array(F.lit("t0")))
+        .otherwise(F.array(F.lit("t0"), call_id(F.col("turn") - 2)))
+        .alias("needs"),
     )
     results = turns.where(F.col("role") == "assistant").select(
         "conv_id", "turn", call_id(F.col("turn") - 1).alias("call_id"), "text"

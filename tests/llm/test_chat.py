@@ -37,6 +37,38 @@ def test_links_order_and_validity(spark):
     assert json.loads(got[1, "f"]["line"])["arguments"] == "{oops" and got[1, "a"]["valid"]
 
 
+def test_arguments_that_canonical_json_cannot_carry(spark):
+    bad = ["[" * 200_000, '{"a":' * 50_000 + "1" + "}" * 50_000, '{"a":"\\ud800"}', '{"\\udfff":1}', '{"a":NaN}', '{"a":-Infinity}', '{"a":1e999}', '{"a":' + "9" * 5000 + "}", "", " "]
+    good = ['{"a":1}', '{"a":1.5e3,"tags":["x"]}', '{"a":"\\ud83d\\ude00"}', "null", '{"a":' + " " * 100_000 + "2}"]
+    calls = [(1, f"c{i}", i, "add", a, None) for i, a in enumerate(bad + good)]
+    df = spark.createDataFrame([(*c, "x", 1.0) for c in calls], CALLS + ", level string, line double")  # clashing names
+    got = {r["call_id"]: r for r in chat.format_calls(df, spark.createDataFrame([], RESULTS), SCHEMAS).collect()}
+    for i, text in enumerate(bad):
+        row = got[f"c{i}"]
+        assert (row["valid"], row["reason"]) == (False, "json")
+        assert json.loads(row["line"])["arguments"] == text
+    reasons = [got[f"c{len(bad) + i}"]["reason"] for i in range(len(good))]
+    assert reasons == [None, None, "$.a: number", "$: object", None]
+    assert json.loads(got[f"c{len(bad) + 3}"]["line"])["arguments"] is None
+
+
+def test_registered_query_against_its_twin(spark, tmp_path):
+    import duckdb
+
+    from tallyforge.llm.queries import ORACLES, op8_tool_calls
+
+    rows = [(c, t, "assistant" if t % 2 else "user", f"text {c} {t} é") for c in range(12) for t in range(9) if (c, t) not in ((3, 0), (4, 4))]
+    rows += [(7, 11, "assistant", None), (8, 12, "system", "x" * 400), (13, 5, "user", "no opening"), (14, 0, "system", "s"), (14, 1, "user", "first")]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = op8_tool_calls(spark, str(tmp_path))
+    base = duckdb.connect()
+    base.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    wanted = base.execute(ORACLES["op8_tool_calls"])
+    names = [d[0] for d in wanted.description]
+    assert sorted(map(tuple, got.select(*names).collect()), key=repr) == sorted(wanted.fetchall(), key=repr)
+    assert {r["level"] for r in got.collect()} == {None, 0, 1, 2, 3, 4}
+
+
 def test_long_chain_and_empty(spark):
     calls = [(1, f"c{i}", i, "add", '{"a":1}', [f"c{i - 1}"] if i else None) for i in range(6)]
     got = chat.format_calls(spark.createDataFrame(calls, CALLS), spark.createDataFrame([], RESULTS), SCHEMAS).collect()
