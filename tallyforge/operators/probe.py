@@ -8,17 +8,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import argmax, literal_array, with_softmax
 from ..session import with_package
 from .classes import lookup
-from .metrics import class_weights
-
-LAYER_NORM_EPS = 1e-5
+from .fitting import LAYER_NORM_EPS, Fit, Recipe, fit_grid
 
 
 @dataclass(frozen=True)
@@ -157,6 +153,10 @@ def centroid_head(rows: DataFrame, k: int, features: str = "features") -> Head:
     return Head([found.get(i, [0.0] * width) for i in range(k)], [0.0] * k)
 
 
+def as_head(fit: Fit) -> Head:
+    return Head(fit.weights.tolist(), fit.bias.tolist())
+
+
 def train_probe(
     rows: DataFrame,
     k: int,
@@ -166,19 +166,4 @@ def train_probe(
     features: str = "features",
 ) -> Head:
     """Multinomial logistic regression on layer-normalised frozen features."""
-    x = normalised(rows, features, "__n").select(
-        F.col("label").cast("double").alias("label"), array_to_vector("__n").alias("features")
-    )
-    weight = F.lit(1.0)
-    if balanced:
-        counts = rows.groupBy(F.col("label").alias("class_id")).agg(F.count("*").alias("n"))
-        table = {r["class_id"]: r["loss_weight"] for r in class_weights(counts, k).collect()}
-        weight = lookup([table.get(i, 0.0) for i in range(k)], F.col("label").cast("int"), "double")
-    model = LogisticRegression(
-        family="multinomial", maxIter=max_iter, regParam=l2, standardization=False,
-        weightCol="weight",
-    ).fit(x.withColumn("weight", weight))
-    matrix, bias = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
-    missing = k - len(bias)
-    weights = [list(map(float, row)) for row in matrix] + [[0.0] * matrix.shape[1]] * missing
-    return Head(weights, [float(v) for v in bias] + [-1e9] * missing)
+    return as_head(fit_grid(rows, k, [Recipe(l2, balanced, max_iter)], features)[0])

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import SCALARS
 from ..functions import scalars as scalar_fn
 from ..functions.vectors import argmax, confidence_bin, log_clip, with_softmax
-from ..operators import bootstrap, calibration, checks, ensemble, metrics, probe, ranking, runs, verify
+from ..operators import bootstrap, calibration, checks, ensemble, fitting, metrics, probe, ranking, runs, verify
 from ..operators.classes import attach_class, class_table
 from ..plans import ensemble as ensemble_plan
 from ..plans import evaluate as evaluate_plan
@@ -696,6 +698,28 @@ def probe_shares(spark, sf):
     return rounded(means.select(F.explode(F.array(*pairs)).alias("p")).select("p.*"), 3)
 
 
+@query(
+    "probe_certificate",
+    "SELECT row_number() OVER (ORDER BY l2, balanced) - 1 AS candidate, l2, balanced, n AS n_train, true AS converged, "
+    "true AS below_null_model FROM (VALUES (0.01::DOUBLE), (0.5::DOUBLE)) a(l2), (VALUES (false), (true)) b(balanced), "
+    "(SELECT count(*) AS n FROM embeddings WHERE vec_id % 5 NOT IN (0, 1)) c",
+)
+def probe_certificate(spark, sf):
+    """Every recipe of a grid ends where its penalised gradient vanishes, below the loss of a head
+    that knows only the classes' shares."""
+    rows = views.features(spark, sf).filter("split = 'train'")
+    grid = [fitting.Recipe(l2, balanced, 300) for l2 in (0.01, 0.5) for balanced in (False, True)]
+    shares = [r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()]
+    n = sum(shares)
+    flat = {False: -sum(s / n * math.log(s / n) for s in shares), True: math.log(len(shares))}
+    results = [
+        (i, g.l2, g.balanced, n, f.converged, f.loss < flat[g.balanced])
+        for i, (g, f) in enumerate(zip(grid, fitting.fit_grid(rows, K, grid)))
+    ]
+    schema = "candidate bigint, l2 double, balanced boolean, n_train bigint, converged boolean, below_null_model boolean"
+    return literal_table(spark, results, schema)
+
+
 @query("tune_probe")
 def tune_probe(spark, sf):
     return search.tune_probe(views.features(spark, sf), K, l2=[0.01, 0.5], balanced=[False, True], max_iter=[50])
