@@ -3,8 +3,8 @@
 Calls and results meet in a hash join by (conversation, call id). The first result of a call
 counts, in turn order; a call without one and a result without a call are kept as such. Calls of
 a conversation are put in a topological order: a call may name calls it depends on, and stands
-after them; its level is found by joining the edges level by level, so a conversation of any
-length is never gathered. Calls on a cycle, or behind one, or behind an unknown id, have no level.
+after them; its level is found by joins that double the steps they take along a chain, so a
+conversation of any length is never gathered. Calls on a cycle, or behind one, or behind an unknown id, have no level.
 Arguments are validated against a schema per tool, and every message is written as canonical JSON:
 keys sorted, no spaces, no escapes but those JSON needs.
 
@@ -19,7 +19,6 @@ by turn and arguments. Rows with a null conversation or id link with nothing; ``
 
 from __future__ import annotations
 
-import itertools
 import json
 import math
 from collections.abc import Iterator
@@ -115,21 +114,45 @@ def linked(calls: DataFrame, results: DataFrame) -> DataFrame:
 
 def levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level): 0 for calls that need nothing, else one more than the largest
-    level among the needed calls. One join a level; ends when no call gets a level."""
-    nodes = stage(calls.select("conv_id", "call_id", F.coalesce("needs", F.array().cast("array<string>")).alias("needs")), "calls")
-    edges = nodes.select("conv_id", "call_id", F.explode(F.array_distinct("needs")).alias("need"))
-    edges = stage(edges, "needs")
-    done = nodes.where(F.size("needs") == 0).select("conv_id", "call_id", F.lit(0).alias("level"))
-    done = stage(done, "level")
-    rest = nodes.where(F.size("needs") > 0).select("conv_id", "call_id", F.size(F.array_distinct("needs")).alias("wanted"))
-    for level in itertools.count(1):
-        met = edges.join(done.select("conv_id", F.col("call_id").alias("need"), "level"), ["conv_id", "need"])
-        ready = met.groupBy("conv_id", "call_id").agg(F.count("*").alias("met"), F.max("level").alias("top"))
-        fresh = rest.join(ready, ["conv_id", "call_id"]).where(f"met = wanted and top = {level - 1}")
-        fresh = stage(fresh.select("conv_id", "call_id", F.lit(level).alias("level")), "level")
-        if fresh.isEmpty():
-            return done
+    level among the needed calls; calls without a level are left out.
+
+    An open call keeps the level that its settled needs ask for and, of the others, how many steps
+    above them it stands. In a round, needs on calls settled last are settled, calls without open
+    needs get their level, and a call with one open need on a call that has one open need itself
+    moves on to that one, adding the steps. So a chain takes as many rounds as the logarithm of its
+    length; only where several open needs meet again and again are there more. A round that settles
+    nothing is the last: what is left hangs on a cycle or an unknown id.
+    """
+    need = F.transform(F.array_distinct("needs"), lambda n: F.struct(n.alias("need"), F.lit(1).alias("steps")))
+    none = F.array().cast("array<struct<need:string,steps:int>>")
+    nodes = calls.select("conv_id", "call_id", F.lit(0).alias("level"), F.coalesce(need, none).alias("open"))
+    nodes = stage(nodes, "calls")
+    fresh = stage(nodes.where(F.size("open") == 0).select("conv_id", "call_id", "level"), "level")
+    rest, done = nodes.where(F.size("open") > 0), fresh
+    while not fresh.isEmpty():
+        met = fresh.select("conv_id", F.col("call_id").alias("need"), F.col("level").alias("found"))
+        edges = rest.select("conv_id", "call_id", "level", F.explode("open").alias("e")).select("conv_id", "call_id", "level", "e.need", "e.steps")
+        settled = edges.join(met, ["conv_id", "need"], "left").groupBy("conv_id", "call_id").agg(
+            F.greatest(F.max("level"), F.max(F.col("found") + F.col("steps"))).alias("level"),
+            F.collect_list(F.when(F.col("found").isNull(), F.struct("need", "steps"))).alias("open"),
+        )
+        settled = stage(settled, "settled")
+        fresh = settled.where(F.size("open") == 0).select("conv_id", "call_id", "level")
         done = done.unionByName(fresh)
+        one = settled.where(F.size("open") == 1).select(
+            "conv_id", F.col("call_id").alias("via"), F.col("level").alias("via_level"), F.col("open")[0].alias("onward")
+        )
+        rest = settled.where(F.size("open") > 0).withColumn("via", F.when(F.size("open") == 1, F.col("open")[0]["need"]))
+        moved = F.struct(F.col("onward.need").alias("need"), (F.col("onward.steps") + F.col("open")[0]["steps"]).alias("steps"))
+        rest = rest.join(one, ["conv_id", "via"], "left").select(
+            "conv_id",
+            "call_id",
+            F.when(F.col("onward").isNull(), F.col("level"))
+            .otherwise(F.greatest("level", F.col("via_level") + F.col("open")[0]["steps"]))
+            .alias("level"),
+            F.when(F.col("onward").isNull(), F.col("open")).otherwise(F.array(moved)).alias("open"),
+        )
+        rest = stage(rest, "open")
     return done
 
 

@@ -1,4 +1,5 @@
 import json
+import random
 
 from tallyforge.llm import chat
 
@@ -69,6 +70,43 @@ def test_registered_query_against_its_twin(spark, tmp_path):
     assert {r["level"] for r in got.collect()} == {None, 0, 1, 2, 3, 4}
 
 
+def brute_levels(needs):
+    level = {}
+    while True:
+        new = {
+            v: 1 + max((level[n] for n in ns), default=-1)
+            for v, ns in needs.items()
+            if v not in level and all(n in level for n in ns)
+        }
+        if not new:
+            return level
+        level |= new
+
+
+def test_levels_of_any_graph(spark):
+    rng = random.Random(7)
+    needs = {}
+    for conv, backward, n in ((1, False, 60), (2, True, 40), (3, False, 5), (4, True, 25)):
+        for i in range(n):
+            reach = range(n) if backward and rng.random() < 0.1 else range(i)  # sometimes a cycle
+            own = rng.sample(reach, min(len(reach), rng.choice([0, 1, 1, 1, 2, 3])))
+            needs[conv, f"c{i}"] = [(conv, f"c{j}") for j in own] + ([(conv, "missing")] if rng.random() < 0.03 else [])
+    needs[5, "self"], needs[5, "null"], needs[5, "ok"] = [(5, "self")], [(5, None)], []
+    rows = [(c, v, 0, "add", "{}", [n for _, n in ns] or None) for (c, v), ns in needs.items()]
+    rng.shuffle(rows)
+    got = chat.levels(spark.createDataFrame(rows, CALLS)).collect()
+    assert {(r["conv_id"], r["call_id"]): r["level"] for r in got} == brute_levels(needs)
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    staged, plain = [], chat.stage
+    monkeypatch.setattr(chat, "stage", lambda df, tag: staged.append(tag) or plain(df, tag))
+    rows = [(1, f"c{i}", i, "add", "{}", [f"c{i - 1}", "c0"] if i else []) for i in range(300)]
+    got = chat.levels(spark.createDataFrame(rows, CALLS)).collect()
+    assert sorted(r["level"] for r in got) == list(range(300))
+    assert staged.count("settled") <= 12
+
+
 def test_long_chain_and_empty(spark):
     calls = [(1, f"c{i}", i, "add", '{"a":1}', [f"c{i - 1}"] if i else None) for i in range(6)]
     got = chat.format_calls(spark.createDataFrame(calls, CALLS), spark.createDataFrame([], RESULTS), SCHEMAS).collect()
