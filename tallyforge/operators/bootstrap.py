@@ -5,8 +5,8 @@ row index, with leaves of about ``LEAF_ROWS`` rows. A resample sends the class's
 tree: a node's left child gets a binomial share by its size, and a leaf draws its share with
 replacement. That has the distribution of n draws over the whole class.
 
-Each number comes from a counter-based generator keyed by (seed, replicate, class, tree node), so
-the result is the same however rows are partitioned and grouped into blocks, and a retried task
+Each number comes from a counter-based generator with 128 bits of key, mixed from (seed, replicate,
+class, level, tree node), and all replicates of a node are drawn in one vector pass, so the result is the same however rows are partitioned and grouped into blocks, and a retried task
 repeats it. A small class is one leaf of the same tree. One narrow frame is shuffled once, into
 blocks of whole leaves; a block knows its way from the root from the sizes along it, and what
 leaves it is tallies: per replicate some counts by predicted class and bin.
@@ -14,6 +14,8 @@ leaves it is tallies: per replicate some counts by predicted class and bin.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -30,49 +32,119 @@ TALLY_SCHEMA = (
     "conf double, nll double, brier double"
 )
 
-# Multipliers of a public 32-bit integer mixer, and two stream offsets.
-MIX_1 = 0x7FEB352D
-MIX_2 = 0x846CA68B
-STREAM_1 = 0x9E3779B9
-STREAM_2 = 0x85EBCA6B
-MASK = 0xFFFFFFFF
-
-
-def mix32(x: np.ndarray) -> np.ndarray:
-    """Bijective 32-bit mixer; ``uint32`` arithmetic wraps around by itself."""
-    x = x ^ (x >> np.uint32(16))
-    x *= np.uint32(MIX_1)
-    x ^= x >> np.uint32(15)
-    x *= np.uint32(MIX_2)
-    x ^= x >> np.uint32(16)
-    return x
-
-
-def _mix_one(value: int) -> int:
-    return int(mix32(np.array([value & MASK], dtype=np.uint32))[0])
-
-
-def stream_keys(seed: int, replicate: int, label: int, leaf: int) -> tuple[int, int]:
-    """Two 32-bit keys of one (seed, replicate, class, leaf) stream."""
-    key = _mix_one(seed + STREAM_1)
-    for part in (replicate, label, leaf):
-        key = _mix_one(key + part)
-    return key, _mix_one(key + STREAM_2)
-
-
-def draws(seed: int, replicate: int, label: int, leaf: int, n: int, size: int) -> np.ndarray:
-    """``n`` positions in [0, size): counter-based, so a retried task repeats them."""
-    first, second = (np.uint32(key) for key in stream_keys(seed, replicate, label, leaf))
-    mixed = mix32(mix32(np.arange(n, dtype=np.uint32) + first) ^ second)
-    return ((mixed.astype(np.uint64) * np.uint64(size)) >> np.uint64(32)).astype(np.int64)
+# Multipliers of a public 64-bit mixer, the golden step of its counters, and two starts.
+MIX_1 = 0xBF58476D1CE4E5B9
+MIX_2 = 0x94D049BB133111EB
+STEP = 0x9E3779B97F4A7C15
+STARTS = (0x243F6A8885A308D3, 0x13198A2E03707344)
+MASK = (1 << 64) - 1
+CHUNK_DRAWS = 1 << 21
+
+
+def mix64(x: np.ndarray) -> np.ndarray:
+    """Bijective 64-bit mixer; ``uint64`` arithmetic wraps around by itself."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(MIX_1)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(MIX_2)
+    return x ^ (x >> np.uint64(31))
+
+
+def stream_keys(seed: int, replicates: np.ndarray, label: int, level: int, node: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit keys a stream. They are mixed from different starts, so two streams are the same
+    only if 128 bits agree."""
+    keys = []
+    for start in STARTS:
+        key = np.full(len(replicates), start, np.uint64)
+        for part in (seed, replicates, label, level, node):
+            part = part.astype(np.uint64) if isinstance(part, np.ndarray) else np.uint64(part & MASK)
+            key = mix64(key + part + np.uint64(STEP))
+        keys.append(key)
+    return keys[0], keys[1]
+
+
+def counter_bits(first: np.ndarray, second: np.ndarray, counter: np.ndarray) -> np.ndarray:
+    """Bits of a stream at a counter, which a retried task repeats."""
+    return mix64(mix64(first + counter.astype(np.uint64) * np.uint64(STEP)) ^ second)
+
+
+def uniforms(first: np.ndarray, second: np.ndarray, counter: np.ndarray) -> np.ndarray:
+    """In (0, 1), with 53 bits."""
+    return ((counter_bits(first, second, counter) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+
+
+def draws(first: np.ndarray, second: np.ndarray, counter: np.ndarray, size: int) -> np.ndarray:
+    """Positions in [0, size) of streams at counters."""
+    return ((counter_bits(first, second, counter) >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)).astype(np.int64)
+
+
+def _log_factorial_rest(k: np.ndarray) -> np.ndarray:
+    """log k! less its Stirling form (k + 1/2) log(k + 1) - (k + 1) + log(2 pi) / 2."""
+    x = k + 1.0
+    small = np.array([math.lgamma(i + 1.0) - (i + 0.5) * math.log(i + 1.0) + i + 1 - math.log(2 * math.pi) / 2 for i in range(10)])
+    series = (1 / 12 - (1 / 360 - (1 / 1260 - 1 / (1680 * x * x)) / (x * x)) / (x * x)) / x
+    return np.where(k < 10, small[np.minimum(k, 9).astype(np.int64)], series)
+
+
+def binomial(n: np.ndarray, p: float, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """One binomial draw of ``n`` trials per stream, for all streams at once.
+
+    Small means walk up the distribution from 0 by one uniform. Large ones are proposed from a
+    hat over the transformed uniform and accepted by the exact ratio of probabilities (transformed
+    rejection); a stream goes on to its next counters until one is accepted.
+    """
+    if p > 0.5:
+        return n - binomial(n, 1 - p, first, second)
+    n, out = np.asarray(n, np.int64), np.zeros(len(n), np.int64)
+    if p <= 0:
+        return out
+    walk = np.flatnonzero(n * p < 10)
+    if len(walk):
+        u, trials = uniforms(first[walk], second[walk], np.zeros(len(walk))), n[walk]
+        mass = np.exp(trials * math.log1p(-p))
+        below, k, going = mass.copy(), np.zeros(len(walk), np.int64), np.ones(len(walk), bool)
+        while True:
+            going &= (u > below) & (k < trials)
+            if not going.any():
+                break
+            k = k + going
+            mass = np.where(going, mass * (trials - k + 1) / np.maximum(k, 1) * (p / (1 - p)), mass)
+            below = np.where(going, below + mass, below)
+        out[walk] = k
+    left, counter = np.flatnonzero(n * p >= 10), 0
+    while len(left):
+        trials = n[left].astype(np.float64)
+        deviation = np.sqrt(trials * p * (1 - p))
+        b = 1.15 + 2.53 * deviation
+        a = -0.0873 + 0.0248 * b + 0.01 * p
+        at = np.full(len(left), counter)
+        u = uniforms(first[left], second[left], at) - 0.5
+        v = uniforms(first[left], second[left], at + 1)
+        counter += 2
+        near = 0.5 - np.abs(u)
+        k = np.floor((2 * a / near + b) * u + trials * p + 0.5)
+        inside = (k >= 0) & (k <= trials)
+        k = np.clip(k, 0, trials)
+        mode = np.floor((trials + 1) * p)
+        odds = p / (1 - p)
+        weight = np.log(v * (2.83 + 5.1 / b) * deviation / (a / (near * near) + b))
+        ratio = (
+            (mode + 0.5) * np.log((mode + 1) / (odds * (trials - mode + 1)))
+            + (trials + 1) * np.log((trials - mode + 1) / (trials - k + 1))
+            + (k + 0.5) * np.log(odds * (trials - k + 1) / (k + 1))
+            + _log_factorial_rest(mode) + _log_factorial_rest(trials - mode)
+            - _log_factorial_rest(k) - _log_factorial_rest(trials - k)
+        )
+        squeeze = (near >= 0.07) & (v <= 0.92 - 4.2 / b)
+        taken = inside & (squeeze | (weight <= ratio))
+        out[left[taken]] = k[taken].astype(np.int64)
+        left = left[~taken]
+    return out
 
 
-def left_share(seed: int, replicate: int, label: int, level: int, node: int, n: int, left: int, size: int) -> int:
-    """Draws of ``n`` at a node of ``size`` rows that go to its left child of ``left`` rows."""
-    if n == 0 or left in (0, size):
-        return n if left else 0
-    key = [(seed & MASK) << 32 | replicate, (label & 0xFFFF) << 48 | level << 40 | node]
-    return int(np.random.Generator(np.random.Philox(key=np.array(key, np.uint64))).binomial(n, left / size))
+def left_share(seed: int, replicates: np.ndarray, label: int, level: int, node: int, n: np.ndarray, left: int, size: int) -> np.ndarray:
+    """Per replicate, draws of ``n`` at a node of ``size`` rows that go to its left child of ``left`` rows."""
+    if left in (0, size):
+        return n if left else np.zeros_like(n)
+    return binomial(n, left / size, *stream_keys(seed, replicates, label, level, node))
 
 
 def tree_depth(n: int, leaf_rows: int) -> int:
@@ -139,37 +211,30 @@ def replicate_tallies(
         total, depth, top = shape[label]
         rows = rows.sort_values(["leaf", "idx"])
         leaves, begin, sizes = np.unique(rows["leaf"].to_numpy(np.int64), return_index=True, return_counts=True)
-        inner = _inner_nodes(leaves, sizes, top, depth)
-        path = [(s["level"], s["node"], s["size"], s["left"]) for s in way["path"].iloc[0]]
-        pred, bins = rows["pred"].to_numpy(np.int64), rows["bin"].to_numpy(np.int64)
-        flat = pred * n_bins + bins
-        order = np.argsort(flat, kind="stable")
-        flat = flat[order]
-        starts = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
-        cell_pred, cell_bin = np.divmod(flat[starts], n_bins)
-        values = rows[["conf", "nll", "brier"]].to_numpy(np.float64)[order]
-        parts = []
-        for b in range(n_bootstrap):
-            n = total
-            for level, node, size, left in path:
-                to_left = left_share(seed, b, label, level, node, n, left, size)
-                n = n - to_left if block >> (top - level - 1) & 1 else to_left
-            own = {(top, block): n}
-            for level, node, size, left in inner:
-                here = own.pop((level, node))
-                to_left = left_share(seed, b, label, level, node, here, left, size)
-                own[level + 1, 2 * node], own[level + 1, 2 * node + 1] = to_left, here - to_left
-            weight = np.zeros(len(rows), np.int64)
-            for leaf, at, size in zip(leaves.tolist(), begin.tolist(), sizes.tolist()):
-                picks = draws(seed, b, label, leaf, own[depth, leaf], size)
-                weight[at : at + size] = np.bincount(picks, minlength=size)
-            weight = weight[order]
-            count = np.add.reduceat(weight, starts)
-            sums = np.add.reduceat(values * weight[:, None], starts, axis=0)
-            hits = np.where(cell_pred == label, count, 0)
-            by_bin = [np.bincount(cell_bin, v, n_bins) for v in (count, hits, *sums.T)]
-            parts.append((b, np.bincount(cell_pred, count, k), by_bin, n, int(hits.sum())))
-        return _tally_rows(parts, label, k, n_bins)
+        every = np.arange(n_bootstrap)
+        n = np.full(n_bootstrap, total, np.int64)
+        for step in way["path"].iloc[0]:
+            to_left = left_share(seed, every, label, step["level"], step["node"], n, step["left"], step["size"])
+            n = n - to_left if block >> (top - step["level"] - 1) & 1 else to_left
+        own = {(top, block): n}
+        for level, node, size, left in _inner_nodes(leaves, sizes, top, depth):
+            here = own.pop((level, node))
+            to_left = left_share(seed, every, label, level, node, here, left, size)
+            own[level + 1, 2 * node], own[level + 1, 2 * node + 1] = to_left, here - to_left
+        shares = _row_shares(rows, label, k, n_bins)
+        tally = np.zeros((n_bootstrap, shares.shape[1]))
+        for leaf, at, size in zip(leaves.tolist(), begin.tolist(), sizes.tolist()):
+            first, second = stream_keys(seed, every, label, depth, leaf)
+            taken = own[depth, leaf]
+            chunk = max(1, CHUNK_DRAWS // max(size, int(taken.max()), 1))
+            for low in range(0, n_bootstrap, chunk):
+                here = taken[low : low + chunk]
+                which = np.repeat(np.arange(len(here)), here)
+                counter = np.arange(len(which)) - np.repeat(np.cumsum(here) - here, here)
+                picks = draws(first[low + which], second[low + which], counter, size)
+                weight = np.bincount(which * size + picks, minlength=len(here) * size).reshape(-1, size)
+                tally[low : low + chunk] += weight @ shares[at : at + size]
+        return _tally_rows(tally, label, k, n_bins, n)
 
     parts = keyed.select("idx", "label", "leaf", "block", "pred", "bin", "conf", "nll", "brier")
     ways = paths.select(F.col("label").alias("way_label"), F.col("block").alias("way_block"), "path")
@@ -188,19 +253,32 @@ def _inner_nodes(leaves: np.ndarray, sizes: np.ndarray, top: int, depth: int) ->
     return out
 
 
-def _tally_rows(parts: list, label: int, k: int, n_bins: int) -> pd.DataFrame:
+def _row_shares(rows: pd.DataFrame, label: int, k: int, n_bins: int) -> np.ndarray:
+    """What each row adds to a resample: one in its predicted class, and one, its hit and its three
+    sums in its bin."""
+    pred, bins, at = rows["pred"].to_numpy(np.int64), rows["bin"].to_numpy(np.int64), np.arange(len(rows))
+    out = np.zeros((len(rows), k + 5 * n_bins))
+    out[at, pred] = 1
+    values = (np.ones(len(rows)), pred == label, *(rows[c].to_numpy(np.float64) for c in ("conf", "nll", "brier")))
+    for i, value in enumerate(values):
+        out[at, k + i * n_bins + bins] = value
+    return out
+
+
+def _tally_rows(tally: np.ndarray, label: int, k: int, n_bins: int, n: np.ndarray) -> pd.DataFrame:
+    """Tallies as rows: the class itself, the predicted classes and the bins that occur."""
+    by_class = np.rint(tally[:, :k]).astype(np.int64)
+    support, hits, *sums = tally[:, k:].reshape(len(tally), 5, n_bins).transpose(1, 0, 2)
+    support, hits = np.rint(support).astype(np.int64), np.rint(hits).astype(np.int64)
+    b = np.arange(len(tally))
+    kinds = [("class", b, label, n, 0, hits.sum(axis=1), 0.0, 0.0, 0.0)]
+    at = np.nonzero(by_class)
+    kinds.append(("class", at[0], at[1], 0, by_class[at], 0, 0.0, 0.0, 0.0))
+    at = np.nonzero(support)
+    kinds.append(("bin", at[0], at[1], support[at], 0, hits[at], *(s[at] for s in sums)))
     columns = TALLY_SCHEMA.replace(",", "").split()[0::2]
-    rows = []
-    for b, by_class, by_bin, n, hit in parts:
-        rows.append((b, "class", label, n, 0, hit, 0.0, 0.0, 0.0))
-        for c in np.flatnonzero(by_class):
-            rows.append((b, "class", int(c), 0, int(by_class[c]), 0, 0.0, 0.0, 0.0))
-        support, hits, conf, nll, brier = by_bin
-        for i in np.flatnonzero(support):
-            rows.append(
-                (b, "bin", int(i), int(support[i]), 0, int(hits[i]), conf[i], nll[i], brier[i])
-            )
-    return pd.DataFrame(rows, columns=columns)
+    frames = [pd.DataFrame(dict(zip(["kind", "b", *columns[2:]], values))) for values in kinds]
+    return pd.concat(frames, ignore_index=True)[columns]
 
 
 def intervals(replicates: DataFrame, estimates: DataFrame, level: float = 0.95) -> DataFrame:

@@ -568,32 +568,33 @@ REPLICATES = 1000
 
 
 def _mixed(source: str, x: str, name: str) -> str:
-    """Mixer as four nested projections over ``source``."""
-    mask, m1, m2 = (f"{v}::UBIGINT" for v in (bootstrap.MASK, bootstrap.MIX_1, bootstrap.MIX_2))
-    q = f"SELECT *, ({x})::UBIGINT & {mask} AS v0 FROM ({source})"
-    q = f"SELECT *, (xor(v0, v0 >> 16) * {m1}) & {mask} AS v1 FROM ({q})"
-    q = f"SELECT *, (xor(v1, v1 >> 15) * {m2}) & {mask} AS v2 FROM ({q})"
-    return f"SELECT * EXCLUDE (v0, v1, v2), xor(v2, v2 >> 16) AS {name} FROM ({q})"
+    """Mixer as four nested projections over ``source``; 128-bit products are cut to 64 bits."""
+    mask, m1, m2 = (f"{v}::UHUGEINT" for v in (bootstrap.MASK, bootstrap.MIX_1, bootstrap.MIX_2))
+    q = f"SELECT *, ({x}) & {mask} AS v0 FROM ({source})"
+    q = f"SELECT *, (xor(v0, v0 >> 30) * {m1}) & {mask} AS v1 FROM ({q})"
+    q = f"SELECT *, (xor(v1, v1 >> 27) * {m2}) & {mask} AS v2 FROM ({q})"
+    return f"SELECT * EXCLUDE (v0, v1, v2), xor(v2, v2 >> 31) AS {name} FROM ({q})"
 
 
 def _bootstrap_ctes(source: str, n: int, seed: int) -> dict[str, str]:
     """Counter-based draws per (replicate, class) of the frame ``source``, the scalars of every
     resample (``bs``) and their percentiles (``bq``). Classes here are one leaf each."""
-    base = f"SELECT b, label, n FROM range({n}) r(b), (SELECT label, count(*) AS n FROM {source} GROUP BY label)"
-    keyed = _mixed(base, f"{seed + bootstrap.STREAM_1}", "k1")
-    keyed = _mixed(keyed, "k1 + b", "k2")
-    keyed = _mixed(keyed, "k2 + label", "k3")
-    keyed = _mixed(keyed, "k3 + 0", "k4")
-    keyed = _mixed(keyed, f"k4 + {bootstrap.STREAM_2}", "k5")
-    drawn = f"SELECT b, label, n, k4, k5, unnest(range(n)) AS j FROM ({keyed})"
-    drawn = _mixed(drawn, "k4 + j", "h1")
-    drawn = _mixed(drawn, "xor(h1, k5)", "h2")
+    step = f"{bootstrap.STEP}::UHUGEINT"
+    keyed = f"SELECT b, label, n FROM range({n}) r(b), (SELECT label, count(*) AS n FROM {source} GROUP BY label)"
+    for key, start in zip(("k1", "k2"), bootstrap.STARTS):
+        keyed = f"SELECT *, {start}::UHUGEINT AS {key} FROM ({keyed})"
+        for part in (f"{seed}::UHUGEINT", "b::UHUGEINT", "label::UHUGEINT", "0::UHUGEINT", "0::UHUGEINT"):
+            keyed = _mixed(keyed, f"{key} + {part} + {step}", "mixed")
+            keyed = f"SELECT * EXCLUDE ({key}, mixed), mixed AS {key} FROM ({keyed})"
+    drawn = f"SELECT b, label, n, k1, k2, unnest(range(n)) AS j FROM ({keyed})"
+    drawn = _mixed(drawn, f"k1 + ((j::UHUGEINT * {step}) & {bootstrap.MASK}::UHUGEINT)", "h1")
+    drawn = _mixed(drawn, "xor(h1, k2)", "h2")
     limits = ", ".join(
         f"quantile_cont({m}, 0.025) AS {m}_lower, quantile_cont({m}, 0.975) AS {m}_upper" for m in SCALARS
     )
     return {
         "ranked": f"SELECT *, row_number() OVER (PARTITION BY label ORDER BY idx) - 1 AS pos FROM {source}",
-        "bd": f"SELECT b, label, ((h2 * n::UBIGINT) >> 32)::BIGINT AS pos FROM ({drawn})",
+        "bd": f"SELECT b, label, (((h2 >> 32) * n::UHUGEINT) >> 32)::BIGINT AS pos FROM ({drawn})",
         "bz": "SELECT b AS grp, r.label, pred, bin, conf, nll, brier FROM bd JOIN ranked r "
         "ON r.label = bd.label AND r.pos = bd.pos",
         "bs": sql.scalars("bz"),

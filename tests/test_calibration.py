@@ -115,12 +115,50 @@ def test_many_leaves_spread_like_one(spark):
 
 
 def test_shares_follow_sizes():
-    shares = [bootstrap.left_share(1, b, 2, 0, 0, 1000, 30, 100) for b in range(400)]
+    every = np.arange(400)
+    shares = bootstrap.left_share(1, every, 2, 0, 0, np.full(400, 1000), 30, 100)
     assert np.mean(shares) == pytest.approx(300, abs=3) and 10 < np.std(shares) < 19
-    assert bootstrap.left_share(1, 0, 2, 0, 0, 9, 0, 5) == 0 and bootstrap.left_share(1, 0, 2, 0, 0, 9, 5, 5) == 9
+    nine = np.full(1, 9)
+    assert bootstrap.left_share(1, every[:1], 2, 0, 0, nine, 0, 5) == [0] and bootstrap.left_share(1, every[:1], 2, 0, 0, nine, 5, 5) == [9]
     assert [bootstrap.tree_depth(n, 10) for n in (0, 1, 10, 11, 20, 21, 40, 41)] == [0, 0, 0, 1, 1, 2, 2, 3]
 
 
+@pytest.mark.parametrize("n, p", [(1, 0.3), (7, 0.5), (30, 0.9), (40, 0.02), (60, 0.4), (25, 0.5), (3000, 0.01), (100_000, 0.5)])
+def test_binomial_is_exact(n, p):
+    """Counts of every outcome against its probability, within five standard errors."""
+    size = 200_000
+    got = bootstrap.binomial(np.full(size, n), p, *bootstrap.stream_keys(3, np.arange(size), 1, 2, n))
+    assert got.min() >= 0 and got.max() <= n
+    found = np.bincount(got, minlength=n + 1)
+    logs = [math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p) for k in range(n + 1)]
+    wanted = size * np.exp(logs)
+    assert np.all(np.abs(found - wanted) <= 5 * np.sqrt(wanted) + 6)
+    common = wanted > 20
+    chi = ((found - wanted)[common] ** 2 / wanted[common]).sum()
+    assert chi < common.sum() + 5 * math.sqrt(2 * common.sum()) + 5
+    assert got.mean() == pytest.approx(n * p, abs=5 * math.sqrt(n * p * (1 - p) / size))
+
+
+def test_mixed_trial_counts_in_one_call():
+    n = np.tile([0, 1, 5, 300, 10**6], 2000)
+    first, second = bootstrap.stream_keys(1, np.arange(len(n)), 0, 0, 0)
+    got = bootstrap.binomial(n, 0.25, first, second)
+    for v in np.unique(n):
+        assert got[n == v].mean() == pytest.approx(v / 4, abs=5 * math.sqrt(v * 0.1875 / 2000) + 1e-9)
+    assert np.array_equal(got[:50], bootstrap.binomial(n[:50], 0.25, first[:50], second[:50]))  # whatever comes along
+
+
+def test_streams_do_not_collide():
+    """Two million streams of neighbouring replicates, classes, levels and nodes: all first keys and
+    all second keys differ, and so do the draws."""
+    replicates = np.arange(1000)
+    keys = [bootstrap.stream_keys(42, replicates, y, level, node) for y in range(4) for level in (0, 9) for node in range(250)]
+    for which in (0, 1):
+        assert len(np.unique(np.concatenate([k[which] for k in keys]))) == len(keys) * 1000
+    first = [bootstrap.counter_bits(*k, np.zeros(1000)) for k in keys]
+    assert len(np.unique(np.concatenate(first))) == len(keys) * 1000
+
+
 def test_bootstrap_spread_matches_plain_resampling(spark):
     labels, probs, rows = noisy(spark, 400, 2, 3)
     found = {r["metric"]: r for r in bootstrap.bootstrap_ci(rows, 2, 400, 11).collect()}
@@ -137,7 +175,11 @@ def test_bootstrap_spread_matches_plain_resampling(spark):
 
 
 def test_draws_are_uniform_and_in_range():
-    counts = np.bincount(bootstrap.draws(1, 2, 3, 4, 200_000, 50), minlength=50)
+    def drawn(replicate, n=200_000):
+        first, second = bootstrap.stream_keys(1, np.array([replicate]), 3, 4, 5)
+        return bootstrap.draws(first, second, np.arange(n), 50)
+
+    counts = np.bincount(drawn(2), minlength=50)
     assert len(counts) == 50
     assert abs(counts / 4000 - 1).max() < 0.08
-    assert not np.array_equal(bootstrap.draws(1, 2, 3, 4, 99, 50), bootstrap.draws(1, 3, 3, 4, 99, 50))
+    assert not np.array_equal(drawn(2, 99), drawn(3, 99))
