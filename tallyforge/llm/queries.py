@@ -51,28 +51,31 @@ WITH b AS (
 ), dp AS (
   SELECT r, len(s) AS n, unnest(s) AS h, unnest(range(len(s))) AS pos FROM ds
 ), hits AS (
-  SELECT r, it, m, pos, greatest(0, least(pos - off, n - m)) AS st FROM dp JOIN bp USING (h)
+  SELECT r, it, m, n, h, pos, greatest(0, least(pos - off, n - m)) AS st FROM dp JOIN bp USING (h)
 ), near AS (
   SELECT r, it FROM hits GROUP BY r, it, m HAVING count(DISTINCT pos) * 100 >= m * 75
-), starts AS (
-  SELECT DISTINCT r, it, m, st FROM hits SEMI JOIN near USING (r, it)
-), win AS (
-  SELECT r, it, m, st, list_slice(s, st + 1, st + m) AS x FROM starts JOIN ds USING (r)
+), hit AS (
+  SELECT DISTINCT r, it, m, n, h, pos FROM hits SEMI JOIN near USING (r, it)
+), aligned AS (
+  SELECT DISTINCT r, it, st, 0 AS a FROM hits
+), ending AS (
+  SELECT DISTINCT r, it, greatest(0, least(pos - m + 1, n - m)) AS st, 1 AS e FROM hit
+), held AS (  -- by every window over a hit, wherever it starts
+  SELECT r, it, m, n, h, unnest(range(greatest(0, pos - m + 1), least(pos, greatest(0, n - m)) + 1)) AS st FROM hit
 ), have AS (
-  SELECT r, it, m, st, len(x) AS n, h, count(*) AS c
-  FROM (SELECT *, unnest(x) AS h FROM win) GROUP BY ALL
+  SELECT r, it, m, n, st, h, count(*) AS c FROM held GROUP BY ALL
 ), want AS (
   SELECT it, h, count(*) AS k FROM bp GROUP BY it, h
 ), sim AS (
-  SELECT r, it, st, any_value(m) + any_value(n) - sum(least(c, k)) AS total, sum(least(c, k)) AS common
-  FROM have JOIN want USING (it, h) GROUP BY r, it, st
+  SELECT r, it, st, least(m, n - st) AS wide, sum(least(c, k)) AS common, m + least(m, n - st) - sum(least(c, k)) AS total
+  FROM have JOIN want USING (it, h) GROUP BY r, it, m, n, st
 ), best AS (
-  SELECT *, row_number() OVER (PARTITION BY r, item_id ORDER BY common / total DESC, st) AS o
-  FROM sim JOIN bs USING (it) WHERE common * 100 >= total * 75
+  SELECT *, row_number() OVER (PARTITION BY r, item_id ORDER BY common / total DESC, coalesce(a, e, 2), st) AS o
+  FROM sim JOIN bs USING (it) LEFT JOIN aligned USING (r, it, st) LEFT JOIN ending USING (r, it, st)
+  WHERE common * 100 >= total * 75
 )
-SELECT doc_id, item_id, st::BIGINT AS start, len(list_slice(ds.s, st + 1, st + m))::BIGINT AS n_shingles,
-       common::BIGINT AS common, total::BIGINT AS total
-FROM best JOIN ds USING (r) WHERE o = 1
+SELECT doc_id, item_id, st::BIGINT AS start, wide::BIGINT AS n_shingles, common::BIGINT AS common, total::BIGINT AS total
+FROM best JOIN d USING (r) WHERE o = 1
 """
 
 
