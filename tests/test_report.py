@@ -1,6 +1,8 @@
 import json
 import math
+import random
 import statistics
+from collections import Counter
 
 import pytest
 
@@ -10,20 +12,31 @@ from tallyforge.plans.compare import compare, compare_documents
 from tallyforge.sources.runs import scan_history, scan_runs
 
 
-def write(folder, name, seed, lr=1e-5, workers=2, **changes):
-    (folder / name).mkdir(parents=True)
+METRICS = ("accuracy", "macro_f1", "balanced_accuracy", "ece")
+SEEDS = (7, 19, 52, 530)
+
+
+def scores_of(seed):
+    """Test metrics of a run, irregular in its seed."""
+    rng = random.Random(seed)
+    return {m: rng.uniform(0.2, 0.95) for m in METRICS}
+
+
+def write(folder, name, seed=SEEDS[0], drop=(), model=(), training=(), **changes):
+    """A run document; ``drop`` names top-level fields to leave out."""
+    raw = scores_of(seed) | {"n_examples": 331, "high_risk": {"recall": 0.875}}
     document = {
-        "status": "complete", "protocol_hash": "protocol", "split_hash": "split", "seed": seed,
-        "smoke_test": False,
-        "config": {"model": {"name": "m|x", "mode": "full", "image_size": 224},
-                   "training": {"lr_backbone": lr, "workers": workers, "batch_size": 16}},
-        "evaluation": {"test": {"raw": {
-            "accuracy": 0.7, "macro_f1": 0.6 + (seed if isinstance(seed, int) else 0) / 100, "balanced_accuracy": 0.5, "ece": 0.1,
-            "n_examples": 20, "high_risk": {"recall": 0.25}}}},
-    }
-    document.update(changes)
-    document = {k: v for k, v in document.items() if v != "absent"}
-    (folder / name / "summary.json").write_text(json.dumps(document, indent=2))
+        "seed": seed, "status": "complete", "smoke_test": False,
+        "split_hash": "s0", "protocol_hash": "p0",
+        "config": {
+            "model": {"image_size": 96, "mode": "head", "name": "net|v2"} | dict(model),
+            "training": {"batch_size": 5, "lr_backbone": 3e-4, "workers": 1} | dict(training),
+        },
+        "evaluation": {"test": {"raw": raw}},
+    } | changes
+    (folder / name).mkdir(parents=True)
+    kept = {k: v for k, v in document.items() if k not in drop}
+    (folder / name / "summary.json").write_text(json.dumps(kept, indent=1))
 
 
 def groups_of(spark, folder, **options):
@@ -31,65 +44,79 @@ def groups_of(spark, folder, **options):
 
 
 def test_seeds_are_averaged_and_smoke_runs_left_out(spark, tmp_path):
-    write(tmp_path, "a", 1, status="absent")
-    write(tmp_path, "b", 2)
-    write(tmp_path, "smoke", 3, smoke_test=True)
+    folders = []
+    for i, seed in enumerate(SEEDS):
+        write(tmp_path, f"run{i}", seed, drop=["status"] if i == 2 else [])
+        folders.append(str(tmp_path / f"run{i}"))
+    write(tmp_path, "trial", 8, smoke_test=True)
     out = str(tmp_path / "report")
-    result = compare(spark, [str(tmp_path / d) for d in ("a", "b", "smoke")], out)
+    result = compare(spark, [*folders, str(tmp_path / "trial")], out)
     row = result.groups.first()
-    assert row["n_seeds"] == 2
-    assert row["macro_f1_mean"] == pytest.approx(0.615)
-    half = t_975(1) * statistics.stdev([0.61, 0.62]) / math.sqrt(2)
-    assert row["macro_f1_ci_upper"] == pytest.approx(0.615 + half)
+    cells = []
+    for m in METRICS:
+        values = [scores_of(s)[m] for s in SEEDS]
+        mean, std = statistics.mean(values), statistics.stdev(values)
+        assert row[f"{m}_mean"] == pytest.approx(mean)
+        cells.append(f"{mean:.4f} ± {std:.4f}")
+        if m == "macro_f1":
+            half = t_975(len(SEEDS) - 1) * std / math.sqrt(len(SEEDS))
+            assert (row["macro_f1_ci_lower"], row["macro_f1_ci_upper"]) == pytest.approx((mean - half, mean + half))
+    assert row["n_seeds"] == len(SEEDS)
     assert row["macro_auroc_n"] == 0 and row["macro_auroc_mean"] is None
-    assert row["high_risk_recall_mean"] == pytest.approx(0.25)
-    assert [r["run"] for r in result.excluded.collect()] == ["smoke"]
+    assert row["high_risk_recall_mean"] == pytest.approx(0.875)
+    assert [r["run"] for r in result.excluded.collect()] == ["trial"]
     lines = [r["value"] for r in spark.read.text(f"{out}/comparison.md").collect()]
     assert len(lines) == 3
-    assert lines[2].startswith("| m\\|x | full | 224 | 2 | 0.7000 ± 0.0000 | 0.6150 ± 0.0071 |")
+    assert lines[2].startswith(f"| net\\|v2 | head | 96 | {len(SEEDS)} | " + " | ".join(cells) + " |")
     assert lines[2].endswith("| no |")
     seeds = spark.read.option("header", True).csv(f"{out}/seeds.csv")
-    assert sorted(r["seed"] for r in seeds.collect()) == ["1", "2"]
+    assert sorted(int(r["seed"]) for r in seeds.collect()) == sorted(SEEDS)
 
 
 def test_recipes(spark, tmp_path):
-    write(tmp_path, "a", 42)
-    write(tmp_path, "b", 43, workers=4)
-    assert [g["n_seeds"] for g in groups_of(spark, tmp_path)] == [2]
-    write(tmp_path, "c", 44, lr=2e-5)
+    """Throughput settings share a group, every other setting makes its own."""
+    settings = [
+        ("plain", {}, {}), ("plain", {}, {"workers": 9}), ("plain", {}, {"workers": 0}),
+        ("size", {"image_size": 128}, {}), ("batch", {}, {"batch_size": 6}), ("batch", {}, {"batch_size": 6, "workers": 3}),
+        ("rate", {}, {"lr_backbone": 3.1e-4}), ("mode", {"mode": "all"}, {}),
+    ]
+    for i, (_, model, training) in enumerate(settings):
+        write(tmp_path, f"r{i}", 60 + i, model=model, training=training)
     found = groups_of(spark, tmp_path)
-    assert sorted(g["n_seeds"] for g in found) == [1, 2]
-    single = next(g for g in found if g["n_seeds"] == 1)
-    assert single["macro_f1_std"] is None and single["macro_f1_ci_lower"] is None
+    assert sorted(g["n_seeds"] for g in found) == sorted(Counter(kind for kind, _, _ in settings).values())
+    for g in found:
+        assert (g["macro_f1_std"] is None) == (g["macro_f1_ci_lower"] is None) == (g["n_seeds"] == 1)
 
 
 def test_mixed_protocols(spark, tmp_path):
-    write(tmp_path, "a", 1)
-    write(tmp_path, "b", 2, protocol_hash="different")
+    for i, protocol in enumerate(("p0", "p1", "p0")):
+        write(tmp_path, f"r{i}", SEEDS[i], protocol_hash=protocol)
     with pytest.raises(ValueError, match="mixed_protocol"):
         groups_of(spark, tmp_path)
-    assert len(groups_of(spark, tmp_path, allow_mixed=True)) == 2
+    assert sorted(g["n_seeds"] for g in groups_of(spark, tmp_path, allow_mixed=True)) == [1, 2]
 
 
 @pytest.mark.parametrize(
-    "changes, rule",
-    [({"status": "running"}, "not_complete"), ({"protocol_hash": None}, "missing_hash"),
-     ({"split_hash": "other"}, "mixed_protocol"), ({"seed": 1}, "duplicate_seed"),
-     ({"seed": "absent"}, "no_seed"), ({"evaluation": {}}, "no_test_metrics")],
-)
-def test_runs_that_cannot_be_compared(spark, tmp_path, changes, rule):
-    write(tmp_path, "a", 1)
-    write(tmp_path, "b", **{"seed": 2, **changes})
+    "rule, options",
+    [
+        ("missing_hash", {"protocol_hash": None}), ("missing_hash", {"drop": ["split_hash"]}), ("mixed_protocol", {"split_hash": "s1"}),
+        ("duplicate_seed", {"seed": SEEDS[0]}), ("no_seed", {"drop": ["seed"]}), ("no_test_metrics", {"drop": ["evaluation"]}),
+        ("not_complete", {"status": "stopped"}),
+    ],
+)
+def test_runs_that_cannot_be_compared(spark, tmp_path, rule, options):
+    write(tmp_path, "good")
+    write(tmp_path, "odd", **({"seed": SEEDS[1]} | options))
     with pytest.raises(ValueError, match=rule):
         groups_of(spark, tmp_path)
 
 
 def test_only_smoke_runs(spark, tmp_path):
-    write(tmp_path, "a", 1, smoke_test=True)
+    for i, seed in enumerate(SEEDS[:2]):
+        write(tmp_path, f"trial{i}", seed, smoke_test=True)
     with pytest.raises(ValueError, match="no_runs"):
         groups_of(spark, tmp_path)
-    write(tmp_path, "b", 1)
-    assert len(groups_of(spark, tmp_path, include_smoke=True)) == 2
+    assert [g["n_seeds"] for g in groups_of(spark, tmp_path, include_smoke=True)] == [2]
 
 
 def test_t_quantiles():

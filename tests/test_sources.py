@@ -13,33 +13,42 @@ from tallyforge.sources import examples, files, headers, predictions
 from helpers import png
 
 
+SHARD_ROWS = (3, 7, 2)
+
+
+def label_of(n):
+    """Label of the n-th example of all shards."""
+    return (5 * n + 2) % 4
+
+
 @pytest.fixture
 def shards(spark, tmp_path):
-    """Two files of six rows whose label is the shard number."""
-    folder = str(tmp_path / "shards")
-    for shard in range(2):
-        rows = [((bytearray([shard * 6 + i]), None), shard) for i in range(6)]
-        df = spark.createDataFrame(rows, examples.EXAMPLE_SCHEMA).coalesce(1)
-        df.write.parquet(f"{folder}/part-{shard}")
+    """Files of unequal length; an example's payload is its place among all of them."""
+    folder, n = str(tmp_path / "shards"), 0
+    for shard, size in enumerate(SHARD_ROWS):
+        rows = [((bytearray([i]), None), label_of(i)) for i in range(n, n + size)]
+        spark.createDataFrame(rows, examples.EXAMPLE_SCHEMA).coalesce(1).write.parquet(f"{folder}/part-{shard}")
+        n += size
     return f"{folder}/*"
 
 
 def test_global_index_follows_file_order(spark, shards):
-    paths = examples.shard_paths(spark, shards)
-    scanned = examples.scan_examples(spark, paths)
+    scanned = examples.scan_examples(spark, examples.shard_paths(spark, shards))
     inventory = examples.shard_inventory(scanned)
     offsets = [r["row_offset"] for r in inventory.orderBy("shard").collect()]
-    assert offsets == [0, 6]
+    assert offsets == [sum(SHARD_ROWS[:i]) for i in range(len(SHARD_ROWS))]
     for limit in (0, 10):
-        rows = examples.global_index(scanned.repartition(5), inventory, 2, limit).collect()
+        rows = examples.global_index(scanned.repartition(5), inventory, len(SHARD_ROWS), limit).collect()
         found = {r["idx"]: (r["label"], r["payload"][0]) for r in rows}
-        assert found == {i: (i // 6, i) for i in range(12)}
+        assert found == {i: (label_of(i), i) for i in range(sum(SHARD_ROWS))}
 
 
-def test_shard_subset_reads_the_first_files(spark, shards):
-    assert len(examples.shard_paths(spark, shards, 1)) == 1
-    rows = examples.scan_labels(spark, examples.shard_paths(spark, shards, 1)).collect()
-    assert [r["label"] for r in rows] == [0] * 6
+@pytest.mark.parametrize("n", [1, 2])
+def test_shard_subset_reads_the_first_files(spark, shards, n):
+    paths = examples.shard_paths(spark, shards, n)
+    assert len(paths) == n
+    rows = examples.scan_labels(spark, paths).collect()
+    assert sorted(r["label"] for r in rows) == sorted(label_of(i) for i in range(sum(SHARD_ROWS[:n])))
     with pytest.raises(ValueError):
         examples.shard_paths(spark, shards, 0)
 
