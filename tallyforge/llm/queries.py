@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -276,11 +275,6 @@ def op10_pack(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf, "documents"), public_tokenizers.path(TOKENIZER))
 
 
-@query("pipeline", corpus_pipeline.ORACLE_SQL)
-def pipeline(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus_pipeline.run(spark, sf)
-
-
 OP13 = f"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS x, coalesce(doc_id, -9223372036854775808) AS o FROM documents
