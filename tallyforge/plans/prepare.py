@@ -22,7 +22,8 @@ from ..sources.predictions import SPLIT_SCHEMA, write_splits
 
 
 AUDITS = ("encoded", "decoded", "none")
-MANIFEST = "preparation_hash string, split_hash string, document string, folder string"
+MANIFEST = "preparation_hash string, split_hash string, document string, folder string, previous string"
+MANIFEST_FILE = "manifest.json"
 
 
 @dataclass
@@ -91,8 +92,10 @@ def prepare(
 
     An existing record of the same identity is reused once its split table matches its hash.
     The identity of a source without a pinned revision includes its shards, so a source that
-    has grown is prepared anew. Tables go to a folder of their own and the manifest, written
-    last, names it: a job that dies midway leaves the earlier record as it was.
+    has grown is prepared anew. Tables go to a folder of their own and the manifest, one file that
+    is replaced in one step at the end, names it: a job that dies midway leaves the earlier record as
+    it was. The record's tables before this one stay for whoever still reads them; those before them
+    are deleted.
     """
     check_names(names)
     if audit not in AUDITS:
@@ -143,11 +146,15 @@ def prepare(
     record = manifest(
         spark, canonical, identity, groups, assigned, names, deduplicate,
         splits.split_fractions_for(val_fraction, test_fraction), max_shards is not None, facts,
-    ).withColumn("folder", F.lit(folder))
+    ).first().asDict()
+    earlier = _record(spark, out) or {}
+    record |= {"folder": folder, "previous": earlier.get("folder")}
     write_splits(assigned, f"{out}/{folder}/splits")
     shards.write.parquet(f"{out}/{folder}/shards")
     rows.write.parquet(f"{out}/{folder}/fingerprints")
-    record.write.mode("overwrite").json(f"{out}/manifest")
+    documents.write_document(spark, f"{out}/{MANIFEST_FILE}", record)
+    if earlier.get("previous"):
+        documents.delete(spark, f"{out}/{earlier['previous']}")
     return _open(spark, out, groups)
 
 
@@ -192,10 +199,13 @@ def manifest(
     )
 
 
+def _record(spark: SparkSession, out: str) -> dict | None:
+    path = f"{out}/{MANIFEST_FILE}"
+    return documents.read_document(spark, path) if documents.exists(spark, path) else None
+
+
 def _reuse(spark: SparkSession, out: str, identity: str) -> Prepared | None:
-    if not documents.exists(spark, f"{out}/manifest/_SUCCESS"):
-        return None
-    record = spark.read.schema(MANIFEST).json(f"{out}/manifest").first()
+    record = _record(spark, out)
     if record is None or record["preparation_hash"] != identity:
         return None
     found = _open(spark, out, None)
@@ -205,7 +215,7 @@ def _reuse(spark: SparkSession, out: str, identity: str) -> Prepared | None:
 
 
 def _open(spark: SparkSession, out: str, groups: DataFrame | None) -> Prepared:
-    record = spark.read.schema(MANIFEST).json(f"{out}/manifest")
+    record = spark.read.schema(MANIFEST).option("multiLine", True).json(f"{out}/{MANIFEST_FILE}")
     folder = f"{out}/{record.first()['folder']}"
     rows = spark.read.parquet(f"{folder}/fingerprints")
     return Prepared(

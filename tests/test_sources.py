@@ -1,5 +1,6 @@
 import hashlib
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyforge.constants import DEFAULT_CLASSES
 from tallyforge.functions import hashing
 from tallyforge.operators import checks, fingerprints
+from tallyforge.plans import prepare as prepare_plan
 from tallyforge.plans.prepare import prepare
 from tallyforge.sources import examples, files, headers, predictions
 
@@ -190,6 +192,26 @@ def test_a_grown_source_is_prepared_anew(spark, tmp_path):
     assert prepared(spark, source, str(tmp_path / "few"), max_shards=3).splits.count() > 0
 
 
+def test_a_job_that_dies_leaves_the_record_and_old_tables_go(spark, tmp_path, monkeypatch):
+    source, out = str(tmp_path / "src"), tmp_path / "out"
+    rows = [((bytearray(f"t{i}".encode()), None), i % 3) for i in range(36)]
+    write_shards(spark, rows, source)
+    first = prepared(spark, source, str(out))
+
+    def dies(*_):
+        raise OSError("no space left")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(prepare_plan.documents, "write_document", dies)
+        with pytest.raises(OSError):
+            prepared(spark, source, str(out), val_fraction=0.2)
+    assert prepared(spark, source, str(out)).folder == first.folder
+    later = [prepared(spark, source, str(out), val_fraction=v).folder for v in (0.2, 0.25, 0.3)]
+    assert first.splits.schema and not os.path.exists(first.folder)
+    assert [os.path.exists(f) for f in later] == [False, True, True]
+    assert prepared(spark, source, str(out), val_fraction=0.3).folder == later[-1]
+
+
 def test_audit_modes(spark, tmp_path):
     def strip_encoding(payload):
         return payload[1:]
