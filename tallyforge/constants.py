@@ -48,3 +48,8 @@ ECE_BINS = 15
 PROBABILITY_FLOOR = 1e-15
 TEMPERATURE_BOUNDS = (0.05, 20.0)
 FORMAT_VERSION = 1
+
+# Texts of the documents that other readers of runs expect.
+BOOTSTRAP_METHOD = "stratified percentile bootstrap"
+ENSEMBLE_NAME = "equal_weight_probability_ensemble"
+CONFIDENCE_LEVEL = 0.95

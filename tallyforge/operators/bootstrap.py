@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import ECE_BINS, SCALARS
+from ..constants import CONFIDENCE_LEVEL, ECE_BINS, SCALARS
 from ..session import with_package
 from . import metrics
 
@@ -281,7 +281,7 @@ def _tally_rows(tally: np.ndarray, label: int, k: int, n_bins: int, n: np.ndarra
     return pd.concat(frames, ignore_index=True)[columns]
 
 
-def intervals(replicates: DataFrame, estimates: DataFrame, level: float = 0.95) -> DataFrame:
+def intervals(replicates: DataFrame, estimates: DataFrame, level: float = CONFIDENCE_LEVEL) -> DataFrame:
     """(metric, estimate, lower, upper): linear percentiles over one row per replicate."""
     tail = (1 - level) / 2
     bounds = replicates.agg(

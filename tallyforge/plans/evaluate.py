@@ -17,6 +17,7 @@ from ..session import stage
 
 BY = ("split", "variant")
 ORDINAL = (
+    "n_risk_targets", "n_ordered_pairs", "risk_predictions_outside_order",
     "coverage", "mae", "within_one_level_accuracy", "severe_underestimation_rate",
     "quadratic_weighted_kappa",
 )
@@ -36,6 +37,8 @@ class Evaluation:
     confusion: DataFrame
     reliability: DataFrame
     bootstrap: DataFrame | None
+    n_bootstrap: int = 0
+    seed: int = 0
 
 
 def metric_table(cell_rows: DataFrame, ranked: DataFrame, names: Sequence[str], by=BY) -> DataFrame:
@@ -166,4 +169,6 @@ def evaluate_scored(
         confusion=metrics.confusion(cell_rows, k, BY),
         reliability=metrics.reliability_bins(tally, by=BY),
         bootstrap=resampled,
+        n_bootstrap=n_bootstrap,
+        seed=seed,
     )

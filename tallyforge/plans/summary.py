@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..constants import BOOTSTRAP_METHOD, CONFIDENCE_LEVEL, ENSEMBLE_NAME
 from ..functions.hashing import protocol_hash
 from ..operators import runs
 from ..operators.classes import high_risk_ids
@@ -16,7 +17,10 @@ from ..sources.predictions import write_predictions
 from .ensemble import Ensemble
 from .evaluate import Evaluation, evaluate
 
-COUNTS = ("n_examples", "high_risk.support")
+COUNTS = (
+    "n_examples", "high_risk.support", "ordinal.n_risk_targets", "ordinal.n_ordered_pairs",
+    "ordinal.risk_predictions_outside_order",
+)
 
 
 def expected_protocol(
@@ -68,7 +72,10 @@ def evaluation_document(result: Evaluation, names: Sequence[str], bootstrap_spli
         by_variant["temperature"] = result.temperature
     if result.bootstrap is not None:
         found[bootstrap_split]["bootstrap"] = {
-            "method": "stratified percentile bootstrap",
+            "method": BOOTSTRAP_METHOD,
+            "n_bootstrap": result.n_bootstrap,
+            "seed": result.seed,
+            "confidence_level": CONFIDENCE_LEVEL,
             "metrics": {
                 r["metric"]: {c: r[c] for c in ("estimate", "lower", "upper")}
                 for r in result.bootstrap.collect()
@@ -117,7 +124,7 @@ def write_ensemble(
     """Predictions and a run document that comparisons accept. ``members`` are run documents."""
     path = f"{out.rstrip('/')}/summary.json"
     if documents.exists(spark, path):
-        raise FileExistsError(f"ensemble output already exists: {out}")
+        raise FileExistsError(f"{out} holds something already; an ensemble is written once")
     common = members.agg(
         F.min(F.variant_get("summary", "$.protocol_hash", "string")).alias("protocol_hash"),
         F.min(F.variant_get("summary", "$.split_hash", "string")).alias("split_hash"),
@@ -128,7 +135,7 @@ def write_ensemble(
     identity = runs.replication_id(runs.member_recipes(members)).first()
     recipes = sorted(r["recipe"] for r in runs.member_recipes(members).collect())
     model = {
-        "name": "equal_weight_probability_ensemble", "mode": "ensemble", "image_size": None,
+        "name": ENSEMBLE_NAME, "mode": "ensemble", "image_size": None,
         "member_recipes": recipes, "n_members": len(recipes),
     }
     summary = {

@@ -735,7 +735,7 @@ def _evaluation_sql(k: int = 7) -> dict[str, str]:
     names = ["n_examples", *SCALARS]
     listed = " UNION ALL ".join(f"SELECT grp, '{m}' AS metric, {m}::DOUBLE AS value FROM s" for m in names)
     ordinal_names = [
-        "coverage", "mae", "within_one_level_accuracy", "severe_underestimation_rate"
+        "n_risk_targets", "n_ordered_pairs", "risk_predictions_outside_order", "coverage", "mae", "within_one_level_accuracy", "severe_underestimation_rate"
     ]
     ranked = " UNION ALL ".join(
         f"SELECT grp, 'ordinal.{m}' AS metric, {m}::DOUBLE AS value FROM o" for m in ordinal_names
