@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import with_softmax
@@ -22,8 +22,18 @@ class Ensemble:
     mean_member_score: DataFrame
 
 
+HELD_OUT = ("validation", "test")
+
+
+def evaluated(split: str) -> Column:
+    """Whether a run document records metrics of a split."""
+    raw = F.try_variant_get("summary", f"$.evaluation.{split}.raw", "variant")
+    return raw.isNotNull() & ~F.coalesce(F.is_variant_null(raw), F.lit(True))
+
+
 def check_documents(documents: DataFrame, expected_names: Sequence[str]) -> None:
-    """Members must be complete, seeded, of one protocol and of the given class list."""
+    """Members must be different runs, complete, seeded, evaluated on both held-out splits, of one
+    protocol and of the given class list."""
     names = F.try_variant_get("summary", "$.class_names", "array<string>")
     wanted = F.array(*[F.lit(n) for n in expected_names])
     seed = F.try_variant_get("summary", "$.seed", "bigint")
@@ -33,14 +43,22 @@ def check_documents(documents: DataFrame, expected_names: Sequence[str]) -> None
         F.try_variant_get("summary", "$.split_hash", "string").alias("split_hash"),
         F.coalesce(names == wanted, F.lit(False)).alias("same_classes"),
         F.coalesce(seed >= 0, F.lit(False)).alias("seeded"),
+        F.forall(F.array(*[evaluated(s) for s in HELD_OUT]), lambda e: e).alias("evaluated"),
+        "run",
     )
     found = record.agg(
         F.count_if(~checks.check_complete_member(F.col("status"))).alias("not_complete"),
         F.count_if(~F.col("same_classes")).alias("class_schema"),
         F.count_if(~F.col("seeded")).alias("seed"),
+        F.count_if(~F.col("evaluated")).alias("not_evaluated"),
+    )
+    repeated = record.groupBy("run").agg((F.count("*") - 1).alias("again")).agg(
+        F.lit("repeated_member").alias("rule"), F.coalesce(F.sum("again"), F.lit(0)).alias("violations")
     )
-    rules = checks.report(found, ["not_complete", "class_schema", "seed"]).unionByName(
-        checks.check_compatible(record)
+    rules = (
+        checks.report(found, ["not_complete", "class_schema", "seed", "not_evaluated"])
+        .unionByName(checks.check_compatible(record.drop("run")))
+        .unionByName(repeated)
     )
     checks.enforce(rules, "incompatible ensemble members")
 
@@ -56,8 +74,12 @@ def average(members: DataFrame, k: int, n_members: int) -> DataFrame:
     overlap = ensemble.members_overlap(aligned).agg(
         F.lit("split_overlap").alias("rule"), F.count("*").alias("violations")
     )
+    absent = aligned.agg(
+        F.lit("missing_split").alias("rule"),
+        sum((F.count_if(F.col("split") == s) == 0).cast("bigint") for s in HELD_OUT).alias("violations"),
+    )
     checks.enforce(
-        ensemble.check_members(aligned, n_members).unionByName(overlap),
+        ensemble.check_members(aligned, n_members).unionByName(overlap).unionByName(absent),
         "members do not hold the same observations",
     )
     return stage(ensemble.ensemble_mean(aligned, k, n_members), "ensemble")

@@ -121,7 +121,8 @@ def write_ensemble(
     out: str,
     bootstrap_seed: int = 42,
 ) -> dict:
-    """Predictions and a run document that comparisons accept. ``members`` are run documents."""
+    """Predictions, a run document that comparisons accept, and beside it what was calibrated and
+    configured. ``members`` are run documents; their list is declared, so it is short."""
     path = f"{out.rstrip('/')}/summary.json"
     if documents.exists(spark, path):
         raise FileExistsError(f"{out} holds something already; an ensemble is written once")
@@ -133,7 +134,13 @@ def write_ensemble(
         ).alias("smoke_test"),
     ).first()
     identity = runs.replication_id(runs.member_recipes(members)).first()
-    recipes = sorted(r["recipe"] for r in runs.member_recipes(members).collect())
+    listed = members.withColumn("sha256", F.sha2(F.to_json("summary"), 256)).select(
+        "run", "sha256", F.col("summary")
+    )
+    listed = sorted(
+        runs.member_recipes(listed).join(listed.select("run", "sha256"), "run").collect(), key=lambda r: r["run"]
+    )
+    recipes = sorted(r["recipe"] for r in listed)
     model = {
         "name": ENSEMBLE_NAME, "mode": "ensemble", "image_size": None,
         "member_recipes": recipes, "n_members": len(recipes),
@@ -145,6 +152,13 @@ def write_ensemble(
         "seed": identity["report_seed"],
         "bootstrap_seed": bootstrap_seed,
         "replication_id": identity["replication_id"],
+        "replication_members": sorted(
+            ({"recipe": r["recipe"], "training_seed": r["seed"]} for r in listed), key=lambda m: (m["recipe"], m["training_seed"])
+        ),
+        "member_training_seeds": [r["seed"] for r in listed],
+        "members": [
+            {"run": r["run"], "seed": r["seed"], "summary_sha256": r["sha256"], "weight": 1 / len(listed)} for r in listed
+        ],
         "class_names": list(names),
         "calibration": {"fit_split": "validation", "temperature": result.evaluation.temperature},
         "mean_member_validation_macro_f1": result.mean_member_score.first()["mean_member_score"],
@@ -155,5 +169,7 @@ def write_ensemble(
     write_predictions(
         result.predictions.withColumn("run", F.lit("ensemble")), f"{out.rstrip('/')}/predictions"
     )
+    for name in ("calibration", "config"):
+        documents.write_document(spark, f"{out.rstrip('/')}/{name}.json", summary[name])
     documents.write_document(spark, path, summary, replace=False)
     return summary
