@@ -19,15 +19,20 @@ from ..session import broadcast_if, stage, with_package
 HOT_SIZE = 1_000_000
 
 
-def fingerprint_rows(examples: DataFrame, payload: str = "payload") -> DataFrame:
-    """(idx, label, fp). The fingerprint is non-null: a join on it would otherwise push a
+def fingerprint_rows(
+    examples: DataFrame, payload: str = "payload", keep: Sequence[str] = ()
+) -> DataFrame:
+    """(idx, label, fp, keep...). The fingerprint is non-null: a join on it would otherwise push a
     not-null filter into the scan and hash every payload twice."""
     fp = F.coalesce(fingerprint_encoded(F.col(payload)), F.lit(""))
-    return examples.select("idx", "label", fp.alias("fp"))
+    return examples.select("idx", "label", fp.alias("fp"), *keep)
 
 
 def fingerprint_decoded(
-    examples: DataFrame, decode: Callable[[bytes], bytes], payload: str = "payload"
+    examples: DataFrame,
+    decode: Callable[[bytes], bytes],
+    payload: str = "payload",
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Fingerprint of content that only the caller's ``decode`` can canonicalise."""
     import hashlib
@@ -35,11 +40,11 @@ def fingerprint_decoded(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             digests = [hashlib.sha256(decode(bytes(v))).hexdigest() for v in batch[payload]]
-            yield pd.DataFrame({"idx": batch["idx"], "label": batch["label"], "fp": digests})
+            yield batch.drop(columns=payload).assign(fp=digests)
 
-    return with_package(examples).select("idx", "label", payload).mapInPandas(
-        run, "idx bigint, label int, fp string"
-    )
+    rows = with_package(examples).select("idx", "label", *keep, payload)
+    kinds = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep]
+    return rows.mapInPandas(run, ", ".join(["idx bigint", "label int", "fp string", *kinds]))
 
 
 def groups(fingerprints: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
 from urllib.parse import unquote
 
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..constants import DEFAULT_CLASSES
+from ..functions.hashing import multiset_hash, multiset_lanes
 from ..session import broadcast_if
 
 EXAMPLE_SCHEMA = "image STRUCT<bytes: BINARY, path: STRING>, label BIGINT"
@@ -48,6 +50,7 @@ def scan_examples(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
             F.col("label").cast("int").alias("label"),
             F.col("_metadata.file_path").alias("shard"),
             F.col("_metadata.file_size").alias("shard_bytes"),
+            F.col("_metadata.file_modification_time").alias("shard_time"),
             F.col("_metadata.row_index").alias("row_in_shard"),
         )
     )
@@ -61,14 +64,14 @@ def scan_labels(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
 
 
 def shard_inventory(examples: DataFrame) -> DataFrame:
-    """Rows, bytes and first global index of every shard.
+    """Rows, bytes, time and first global index of every shard.
 
     The count reads no data column. The running sum is over one row per file, a list the
     driver already holds for planning the scan.
     """
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return (
-        examples.groupBy("shard", "shard_bytes")
+        examples.groupBy("shard", "shard_bytes", "shard_time")
         .agg(F.count("*").alias("num_rows"))
         .withColumn("row_offset", F.coalesce(F.sum("num_rows").over(before), F.lit(0)))
     )
@@ -88,10 +91,14 @@ def global_index(
 
 
 def inventory_hash(inventory: DataFrame) -> str:
-    """Digest of a source's shards (name, bytes, rows): it changes when the source grows."""
-    entry = F.concat_ws(":", F.element_at(F.split("shard", "/"), -1), "shard_bytes", "num_rows")
-    listed = F.array_join(F.array_sort(F.collect_list(entry)), ",")
-    return inventory.agg(F.sha2(listed, 256).alias("h")).first()["h"]
+    """Digest of a source's shards (path below their common folder, bytes, rows): it changes when
+    the source grows, and not when the folder moves. Sums of hashes, so no list of shards is made."""
+    ends = inventory.agg(F.min("shard").alias("low"), F.max("shard").alias("high")).first()
+    # What the first and the last path in order share, all paths share.
+    root = os.path.commonprefix([ends["low"] or "", ends["high"] or ""]).rpartition("/")[0]
+    name = F.substr("shard", F.lit(len(root) + 1))
+    lanes = multiset_lanes(F.concat_ws(":", name, "shard_bytes", "num_rows"))
+    return inventory.agg(*lanes).select(multiset_hash().alias("h")).first()["h"]
 
 
 def class_schema(cards: DataFrame, key: Sequence[str], card: str = "card") -> DataFrame:

@@ -230,6 +230,26 @@ def fingerprint_canonical(spark, sf):
     )
 
 
+def _plain(payload: bytes) -> bytes:
+    """Undo the hex form that every text's second copy has."""
+    return bytes.fromhex(payload[1:].decode()) if payload[:1] == b"x" else payload[1:]
+
+
+@query(
+    "fingerprint_decoded",
+    f"SELECT sha256(text) AS fp, min(doc_id) * 2 AS idx, 2 * count(*) AS size, min({sql.LABEL})::BIGINT AS label, "
+    f"max({sql.LABEL})::BIGINT AS max_label FROM documents GROUP BY 1",
+)
+def fingerprint_decoded(spark, sf):
+    """Every text in two encodings, plain and hex: the decoded audit sees the copies."""
+    docs = views.examples(spark, sf)
+    forms = F.array(F.concat(F.lit("t"), "payload"), F.concat(F.lit("x"), F.hex(F.encode("payload", "UTF-8"))))
+    both = docs.select("idx", "label", F.posexplode(forms).alias("form", "payload")).select(
+        (F.col("idx") * 2 + F.col("form")).alias("idx"), "label", F.encode("payload", "UTF-8").alias("payload")
+    )
+    return rounded(fingerprints.groups(fingerprints.fingerprint_decoded(both, _plain)))
+
+
 @query(
     "check_offsets",
     sql.ctes(
@@ -514,28 +534,46 @@ def split_hash(spark, sf):
 
 @query(
     "image_profile",
-    "SELECT kind, value, count(*) AS n FROM (SELECT 'dimensions' AS kind, "
-    "CASE WHEN l_linenumber = 7 THEN 'unknown' ELSE (8 + l_linenumber) || 'x' || l_quantity::INT END AS value "
-    "FROM lineitem UNION ALL SELECT 'mode', CASE WHEN l_linenumber = 7 THEN 'unknown' ELSE "
-    "CASE l_returnflag WHEN 'A' THEN 'RGB' WHEN 'N' THEN 'L' ELSE 'RGBA' END END FROM lineitem "
-    "UNION ALL SELECT 'format', CASE WHEN l_linenumber = 7 THEN 'JPEG' ELSE 'PNG' END FROM lineitem) GROUP BY 1, 2",
+    "WITH l AS (SELECT *, 8 + l_linenumber AS w, l_quantity::INT AS h, l_orderkey % 9 AS turn, "
+    "l_linenumber = 7 AS cut FROM lineitem) "
+    "SELECT kind, value, count(*) AS n FROM (SELECT 'dimensions' AS kind, CASE WHEN cut THEN 'unknown' "
+    "WHEN l_linenumber % 2 = 0 AND turn BETWEEN 5 AND 8 THEN h || 'x' || w ELSE w || 'x' || h END AS value FROM l "
+    "UNION ALL SELECT 'mode', CASE WHEN cut THEN 'unknown' WHEN l_returnflag = 'A' THEN 'RGB' "
+    "WHEN l_returnflag = 'N' THEN 'L' WHEN l_linenumber % 2 = 0 THEN 'CMYK' ELSE 'RGBA' END FROM l "
+    "UNION ALL SELECT 'format', CASE WHEN cut OR l_linenumber % 2 = 0 THEN 'JPEG' ELSE 'PNG' END FROM l) GROUP BY 1, 2",
 )
 def image_profile(spark, sf):
-    """Each line item as the header of a picture of its own size and colour type; line 7 as a
-    JPEG, whose first bytes tell the format only."""
+    """Each line item as the header of a picture of its own size and colour type: odd lines as PNG,
+    even ones as JPEG with a comment of its own length and an orientation of either byte order before
+    the frame; line 7 as a JPEG that ends before its frame."""
 
     def number(c, digits):
-        return F.unhex(F.lpad(F.hex(c.cast("bigint")), digits, "0"))
-
-    colour = F.when(F.col("l_returnflag") == "A", 2).when(F.col("l_returnflag") == "N", 0).otherwise(6)
-    payload = F.concat(
-        F.unhex(F.lit(headers.PNG_MAGIC)), F.unhex(F.lit("0000000D49484452")),
-        number(F.col("l_linenumber") + 8, 8), number(F.col("l_quantity"), 8),
-        F.unhex(F.lit("08")), number(colour, 2), F.unhex(F.lit("000000")),
-    )
-    jpeg = F.unhex(F.lit(headers.JPEG_MAGIC + "E000104A464946"))
-    payload = F.when(F.col("l_linenumber") == 7, jpeg).otherwise(payload)
-    rows = table(spark, sf, "lineitem").select(payload.alias("payload"))
+        return F.lpad(F.hex(c.cast("bigint")), digits, "0")
+
+    width, height, flag = F.col("l_linenumber") + 8, F.col("l_quantity"), F.col("l_returnflag")
+    colour = F.when(flag == "A", 2).when(flag == "N", 0).otherwise(6)
+    png = F.concat(
+        F.lit(headers.PNG_MAGIC + "0000000D49484452"), number(width, 8), number(height, 8),
+        F.lit("08"), number(colour, 2), F.lit("000000"),
+    )
+    note = F.repeat(F.lit("6E"), (F.col("l_partkey") % 200).cast("int"))
+    turn = F.col("l_orderkey") % 9
+    tiff = F.when(
+        F.col("l_orderkey") % 2 == 0,
+        F.concat(F.lit("4D4D002A0000000800010112000300000001"), number(turn, 4), F.lit("000000000000")),
+    ).otherwise(
+        F.concat(F.lit("49492A000800000001001201030001000000"), number(turn, 2), F.lit("00000000000000"))
+    )
+    parts = F.when(flag == "A", 3).when(flag == "N", 1).otherwise(4)
+    begin = F.concat(
+        F.lit("FFD8FFE000104A46494600010100000100010000FFFE"), number(F.length(note) / 2 + 2, 4), note,
+        F.lit("FFE10022" + headers.EXIF_HEAD), tiff,
+    )
+    frame = F.concat(F.lit("FFFFC2000B08"), number(height, 4), number(width, 4), number(parts, 2), F.lit("011100FFDA"))
+    payload = F.when(F.col("l_linenumber") == 7, begin).when(
+        F.col("l_linenumber") % 2 == 0, F.concat(begin, frame)
+    ).otherwise(png)
+    rows = table(spark, sf, "lineitem").select(F.unhex(payload).alias("payload"))
     return headers.image_profile(headers.image_header(rows))
 
 
@@ -597,20 +635,17 @@ def canonical_name(spark, sf):
     return table(spark, sf, "part").select("p_partkey", scalars.canonical_name(raw).alias("name"))
 
 
-@query(
-    "prepare",
+PREPARED = (
     sql.ctes(
         d=f"SELECT {INDEX} AS idx, {sql.LABEL} AS label, sha256(text) AS fp FROM documents",
         s=sql.split_rows(),
     )
     + "SELECT split, s.label::BIGINT AS label, count(*) AS n, sum(first)::BIGINT AS idx_sum FROM s "
-    "JOIN (SELECT fp, min(idx) AS first FROM d GROUP BY fp) g USING (fp) GROUP BY 1, 2",
+    "JOIN (SELECT fp, min(idx) AS first FROM d GROUP BY fp) g USING (fp) GROUP BY 1, 2"
 )
-def prepare(spark, sf):
-    folder = views.shard_folder(spark, sf)
-    done = prepare_plan.prepare(
-        spark, folder, new_path(spark, "prepared"), views.LANGS, source_id="documents"
-    )
+
+
+def _split_sums(done):
     return rounded(
         done.splits.groupBy("split", "label").agg(
             F.count("*").alias("n"), F.sum("idx").alias("idx_sum")
@@ -618,6 +653,28 @@ def prepare(spark, sf):
     )
 
 
+@query("prepare", PREPARED)
+def prepare(spark, sf):
+    folder = views.shard_folder(spark, sf)
+    done = prepare_plan.prepare(
+        spark, folder, new_path(spark, "prepared"), views.LANGS, source_id="documents"
+    )
+    return _split_sums(done)
+
+
+@query("prepare_grown", PREPARED)
+def prepare_grown(spark, sf):
+    """A source prepared when it had half of its shards, and again with all of them: the second
+    time only new shards are hashed, and the splits are those of a preparation in one go."""
+    folder, out = views.shard_folder(spark, sf), new_path(spark, "prepared")
+    options = {"names": views.LANGS, "source_id": "documents"}
+    prepare_plan.prepare(spark, folder, out, max_shards=views.SHARDS // 2, **options)
+    done = prepare_plan.prepare(spark, folder, out, **options)
+    if f'"reused_shards": {views.SHARDS // 2},' not in done.manifest.first()["document"]:
+        raise ValueError("known shards were read again")
+    return _split_sums(done)
+
+
 # --- histories -----------------------------------------------------------------------------
 
 STATE = "{'best': -1.0::DOUBLE, 'best_epoch': 0::BIGINT, 'stopped': NULL::BIGINT}"

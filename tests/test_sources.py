@@ -1,6 +1,7 @@
 import hashlib
 import json
 import os
+import struct
 
 import pytest
 from pyspark.sql import functions as F
@@ -137,6 +138,48 @@ def test_image_headers(spark):
     assert {k[1] for k in found if k[0] == "format"} == {"PNG", "GIF", "JPEG"}
 
 
+def jpeg(*segments, frame=(0xC0, 7, 300, 3), tail=b"\xff\xda"):
+    body = b"".join(b"\xff" + bytes([m]) + (len(b) + 2).to_bytes(2, "big") + b for m, b in segments)
+    if frame:
+        marker, tall, wide, parts = frame
+        size = struct.pack(">HBHHB", 8 + 3 * parts, 8, tall, wide, parts)
+        body += b"\xff" + bytes([marker]) + size + bytes(3 * parts)
+    return b"\xff\xd8" + body + tail
+
+
+def exif(order, turn, before=0, tag=274):
+    entries = [(256 + i, 9) for i in range(before)] + [(tag, turn)]
+    body = b"".join(struct.pack(order + "HHIHH", t, 3, 1, v, 0) for t, v in entries)
+    mark = b"II" if order == "<" else b"MM"
+    return b"Exif\0\0" + mark + struct.pack(order + "HI", 42, 8) + struct.pack(order + "H", len(entries)) + body + bytes(4)
+
+
+def test_jpeg_sizes(spark):
+    thumbnail = jpeg(frame=(0xC0, 5, 5, 3))
+    cases = [
+        (jpeg(), (300, 7, "RGB")),
+        (jpeg((0xE0, b"JFIF"), (0xFE, b"x" * 65000), (0xE1, exif("<", 6))), (7, 300, "RGB")),
+        (jpeg((0xE1, exif(">", 8, before=5))), (7, 300, "RGB")),
+        (jpeg((0xE1, exif(">", 3)), frame=(0xC2, 9, 4, 1)), (4, 9, "L")),
+        (jpeg((0xE1, exif("<", 6, tag=275))), (300, 7, "RGB")),
+        (jpeg((0xE1, exif("<", 5) + thumbnail), (0xE1, exif("<", 1))), (7, 300, "RGB")),
+        (jpeg((0xE1, b"http://ns.adobe.com/xap/1.0/"), frame=(0xCF, 2, 3, 4)), (3, 2, "CMYK")),
+        (jpeg((0xC4, bytes(40)), *[(0xE2, bytes(20))] * 300), (300, 7, "RGB")),
+        (jpeg((0xE1, exif("<", 6)[:20])), (300, 7, "RGB")),  # a directory that ends early
+        (b"\xff\xd8\xff\xff\xff\x01\xff\xd0" + jpeg()[2:], (300, 7, "RGB")),  # fill bytes, bare markers
+        (jpeg(frame=(0xC0, 0, 8, 3)), (8, None, "RGB")),
+        (jpeg(frame=None), (None, None, None)),
+        (jpeg((0xE0, b"a"), frame=None, tail=b"\xff\xe0\xff\xff"), (None, None, None)),
+        (jpeg(frame=None, tail=b"\xff\xe0\0\0"), (None, None, None)),
+        (jpeg(frame=None, tail=b"\0\0\xff\xc0"), (None, None, None)),
+        (b"\xff\xd8\xff", (None, None, None)), (b"", (None, None, None)), (None, (None, None, None)),
+    ]
+    rows = [(i, None if p is None else bytearray(p)) for i, (p, _) in enumerate(cases)]
+    found = headers.image_header(spark.createDataFrame(rows, "i int, payload binary")).orderBy("i").collect()
+    assert [(r["width"], r["height"], r["mode"]) for r in found] == [w for _, w in cases]
+    assert [r["format"] for r in found[-3:]] == ["JPEG", "unknown", "unknown"]
+
+
 def test_decoder_fingerprints(spark):
     rows = spark.createDataFrame(
         [(0, 0, bytearray(b"AbC")), (1, 0, bytearray(b"aBc"))], "idx bigint, label int, payload binary"
@@ -192,6 +235,79 @@ def test_a_grown_source_is_prepared_anew(spark, tmp_path):
     assert prepared(spark, source, str(tmp_path / "few"), max_shards=3).splits.count() > 0
 
 
+def test_known_shards_are_not_read_again(spark, tmp_path, monkeypatch):
+    """Shards with names that sort before the known ones shift every index; the result is that of a
+    preparation in one go, and known files, whose payloads are then damaged unnoticed, stay unread."""
+    source, out = str(tmp_path / "a b%20c"), str(tmp_path / "out")
+    data = [((bytearray(f"t{i % 50}".encode()), None), i % 50 % 3) for i in range(80)]
+
+    def shard(name, rows):
+        part = str(tmp_path / f"w-{name}")
+        frame = spark.createDataFrame(rows, examples.EXAMPLE_SCHEMA).coalesce(1)
+        frame.write.option("compression", "uncompressed").option("parquet.enable.dictionary", "false").parquet(part)
+        file = next(f for f in os.listdir(part) if f.startswith("part-"))
+        os.makedirs(source, exist_ok=True)
+        os.replace(f"{part}/{file}", f"{source}/{name}.parquet")
+        return f"{source}/{name}.parquet"
+
+    path = shard("m", data[:30])
+    shard("q", data[30:45])
+    first = prepared(spark, source, out)
+    assert json.loads(first.manifest.first()["document"])["reused_shards"] == 0
+    shard("b", data[45:])
+    whole = prepared(spark, source, str(tmp_path / "whole"))
+    with open(path, "rb") as f:
+        content = f.read()
+    times = os.stat(path)
+    with open(path, "wb") as f:
+        f.write(content.replace(b"t1", b"x1"))
+    os.utime(path, ns=(times.st_atime_ns, times.st_mtime_ns))
+    opened = []
+    scan = examples.scan_examples
+    monkeypatch.setattr(examples, "scan_examples", lambda s, p: opened.append(p) or scan(s, p))
+    grown = prepared(spark, source, out)
+    assert [len(p) for p in opened if isinstance(p, list)] == [1] and opened[1][0].endswith("/b.parquet")
+    assert json.loads(grown.manifest.first()["document"])["reused_shards"] == 2
+    for table in ("fingerprints", "splits"):
+        assert sorted(map(tuple, getattr(grown, table).collect())) == sorted(map(tuple, getattr(whole, table).collect()))
+    os.utime(path, ns=(times.st_atime_ns, times.st_mtime_ns + 10**10))
+    changed = prepared(spark, source, out, val_fraction=0.25)
+    assert json.loads(changed.manifest.first()["document"])["reused_shards"] == 2
+    assert changed.splits.count() > grown.splits.count()  # the damage shows
+
+
+def test_known_rows_need_the_same_audit(spark, tmp_path):
+    source, out = str(tmp_path / "src"), str(tmp_path / "out")
+    rows = [((bytearray(f"{i % 2}text {i // 2}".encode()), None), i // 2 % 3) for i in range(60)]
+    write_shards(spark, rows, source)
+
+    def reused(**options):
+        done = prepared(spark, source, out, **options)
+        return json.loads(done.manifest.first()["document"])["reused_shards"], done.splits.count()
+
+    def cut(payload):
+        return payload[1:]
+
+    assert reused() == (0, 60)
+    assert reused(audit="decoded", decode=cut) == (0, 30)
+    assert reused(audit="decoded", decode=cut, val_fraction=0.2) == (0, 30)  # an unnamed decoder
+    assert reused(audit="decoded", decode=cut, decoder="cut 1") == (0, 30)
+    assert reused(audit="decoded", decode=cut, decoder="cut 1", val_fraction=0.2) == (3, 30)
+    assert reused(audit="decoded", decode=bytes, decoder="as is") == (0, 60)
+    assert reused(audit="none", deduplicate=False) == (0, 60)
+    assert reused(audit="none", deduplicate=False, val_fraction=0.2) == (0, 60)
+
+
+def test_inventory_names_folders(spark, tmp_path):
+    def digest(rows):
+        return examples.inventory_hash(spark.createDataFrame(rows, "shard string, shard_bytes bigint, num_rows bigint"))
+
+    base = [("f:/r/a/part-0", 5, 1), ("f:/r/b/part-0", 5, 2)]
+    assert digest(base) == digest(base[::-1]) == digest([("s3:/x/a/part-0", 5, 1), ("s3:/x/b/part-0", 5, 2)])
+    assert digest(base) != digest([("f:/r/a/part-0", 5, 2), ("f:/r/b/part-0", 5, 1)])
+    assert digest([]) != digest(base[:1])
+
+
 def test_a_job_that_dies_leaves_the_record_and_old_tables_go(spark, tmp_path, monkeypatch):
     source, out = str(tmp_path / "src"), tmp_path / "out"
     rows = [((bytearray(f"t{i}".encode()), None), i % 3) for i in range(36)]
