@@ -41,6 +41,35 @@ def test_temperature_is_the_minimum(spark):
     assert loss(found) <= loss(best) + 1e-12
 
 
+@pytest.mark.parametrize("scale", [0.11, 0.9, 1.0, 3.0, 15.0])
+def test_a_few_scans_find_the_temperature(monkeypatch, scale):
+    """The same loss in numpy stands in for the scans, which are counted."""
+    generator = np.random.default_rng(5)
+    x = generator.normal(0, 3, (4000, 5))
+    p = np.exp(x) / np.exp(x).sum(1, keepdims=True)
+    labels = (p.cumsum(1) > generator.random((4000, 1))).argmax(1)
+    logits, asked = x * scale, []
+
+    def moments(_, k, scales):
+        asked.append(len(scales))
+        out = []
+        for s in scales:
+            z = logits * s
+            top = z.max(1, keepdims=True)
+            w = np.exp(z - top)
+            q, own = w / w.sum(1, keepdims=True), logits[np.arange(4000), labels]
+            mean = (q * logits).sum(1)
+            loss = np.log(w.sum(1)) + top[:, 0] - s * own
+            out.append((loss.mean(), (mean - own).mean(), ((q * logits**2).sum(1) - mean**2).mean()))
+        return out
+
+    monkeypatch.setattr(calibration, "_moments", moments)
+    found = calibration.fit_temperature(None, 5)
+    assert len(asked) <= 4 and max(asked) <= 7
+    slope = moments(None, 5, [1 / found])[0]
+    assert abs(slope[1] / slope[2] * found) < 1e-8  # what a Newton step would still change
+
+
 def test_bounds_and_fallback(spark):
     assert calibration.fit_temperature(rows_of(spark, [0, 1], [[9, 0], [0, 9]]), 2) == pytest.approx(0.05)
     assert calibration.fit_temperature(rows_of(spark, [1, 0], [[9, 0], [0, 9]]), 2) == pytest.approx(20)
