@@ -30,7 +30,7 @@ def folder(spark, tmp_path_factory):
     "name",
     [
         "attach_split", "class_counts", "manifest_sink", "split_cover", "split_fractions", "splits_io",
-        "stratified_split",
+        "stratified_split", "group_split_facts",
     ],
 )
 def test_query(spark, folder, name):
@@ -51,3 +51,19 @@ def test_quota_beyond_the_contents_that_a_class_keeps(spark):
     assert [r["split"] for r in found if r["label"] == 1] == ["train"] * 3
     with pytest.raises(ValueError, match="conflicts must be"):
         splits.stratified_split(table, conflicts="first")
+
+
+def test_groups_of_several_labels_move_whole_and_classes_meet_their_targets(spark):
+    """One text in 40 rows of either class, and 40 texts of three rows of class 1 besides."""
+    rows = [(i, i % 2, "both") for i in range(80)]
+    rows += [(80 + i, 1, f"c{i // 3}") for i in range(120)] + [(200 + i, 0, f"d{i}") for i in range(100)]
+    table = spark.createDataFrame(rows, "idx bigint, label int, fp string")
+    with pytest.raises(ValueError, match="conflicting"):
+        splits.stratified_group_split(table)
+    found = splits.stratified_group_split(table, conflicts="lowest").collect()
+    assert sorted((r["idx"], r["label"], r["fp"]) for r in found) == rows
+    assert len({(r["fp"], r["split"]) for r in found}) == 141
+    for label, total in ((0, 140), (1, 160)):
+        for split, share in (("train", 0.7), ("validation", 0.15), ("test", 0.15)):
+            n = sum(r["label"] == label and r["split"] == split for r in found)
+            assert abs(n - share * total) <= 3
