@@ -61,6 +61,7 @@ def prepare_splits(
     val_fraction: float,
     test_fraction: float,
     deduplicate: bool,
+    conflicts: str = "error",
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(fingerprints, groups, splits) from (idx, label, fp) rows, each a staged table.
 
@@ -72,7 +73,9 @@ def prepare_splits(
     checks.enforce(checks.check_labels(rows, len(names)), "labels do not match the class list")
     groups = stage(fingerprints.groups(rows), "groups")
     method = splits.stratified_split if deduplicate else splits.stratified_group_split
-    assigned = method(rows, seed, val_fraction, test_fraction, group_rows=groups)
+    assigned = method(
+        rows, seed, val_fraction, test_fraction, group_rows=groups, conflicts=conflicts
+    )
     return kept, groups, stage(assigned, "splits")
 
 
@@ -124,12 +127,14 @@ def prepare(
     audit: str = "encoded",
     decode: Callable[[bytes], bytes] | None = None,
     decoder: str = "",
+    conflicts: str = "error",
 ) -> Prepared:
     """Prepare a sharded example table and record it under ``out``.
 
     ``audit`` says what makes two examples copies: their stored bytes (``encoded``), what the
     caller's ``decode`` makes of these (``decoded``, so re-encoded copies cannot cross splits),
-    or nothing (``none``, which needs ``deduplicate=False``).
+    or nothing (``none``, which needs ``deduplicate=False``). ``conflicts`` says what becomes of copies
+    with different labels: an ``error``, or the ``lowest`` label takes the group, which the record tells.
 
     An existing record of the same identity is reused once its split table matches its hash.
     The identity of a source without a pinned revision includes its shards, so a source that
@@ -148,6 +153,8 @@ def prepare(
         raise ValueError("deduplicate needs an audit")
     if (audit == "decoded") != (decode is not None):
         raise ValueError("a decoder belongs to the decoded audit, and only to it")
+    if conflicts not in splits.CONFLICTS:
+        raise ValueError(f"conflicts must be one of {', '.join(splits.CONFLICTS)}")
     paths = path if max_shards is None else source.shard_paths(spark, path, max_shards)
     scanned = source.scan_examples(spark, paths)
     shards = stage(source.shard_inventory(scanned), "shards")
@@ -165,6 +172,8 @@ def prepare(
     }
     if decoder:
         settings["decoder"] = decoder
+    if conflicts != "error":
+        settings["conflicts"] = conflicts
     canonical, identity = preparation_identity(spark, settings)
     reused = _reuse(spark, out, identity)
     if reused is not None:
@@ -183,7 +192,7 @@ def prepare(
         spark, scanned, shards, n_shards, hashed, _known(spark, out, earlier, audit, decoder)
     )
     rows, groups, assigned = prepare_splits(
-        labelled, names, seed, val_fraction, test_fraction, deduplicate
+        labelled, names, seed, val_fraction, test_fraction, deduplicate, conflicts
     )
     overlap = splits.split_overlap(assigned).count()
     if overlap:
@@ -195,6 +204,8 @@ def prepare(
         "num_rows": shards.agg(F.sum("num_rows")).first()[0], "resolved_revision": revision or None,
         "reused_shards": n_known, "source_num_shards": n_shards, "split_method": "stratified" if deduplicate else "stratified_group",
     }
+    if conflicts != "error":
+        facts["label_conflicts"] = fingerprints.conflict_count(groups).first()["conflicts"]
     record = manifest(
         spark, canonical, identity, groups, assigned, names, deduplicate,
         splits.split_fractions_for(val_fraction, test_fraction), max_shards is not None, facts,

@@ -664,7 +664,8 @@ def _split_sums(done):
 def prepare(spark, sf):
     folder = views.shard_folder(spark, sf)
     done = prepare_plan.prepare(
-        spark, folder, new_path(spark, "prepared"), views.LANGS, source_id="documents"
+        spark, folder, new_path(spark, "prepared"), views.LANGS, source_id="documents",
+        conflicts="lowest",
     )
     return _split_sums(done)
 
@@ -674,7 +675,7 @@ def prepare_grown(spark, sf):
     """A source prepared when it had half of its shards, and again with all of them: the second
     time only new shards are hashed, and the splits are those of a preparation in one go."""
     folder, out = views.shard_folder(spark, sf), new_path(spark, "prepared")
-    options = {"names": views.LANGS, "source_id": "documents"}
+    options = {"names": views.LANGS, "source_id": "documents", "conflicts": "lowest"}
     prepare_plan.prepare(spark, folder, out, max_shards=views.SHARDS // 2, **options)
     done = prepare_plan.prepare(spark, folder, out, **options)
     if f'"reused_shards": {views.SHARDS // 2},' not in done.manifest.first()["document"]:

@@ -30,7 +30,7 @@ def folder(spark, tmp_path_factory):
     "name",
     [
         "attach_split", "class_counts", "manifest_sink", "split_cover", "split_fractions", "splits_io",
-        "stratified_split", "group_split_facts",
+        "stratified_split", "group_split_facts", "prepare", "prepare_grown",
     ],
 )
 def test_query(spark, folder, name):
