@@ -26,7 +26,7 @@ GROUP = "protocol_hash, split_hash, model, mode, image_size, recipe_hash"
     "FROM d GROUP BY 1, 2, 3",
 )
 def scan_runs(spark, sf):
-    record = runs.run_record(views.run_documents(spark, sf))
+    record = runs.run_record(views.run_document_files(spark, sf))
     return rounded(
         record.groupBy("model", "mode", "smoke_test").agg(
             F.count("*").alias("n"), F.sum("seed").alias("seeds"), F.sum("accuracy").alias("accuracy")
