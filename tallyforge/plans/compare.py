@@ -75,15 +75,16 @@ def report_lines(comparison: DataFrame) -> DataFrame:
 def write_report(result: Comparison, out: str) -> None:
     """runs, comparison and seeds as CSV, comparison as JSON lines, the table as Markdown text.
 
-    Groups are as few as recipes, so each report is one ordered file; runs stay partitioned.
+    Groups are as few as recipes, so each report is one ordered file; runs stay partitioned. Tables
+    of one row a run are gzipped, which readers of CSV and text undo by the files' names.
     """
     groups = stage(result.groups, "comparison")
     ordered = groups.orderBy(*KEYS).coalesce(1)
-    result.runs.write.mode("overwrite").option("header", True).csv(f"{out}/runs.csv")
+    result.runs.write.mode("overwrite").option("header", True).csv(f"{out}/runs.csv", compression="gzip")
     ordered.write.mode("overwrite").option("header", True).csv(f"{out}/comparison.csv")
     ordered.write.mode("overwrite").json(f"{out}/comparison.json")
-    result.seeds.write.mode("overwrite").option("header", True).csv(f"{out}/seeds.csv")
-    result.excluded.select("run").write.mode("overwrite").text(f"{out}/excluded")
+    result.seeds.write.mode("overwrite").option("header", True).csv(f"{out}/seeds.csv", compression="gzip")
+    result.excluded.select("run").write.mode("overwrite").text(f"{out}/excluded", compression="gzip")
     lines = report_lines(groups).orderBy("part", *runs.GROUP_KEYS).coalesce(1)
     lines.select("line").write.mode("overwrite").text(f"{out}/comparison.md")
 
